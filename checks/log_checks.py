@@ -8,7 +8,7 @@ from skillgauge.functions.metrics import round3
 from skillgauge.functions.text import configuration_label, file_stem, safe_file_name, short_model_name
 from skillgauge.operators import filters, robustness
 from skillgauge.plans import questions
-from skillgauge.session import scratch_path
+from skillgauge.session import cut_lineage, scratch_path
 from skillgauge.sources import logs, sinks
 
 CONFIG = robustness.CONFIGURATION
@@ -182,7 +182,7 @@ def _(t):
 
 @check("d1_question_robustness", "SELECT model, dataset, shots, sample_index, total_score, instance_count, average_score, question FROM question_scores")
 def _(t):
-    table = scores(t)
+    table = cut_lineage(scores(t))
     return table.join(questions.question_texts(t.eval_log(), table), KEYS, "left").select(
         "model", "dataset", "shots", "sample_index", "total_score", "instance_count", "average_score", "question"
     )

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skillgauge.functions.metrics import preference_wins
+from skillgauge.operators.tree import path_text, prefixes
 
 
 class Tables:
@@ -74,6 +73,25 @@ class Tables:
             "tree_id", "instance_id", "path", preference_wins(F.col("pref_a"), F.col("pref_b")).alias("wins"), F.lit(2).alias("trials")
         )
 
+    def descriptions(self) -> DataFrame:
+        """A text for every inner node."""
+        nodes = self.leaves().select("tree_id", F.explode(prefixes(F.col("path"))).alias("path")).distinct()
+        return nodes.withColumn("description", F.concat(F.lit("skill "), path_text(F.col("path"))))
+
+    def located(self) -> DataFrame:
+        """Instances outside the tree, located in it, with their result."""
+        key = F.col("s_suppkey")
+        return (
+            self.raw("supplier")
+            .join(self.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+            .select(
+                F.lit("t").alias("tree_id"),
+                key.alias("instance_id"),
+                F.array(F.col("n_regionkey"), F.col("n_nationkey"), (key % 10).cast("int")).alias("path"),
+                F.when(F.col("s_acctbal") > 4000, 1.0).otherwise(0.0).alias("result"),
+            )
+        )
+
     def association(self) -> DataFrame:
         return (
             self.raw("lineitem").select("l_partkey", "l_orderkey")
@@ -171,6 +189,46 @@ SELECT c_custkey AS instance_id, n_regionkey AS l1, n_nationkey AS l2, CAST(c_cu
        CASE WHEN c_acctbal > CAST(3000 AS DOUBLE) THEN 1 ELSE 2 END AS pref_a,
        CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS pref_b
 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
+    "tree_node": """
+SELECT CASE WHEN GROUPING(l1) = 1 THEN '' WHEN GROUPING(l2) = 1 THEN concat(l1) WHEN GROUPING(l3) = 1 THEN concat(l1, '/', l2) ELSE concat(l1, '/', l2, '/', l3) END AS path,
+  3 - GROUPING(l1) - GROUPING(l2) - GROUPING(l3) AS depth, count(*) AS size, CAST(sum(acc) AS BIGINT) AS acc,
+  CAST(sum((pref_a = 1)::INT + (pref_b = 1)::INT) AS BIGINT) AS pref
+FROM tree_leaf GROUP BY ROLLUP (l1, l2, l3)""",
+    # Exact interval bounds by bisection on the binomial tails.
+    "bound": """
+SELECT k, n, alpha,
+  CASE WHEN k = 0 THEN 0.0 ELSE list_reduce(range(50), lambda a, x: CASE WHEN list_sum(list_transform(range(k, n + 1), lambda i:
+      exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((a.lo + a.hi) / 2) + (n - i) * ln(1 - (a.lo + a.hi) / 2)))) < alpha / 2
+    THEN struct_pack(lo := (a.lo + a.hi) / 2, hi := a.hi) ELSE struct_pack(lo := a.lo, hi := (a.lo + a.hi) / 2) END,
+    struct_pack(lo := 0::DOUBLE, hi := 1::DOUBLE)).lo END AS lo,
+  CASE WHEN k = n THEN 1.0 ELSE list_reduce(range(50), lambda a, x: CASE WHEN list_sum(list_transform(range(0, k + 1), lambda i:
+      exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((a.lo + a.hi) / 2) + (n - i) * ln(1 - (a.lo + a.hi) / 2)))) > alpha / 2
+    THEN struct_pack(lo := (a.lo + a.hi) / 2, hi := a.hi) ELSE struct_pack(lo := a.lo, hi := (a.lo + a.hi) / 2) END,
+    struct_pack(lo := 0::DOUBLE, hi := 1::DOUBLE)).hi END AS hi
+FROM (SELECT DISTINCT acc AS k, size AS n FROM tree_node WHERE size >= 5 UNION SELECT DISTINCT pref, size * 2 FROM tree_node WHERE size >= 5), (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.05 AS DOUBLE))) v(alpha)""",
+    "acc_stat": """
+SELECT path, regexp_replace(path, '/?[^/]*$', '') AS up, depth, size, lo, hi FROM tree_node LEFT JOIN bound ON k = acc AND n = size AND alpha = 0.05 WHERE size >= 5""",
+    "located": """
+SELECT s_suppkey AS instance_id, concat(n_regionkey, '/', n_nationkey, '/', s_suppkey % 10) AS path,
+  CASE WHEN s_acctbal > 4000 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS result FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
+    # Every step of a threshold sweep tried on every node, in both directions.
+    "sweep_low": """
+SELECT s.path, s.up, s.depth, s.size, i AS step, i - 1 < ((SELECT max(hi) FROM acc_stat WHERE depth = 0 OR (depth = 1 AND size >= 20)) - hi) / 0.0001::DOUBLE AS passes
+FROM acc_stat s, range(0, 10002) r(i)""",
+    "sweep_high": """
+SELECT s.path, s.up, s.depth, s.size, i AS step, i - 1 < (lo - (SELECT min(lo) FROM acc_stat WHERE depth = 0 OR (depth = 1 AND size >= 20))) / 0.0001::DOUBLE AS passes
+FROM acc_stat s, range(0, 10002) r(i)""",
+    "able_low": """
+SELECT p.path, p.step, p.size FROM sweep_low p ANTI JOIN (SELECT up, step FROM sweep_low WHERE depth > 0 AND size >= 20 AND NOT passes) b ON b.up = p.path AND b.step = p.step WHERE passes""",
+    "able_high": """
+SELECT p.path, p.step, p.size FROM sweep_high p ANTI JOIN (SELECT up, step FROM sweep_high WHERE depth > 0 AND size >= 20 AND NOT passes) b ON b.up = p.path AND b.step = p.step WHERE passes""",
+    "extracted_low": """
+SELECT a.path, a.step, a.size FROM able_low a ANTI JOIN able_low b ON a.step = b.step AND a.path <> b.path AND (b.path = '' OR starts_with(a.path, concat(b.path, '/')))""",
+    "extracted_high": """
+SELECT a.path, a.step, a.size FROM able_high a ANTI JOIN able_high b ON a.step = b.step AND a.path <> b.path AND (b.path = '' OR starts_with(a.path, concat(b.path, '/')))""",
+    "low_profile": """
+SELECT step, count(*) AS profile_size, list_sort(list(concat('skill ', path))) AS profile FROM extracted_low
+WHERE step < (SELECT min(i) FROM range(0, 10003) r(i) WHERE i NOT IN (SELECT step FROM extracted_low)) GROUP BY step""",
     "association": """
 SELECT DISTINCT p_name AS capability, o_custkey AS instance_id, 'YES' AS label
 FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""",

@@ -15,6 +15,7 @@ from skillgauge.operators.robustness import (
     question_accuracy,
     question_robustness,
 )
+from skillgauge.session import broadcast_if_few, cut_lineage
 
 # Columns that put the copies of one evaluation in a fixed order. The text columns come last, so the
 # narrow part of the plan can leave them out.
@@ -36,19 +37,22 @@ def low_performing_questions(log: DataFrame, threshold: float = 0.5) -> DataFram
     slim = _narrow(log, F.col("raw_input").isNotNull().alias("has_text"))
     clean = dedup_first(slim, KEY, COPY_ORDER + [F.desc("has_text")])
     scores = question_robustness(drop_biased_orders(clean), [*CONFIGURATION, "sample_index"])
-    low = low_performers(scores, threshold)
+    low = cut_lineage(low_performers(scores, threshold))
     return low.join(question_texts(log, low), [*CONFIGURATION, "sample_index"], "left").select(
         *CONFIGURATION, "sample_index", "average_score", "question"
     )
 
 
 def question_texts(log: DataFrame, questions: DataFrame) -> DataFrame:
-    """D1's text: the prompt of each question's first evaluation."""
-    wanted = questions.select(*CONFIGURATION, "sample_index", F.col("first_evaluation").alias("evaluation_id"))
+    """D1's text: the prompt of each question's first evaluation.
+
+    With a small set of questions the log is filtered in place and no prompt is shuffled.
+    """
+    wanted = questions.select(*CONFIGURATION, F.col("first_evaluation").alias("evaluation_id")).dropna()
     candidates = (
         _narrow(log, "raw_input")
         .filter(F.col("raw_input").isNotNull())
-        .join(wanted.select(*KEY), KEY, "left_semi")
+        .join(broadcast_if_few(wanted), KEY, "left_semi")
     )
     first = dedup_first(candidates, KEY, [*COPY_ORDER, "raw_input"])
     return first.select(*CONFIGURATION, "sample_index", F.col("raw_input").alias("question"))

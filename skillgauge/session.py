@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# Key-like rows of at most a few hundred bytes: under 100 MB in every executor.
+BROADCAST_ROWS = 250_000
 
 
 def build_session(app_name: str = "skillgauge", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,3 +59,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder and forget how it was made."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark `df` for broadcast when a count shows that it is small; otherwise leave the join to Spark.
+
+    The count stops at the limit. Meant for narrow key tables that are already materialised.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
