@@ -50,7 +50,7 @@ def _(t):
     return joined.groupBy("capability").agg(F.count("*").alias("instances"), F.sum("wins").alias("wins"))
 
 
-@check("c10_missing_annotations", "SELECT capability, instance_id FROM (SELECT DISTINCT capability FROM profile), (SELECT instance_id FROM tree_leaf) ANTI JOIN association USING (capability, instance_id)")
+@check("c10_missing_annotations", "SELECT capability, instance_id FROM (SELECT capability, instance_id FROM (SELECT DISTINCT capability FROM profile), tree_leaf) ANTI JOIN association USING (capability, instance_id)")
 def _(t):
     from skillgauge.operators.inference import missing_annotations
 

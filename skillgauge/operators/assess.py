@@ -186,12 +186,12 @@ def intersection_ratio(left: DataFrame, right: DataFrame, keys: Sequence[str], m
 
 
 def set_differences(left: DataFrame, right: DataFrame, member: str = "instance_id") -> DataFrame:
-    """Members missing on either side; both counts are 0 for equal sets, the first for a subset."""
-    only_left = left.select(member).join(right.select(member), member, "left_anti")
-    only_right = right.select(member).join(left.select(member), member, "left_anti")
-    return only_left.agg(F.count("*").alias("only_left")).join(
-        F.broadcast(only_right.agg(F.count("*").alias("only_right"))), how="inner"
+    """Distinct members missing on either side; both counts are 0 for equal sets, the first for a subset."""
+    sides = left.select(member, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select(member, F.lit(0).alias("l"), F.lit(1).alias("r"))
     )
+    members = sides.groupBy(member).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    return members.agg(F.count_if(F.col("l") > F.col("r")).alias("only_left"), F.count_if(F.col("r") > F.col("l")).alias("only_right"))
 
 
 def planted_counts(instances: DataFrame, association: DataFrame, planted: DataFrame) -> DataFrame:
