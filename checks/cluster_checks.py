@@ -39,12 +39,15 @@ def _(t):
 
 
 def silhouettes(t):
-    """The labelling merged into 2, 3, 5 and 10 clusters, scored in one job."""
-    merged = vectors(t).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (2, 3, 5, 10)]))).withColumn("label", F.col("label") % F.col("k"))
-    return clustering.cosine_silhouette(merged, ("k",))
+    """Vectors labelled by the largest of their first k values, for several k, scored in one job."""
+    counts = F.explode(F.array(*[F.lit(k) for k in (2, 3, 5, 10)]))
+    first = F.slice("embedding", F.lit(1), F.col("k"))
+    labelled = vectors(t).withColumn("k", counts).withColumn("label", F.array_position(first, F.array_max(first)))
+    return clustering.cosine_silhouette(labelled, ("k",))
 
 
-@check("f7_best_cluster_count", UNITS + """g AS (SELECT k, label % k AS g, vec_id, d, x FROM u, (VALUES (2), (3), (5), (10)) ks(k)),
+@check("f7_best_cluster_count", UNITS + """b AS (SELECT k, vec_id, list_position(embedding[1:k], list_max(embedding[1:k])) AS g FROM embeddings, (VALUES (2), (3), (5), (10)) ks(k)),
+g AS (SELECT k, g, vec_id, d, x FROM u JOIN b USING (vec_id)),
 s AS (SELECT k, g, d, sum(x) AS x, count(*) AS n FROM g GROUP BY ALL), w AS (SELECT a.k, a.vec_id, a.g AS own, s.g AS other, max(s.n) AS n, max(s.n) - sum(a.x * s.x) AS total FROM g a JOIN s USING (k, d) GROUP BY ALL),
 q AS (SELECT k, vec_id, min(total / (n - 1)) FILTER (own = other AND n > 1) AS a, min(total / n) FILTER (own <> other) AS b FROM w GROUP BY ALL),
 z AS (SELECT k, avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM q GROUP BY k)

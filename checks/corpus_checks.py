@@ -161,9 +161,9 @@ VALID = f"turns >= 2 AND role_0 = 'user' AND role_1 = 'assistant' AND trim(text_
 SPEAKERS = {"first": "user", "second": "assistant"}
 
 
-@check("b8_topic_prefix", "SELECT doc_id, source FROM documents WHERE starts_with(source, 'w')")
+@check("b8_topic_prefix", "SELECT doc_id, source FROM documents WHERE starts_with(source, 'src1')")
 def _(t):
-    return filters.topic_starts_with(t.raw("documents"), "w", "source").select("doc_id", "source")
+    return filters.topic_starts_with(t.raw("documents"), "src1", "source").select("doc_id", "source")
 
 
 @check("b9_valid_dialogues", f"SELECT conv_id, turns FROM first_turns WHERE {VALID}")

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from skillgauge.operators.tree import NODE
@@ -30,20 +30,12 @@ CENTROID_SCHEMA = T.StructType(
 
 
 def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance of two arrays."""
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, d: s + d * d
-    )
-
-
-def unit(vector: Column) -> Column:
-    """The vector at length one; a zero vector stays zero and is at cosine distance one from everything."""
+def _unit(vector: Column) -> Column:
     norm = F.sqrt(_dot(vector, vector))
-    return F.transform(vector, lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
+    return F.transform(vector, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)))
 
 
 def cosine_silhouette(vectors: DataFrame, keys: tuple[str, ...] = (), label: str = "label", vector: str = "embedding") -> DataFrame:
@@ -51,68 +43,44 @@ def cosine_silhouette(vectors: DataFrame, keys: tuple[str, ...] = (), label: str
 
     The mean cosine distance from a row to a cluster follows from the sum of the cluster's unit
     vectors, so no pairs are formed: one vector sum per cluster, then one pass over the rows. The sums
-    of a group, one per cluster, are a short list.
+    of a group are one per cluster, few by construction, and meet a row as one value. A zero vector
+    is at distance one from everything.
     """
-    keys = list(keys)
-    units = vectors.select(*keys, label, unit(F.col(vector)).alias("_unit"))
-    sums = _vector_sums(units, [*keys, label], "_unit").withColumn("_one", F.lit(1))
-    groups = sums.groupBy("_one", *keys).agg(
-        F.collect_list(F.struct(F.col(label).alias("label"), F.col("_count").alias("n"), F.col("_sum").alias("total"))).alias("_clusters")
+    units = vectors.select(
+        *(list(keys) or [F.lit(0).alias("_all")]), F.col(label).alias("_label"), _unit(F.col(vector).cast("array<double>")).alias("_unit")
     )
-    scored = units.withColumn("_one", F.lit(1)).join(groups, ["_one", *keys])
-
-    def mean_distances(own: bool) -> Column:
-        chosen = F.filter("_clusters", lambda c: (c["label"] == F.col(label)) == F.lit(own))
-        size = (lambda c: c["n"] - 1) if own else (lambda c: c["n"])
-        self_distance = F.when(_dot(F.col("_unit"), F.col("_unit")) > 0, 0.0).otherwise(1.0) if own else F.lit(0.0)
-        return F.array_min(
-            F.transform(
-                chosen,
-                lambda c: F.try_divide(c["n"] - _dot(F.col("_unit"), c["total"]) - self_distance, size(c).cast("double")),
-            )
+    keys = list(keys) or ["_all"]
+    clusters = F.struct(F.col("_label").alias("label"), F.col("_count").alias("n"), F.col("_sum").alias("total"))
+    groups = cut_lineage(_vector_sums(units, [*keys, "_label"], "_unit").groupBy(*keys).agg(F.collect_list(clusters).alias("_clusters")))
+    unit = F.col("_unit")
+    own_distance = F.when(_dot(unit, unit) > 0, 0.0).otherwise(1.0)
+    inner = F.array_min(
+        F.transform(
+            F.filter("_clusters", lambda c: c["label"] == F.col("_label")),
+            lambda c: F.try_divide(c["n"] - _dot(unit, c["total"]) - own_distance, (c["n"] - 1).cast("double")),
         )
-
-    inner, outer = mean_distances(True), mean_distances(False)
-    score = F.coalesce(F.try_divide(outer - inner, F.greatest(inner, outer)), F.lit(0.0))
-    return scored.groupBy(*keys).agg(F.avg(score).alias("silhouette"), F.count("*").alias("rows"))
+    )
+    outer = F.array_min(
+        F.transform(
+            F.filter("_clusters", lambda c: c["label"] != F.col("_label")), lambda c: (c["n"] - _dot(unit, c["total"])) / c["n"]
+        )
+    )
+    # A cluster of one, or one cluster alone, scores zero.
+    measured = units.join(broadcast_if_few(groups, 5_000), keys).select(*keys, inner.alias("_a"), outer.alias("_b"))
+    score = F.when(
+        F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b"))
+    )
+    return measured.groupBy(*keys).agg(
+        F.avg(F.coalesce(score, F.lit(0.0))).alias("silhouette"), F.count("*").alias("rows")
+    ).drop("_all")
 
 
 def _vector_sums(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """Elementwise sum and number of vectors per key, added up inside each task first."""
-    value_type = T.ArrayType(T.DoubleType())
-    fields = [*[rows.schema[key] for key in keys], T.StructField("_sum", value_type), T.StructField("_count", T.LongType())]
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        totals: dict[tuple, list] = {}
-        for batch in batches:
-            if batch.empty:
-                continue
-            matrix = np.stack(batch[vector].to_numpy()).astype(float)
-            counts = batch["_count"].to_numpy()
-            key_rows = [
-                tuple(tuple(v) if isinstance(v, np.ndarray) else v for v in row)
-                for row in batch[keys].itertuples(index=False, name=None)
-            ]
-            codes, uniques = pd.factorize(pd.Series(key_rows, dtype=object))
-            for code, key in enumerate(uniques):
-                chosen = codes == code
-                entry = totals.setdefault(key, [0.0, 0])
-                entry[0] = entry[0] + matrix[chosen].sum(axis=0)
-                entry[1] += int(counts[chosen].sum())
-        if totals:
-            out = pd.DataFrame([[*key, total.tolist(), n] for key, (total, n) in totals.items()], columns=[*keys, "_sum", "_count"])
-            yield out
-
-    schema = T.StructType(fields)
-    partial = rows.select(*keys, F.col(vector), F.lit(1).cast("long").alias("_count")).mapInPandas(add, schema)
-    # What is left is one vector per task and key.
-    spread = partial.select(*keys, "_count", F.posexplode("_sum").alias("_i", "_x"))
-    sums = spread.groupBy(*keys, "_i").agg(F.sum("_x").alias("_x"), F.sum("_count").alias("_count"))
-    return sums.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda e: e["_x"]).alias("_sum"),
-        F.max("_count").alias("_count"),
+    """Elementwise sum and number of vectors per key. Each task adds up its own part of a key first, so
+    a key that most rows share is no hot spot."""
+    summary = Summarizer.metrics("sum", "count").summary(array_to_vector(F.col(vector).cast("array<double>")))
+    return rows.groupBy(*keys).agg(summary.alias("_summary")).select(
+        *keys, vector_to_array("_summary.sum").alias("_sum"), F.col("_summary.count").alias("_count")
     )
 
 
@@ -138,6 +106,13 @@ def nearest_clusters(located: DataFrame, centroids: DataFrame, vector: str = "em
     return joined.withColumn("cluster", nearest["cluster"]).drop("_centroids")
 
 
+def squared_distance(a: Column, b: Column) -> Column:
+    """Squared Euclidean distance of two arrays."""
+    return F.aggregate(
+        F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, d: s + d * d
+    )
+
+
 def locate(vectors: DataFrame, centroids: DataFrame, tree_id: str, vector: str = "embedding") -> DataFrame:
     """The path of each vector down the tree, one level per round, until no row moves."""
     centroids = cut_lineage(centroids)

@@ -92,63 +92,62 @@ def balanced_assignment(
     """Give every instance its `picks` best capabilities while loads stay near their prior share.
 
     `scores` has `instance_id` and `scores ARRAY<DOUBLE>`, one entry per capability. Each capability
-    has a price; an instance takes the capabilities with the highest score minus price, and prices
-    follow the loads until each is within `tolerance` of its share or the rounds are used up. A round
-    is one narrow pass with one small sum per capability; only those sums, as many as there are
-    capabilities, reach the driver. The jitter splits instances with equal scores.
-
-    This is an approximation of the exact capacitated assignment: see `assignment_report`.
+    has a price and an instance takes the capabilities with the highest score minus price. An instance
+    takes a capability as long as its price stays under a limit that follows from the instance's other
+    offers; the price that would give a capability its share is therefore a quantile of these limits.
+    Every round moves all prices part of the way there, until each load is within `tolerance` of its
+    share. A round is one narrow pass with a load and a quantile per capability; only those reach the
+    driver. The jitter splits instances with equal scores.
+
+    This approximates the exact capacitated assignment: see `assignment_report`. When no round meets
+    the tolerance, the closest one counts.
     """
-    table = cut_lineage(
-        scores.select(
-            "instance_id",
-            "scores",
-            F.transform(
-                F.sequence(F.lit(0), F.lit(capabilities - 1)),
-                lambda i: F.lit(jitter) * seeded_uniform(seed, F.col("instance_id"), i),
-            ).alias("_jitter"),
-        )
+    jittered = F.transform(
+        "scores", lambda score, i: score.cast("double") + F.lit(jitter) * seeded_uniform(seed, F.col("instance_id"), i)
     )
+    table = cut_lineage(scores.select("instance_id", "scores", jittered.alias("_offer")))
     sums = table.agg(
-        F.count("*").alias("n"),
-        *[F.sum(F.get("scores", F.lit(i))).alias(f"s{i}") for i in range(capabilities)],
+        F.count("*").alias("n"), *[F.sum(F.get("scores", F.lit(i))).alias(f"s{i}") for i in range(capabilities)]
     ).first()
     mass = [float(sums[f"s{i}"] or 0.0) for i in range(capabilities)]
-    total = sum(mass) or 1.0
-    target = [picks * sums["n"] * m / total for m in mass]
+    share = [picks * m / (sum(mass) or 1.0) for m in mass]
 
-    def picked(prices: Sequence[float]) -> DataFrame:
-        priced = F.array(*[F.lit(float(price)) for price in prices])
-        net = F.zip_with(
-            F.zip_with("scores", "_jitter", lambda score, noise: score + noise), priced, lambda value, price: value - price
-        )
+    def priced(prices: Sequence[float]) -> DataFrame:
+        listed = F.array(*[F.lit(float(price)) for price in prices])
+        net = F.zip_with("_offer", listed, lambda offer, price: offer - price)
         ranked = F.sort_array(
             F.transform(net, lambda value, i: F.struct(value.alias("net"), (-i).alias("order"))), asc=False
         )
-        best = F.transform(F.slice(ranked, 1, picks), lambda entry: (1 - entry["order"]).cast("int"))
-        return table.select("instance_id", "scores", F.array_sort(best).alias("assignment"))
+        return table.withColumn("_ranked", ranked).withColumn(
+            "assignment",
+            F.array_sort(F.transform(F.slice("_ranked", 1, picks), lambda entry: (1 - entry["order"]).cast("int"))),
+        )
 
-    def worst(loads: Sequence[float]) -> float:
-        return max((abs(load - t) / t for load, t in zip(loads, target) if t > 0), default=0.0)
+    def limit(i: int):
+        """Price below which the instance takes capability i."""
+        inside = F.array_contains("assignment", i + 1)
+        rival = F.when(inside, F.get("_ranked", F.lit(picks))["net"]).otherwise(F.get("_ranked", F.lit(picks - 1))["net"])
+        return F.get("_offer", F.lit(i)) - rival
 
     prices = [0.0] * capabilities
-    best_prices, best_violation = list(prices), float("inf")
-    for turn in range(rounds):
-        loads = [0.0] * capabilities
-        counted = picked(prices).select(F.explode("assignment").alias("number")).groupBy("number").count()
-        for row in counted.collect():
-            loads[row["number"] - 1] = float(row["count"])
-        violation = worst(loads)
-        if violation < best_violation:
-            best_prices, best_violation = list(prices), violation
+    best_prices, least = list(prices), float("inf")
+    for turn in range(rounds if sums["n"] and capabilities > picks else 0):
+        found = priced(prices).agg(
+            *[F.count_if(F.array_contains("assignment", i + 1)).alias(f"load{i}") for i in range(capabilities)],
+            *[
+                F.percentile_approx(limit(i), F.lit(min(1.0, max(0.0, 1.0 - share[i]))), F.lit(10_000)).alias(f"price{i}")
+                for i in range(capabilities)
+            ],
+        ).first()
+        target = [s * sums["n"] for s in share]
+        violation = max(abs(found[f"load{i}"] - t) / t for i, t in enumerate(target) if t > 0)
+        if violation < least:
+            best_prices, least = list(prices), violation
         if violation <= tolerance:
             break
-        step = 1.0 / (1.0 + 0.1 * turn)
-        prices = [
-            price + step * max(-1.0, min(1.0, (load - t) / t)) if t > 0 else price
-            for price, load, t in zip(prices, loads, target)
-        ]
-    return picked(best_prices)
+        pace = 0.5 / (1.0 + 0.05 * turn)
+        prices = [p + pace * (found[f"price{i}"] - p) for i, p in enumerate(prices)]
+    return priced(best_prices).select("instance_id", "scores", "assignment")
 
 
 def assignment_report(assigned: DataFrame) -> DataFrame:
