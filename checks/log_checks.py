@@ -13,11 +13,11 @@ from skillgauge.sources import logs, sinks
 
 CONFIG = robustness.CONFIGURATION
 COPY_ORDER = ["sample_index", "choices_order", "enumerator", "score", "raw_input", "closest_answer"]
-KEYS = [*CONFIG, "sample_index"]
+KEYS = ["sample_index", *CONFIG]
 
 
 def clean(t):
-    return robustness.dedup_first(t.eval_log(), [*CONFIG, "evaluation_id"], COPY_ORDER)
+    return robustness.dedup_first(t.eval_log(), ["evaluation_id", *CONFIG], COPY_ORDER)
 
 
 def kept(t):

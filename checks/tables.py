@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skillgauge.functions.metrics import preference_wins
 from skillgauge.operators.tree import path_text, prefixes
+from skillgauge.session import spread
+
+
+# Tables that grow with the scale and carry the work of a query.
+LONG_TABLES = {"lineitem", "orders", "documents"}
 
 
 class Tables:
@@ -16,7 +21,8 @@ class Tables:
         self.sf_dir = sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in LONG_TABLES else table
 
     def eval_log(self) -> DataFrame:
         """Perturbed prompts: one row per line item."""

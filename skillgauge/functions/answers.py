@@ -22,56 +22,41 @@ QUOTES = ["'", '"', "`"]
 # Fixed value: the last position that counts.
 LAST_POSITION = 4
 
-_SPACE_CLASS = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
-_LABEL_PATTERN = r"^([^.):]*)[.):]" + _SPACE_CLASS
-
-
-def _leading_label(answer: Column) -> Column:
-    """The text before the first of `. ) :`, if whitespace follows that mark; else the whole text."""
-    label = strip(F.regexp_extract(answer, _LABEL_PATTERN, 1))
-    return F.when(label == "", answer).otherwise(label)
-
-
-def _unquote(label: Column) -> Column:
-    quoted = (
-        (F.length(label) == 3)
-        & F.substring(label, 1, 1).isin(QUOTES)
-        & F.substring(label, 3, 1).isin(QUOTES)
-    )
-    return F.when(quoted, F.substring(label, 2, 1)).otherwise(label)
-
-
-def _bare_label(answer: Column, older_rules: bool) -> Column:
-    """Drop one lead-in, else the quotes; the older rules unquote after a lead-in as well."""
-    label = _leading_label(answer)
-    lowered = F.lower(label)
-    bare = _unquote(label)
-    for lead_in in reversed(LEAD_INS):
-        rest = strip(F.substring(label, F.lit(len(lead_in) + 1), F.length(label)))
-        bare = F.when(lowered.startswith(lead_in), _unquote(rest) if older_rules else rest).otherwise(bare)
-    return bare
+_SPACE = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE) + "]"
+_LEAD_IN = "(?i:" + "|".join(LEAD_INS) + ")"
+_QUOTE = "[" + "".join(QUOTES) + "]"
+# A label that one of `. ) :` and whitespace end.
+_LABELLED = rf"(?s)^([^.):]+)[.):]{_SPACE}.*$"
+_INTRODUCED = rf"(?s)^{_LEAD_IN}(.*)$"
+_QUOTED = rf"(?s)^{_QUOTE}(.){_QUOTE}$"
+_INTRODUCED_OR_QUOTED = rf"(?s)^(?:{_LEAD_IN}(.*)|{_QUOTE}(.){_QUOTE})$"
 
 
 def answer_position(answer: Column, older_rules: bool = False) -> Column:
     """H1: position 1..4 that an answer's leading label names in any alphabet, else null.
 
-    H1b, `older_rules=True`: the first alphabet that holds the label decides, so `I`, the ninth
-    capital, is out of range instead of the first roman number.
+    The label ends at the first of `. ) :` when whitespace follows; otherwise the whole answer is the
+    label. A lead-in is dropped, or else the quotes around a single character.
+
+    H1b, `older_rules=True`: quotes go after a lead-in too, and the first alphabet that holds the label
+    decides, so `I`, the ninth capital, is out of range instead of the first roman number.
+
+    Each step uses the one before exactly once, which keeps the expression small.
     """
-    label = _bare_label(strip(answer), older_rules)
-    ranks: dict[int, list[str]] = {}
-    taken: set[str] = set()
+    label = strip(F.regexp_replace(strip(answer), _LABELLED, "$1"))
+    if older_rules:
+        label = F.regexp_replace(strip(F.regexp_replace(label, _INTRODUCED, "$1")), _QUOTED, "$1")
+    else:
+        label = strip(F.regexp_replace(label, _INTRODUCED_OR_QUOTED, "$1$2"))
+    positions: dict[str, int] = {}
     for letters in ALPHABETS.values():
-        for rank, letter in enumerate(letters, start=1):
-            if older_rules and letter in taken:
-                continue
-            taken.add(letter)
-            if rank <= LAST_POSITION:
-                ranks.setdefault(rank, []).append(letter)
-    position = F.lit(None).cast("int")
-    for rank, letters in ranks.items():
-        position = F.when(label.isin(letters), F.lit(rank)).otherwise(position)
-    return position
+        for position, letter in enumerate(letters, start=1):
+            known = letter in positions if older_rules else positions.get(letter, LAST_POSITION + 1) <= LAST_POSITION
+            if not known:
+                positions[letter] = position
+    valid = {letter: position for letter, position in positions.items() if position <= LAST_POSITION}
+    table = F.create_map(*[F.lit(value) for entry in valid.items() for value in entry])
+    return F.try_element_at(table, label)
 
 
 def choice_position(answer: Column, choices: Column) -> Column:

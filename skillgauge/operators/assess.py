@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from skillgauge.functions.metrics import attacked_probability, draw, success_ratio
 from skillgauge.functions.text import ratio_label
+from skillgauge.session import cut_lineage
 
 
 def associated(association: DataFrame) -> DataFrame:
@@ -39,24 +40,44 @@ def profile_means(profiles: DataFrame, performance: DataFrame, max_size: int | N
     return scored if max_size is None else scored.filter(F.col("size") <= max_size)
 
 
-def union_performance(profiles: DataFrame, association: DataFrame, results: DataFrame) -> DataFrame:
-    """Per profile the number of distinct instances of all its entries and their success ratio.
+def _numbered(profiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Profiles with a number each. There are as many rows as profiles, a few hundred at most."""
+    return profiles.select(*keys).distinct().withColumn("_number", F.row_number().over(W.orderBy(*keys)))
+
 
-    The results are joined before duplicates go, so both steps use one partitioning by instance.
+def _profiles_of_instances(pairs: DataFrame, profiles: DataFrame, numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per instance the numbers of the profiles any of its capabilities belongs to.
+
+    Profiles are listed per capability first, so a pair meets one list instead of one row per profile,
+    and an instance ends with at most one entry per profile.
     """
-    pairs = (
-        associated(association)
-        .join(profiles.select("profile_id", "capability").distinct(), "capability")
-        .join(results.select("instance_id", "wins", "trials"), "instance_id")
-        .dropDuplicates(["profile_id", "instance_id"])
+    listed = (
+        profiles.select(*keys, "capability")
+        .distinct()
+        .join(numbered, list(keys))
+        .groupBy("capability")
+        .agg(F.collect_list("_number").alias("_numbers"))
     )
-    scored = pairs.groupBy("profile_id").agg(
-        F.count("*").alias("num"), F.sum("wins").alias("wins"), F.sum("trials").alias("trials")
+    return (
+        pairs.join(listed, "capability")
+        .groupBy("instance_id")
+        .agg(F.array_distinct(F.flatten(F.collect_list("_numbers"))).alias("_numbers"))
+    )
+
+
+def union_performance(profiles: DataFrame, association: DataFrame, results: DataFrame) -> DataFrame:
+    """Per profile the number of distinct instances of all its entries and their success ratio."""
+    numbered = _numbered(profiles, ["profile_id"])
+    members = _profiles_of_instances(associated(association), profiles, numbered, ["profile_id"]).join(
+        results.select("instance_id", "wins", "trials"), "instance_id"
+    )
+    scored = (
+        members.select(F.explode("_numbers").alias("_number"), "wins", "trials")
+        .groupBy("_number")
+        .agg(F.count("*").alias("num"), F.sum("wins").alias("wins"), F.sum("trials").alias("trials"))
     )
     return (
-        profiles.select("profile_id")
-        .distinct()
-        .join(scored, "profile_id", "left")
+        numbered.join(scored, "_number", "left")
         .select(
             "profile_id",
             F.coalesce("num", F.lit(0)).alias("num"),
@@ -83,39 +104,58 @@ def overlap(truth: DataFrame, predicted: DataFrame, association: DataFrame, keys
     """D15, long form: for each true and predicted capability the share its instances have in the other side's union.
 
     `truth` holds `capability`, `predicted` holds `keys` and `capability`. One row per profile, side
-    and capability, with the counts behind the share.
+    and capability, with the counts behind the share. The association table is read once: it is
+    gathered per instance, and every count is a sum over instances.
     """
     keys = list(keys)
-    pairs = associated(association)
     truth, predicted = truth.select("capability").distinct(), predicted.select(*keys, "capability").distinct()
-    true_pairs = pairs.join(truth, "capability", "left_semi")
-    covered = pairs.join(predicted, "capability").select(*keys, "instance_id").distinct()
+    numbered = _numbered(predicted, keys)
+    listed = (
+        predicted.join(numbered, keys).groupBy("capability").agg(F.collect_list("_number").alias("_numbers"))
+    )
+    roles = listed.join(truth.withColumn("_true", F.lit(True)), "capability", "full")
+    none = F.array().cast("array<int>")
+    per_instance = (
+        associated(association)
+        .join(roles, "capability")
+        .groupBy("instance_id")
+        .agg(
+            F.collect_list("capability").alias("_all"),
+            F.collect_list(F.when(F.col("_true"), F.col("capability"))).alias("_true"),
+            F.array_distinct(F.flatten(F.collect_list(F.coalesce("_numbers", none)))).alias("_numbers"),
+        )
+    )
 
-    totals = pairs.groupBy("capability").agg(F.count("*").alias("whole"))
-    true_hits = true_pairs.join(covered, "instance_id").groupBy(*keys, "capability").agg(F.count("*").alias("part"))
+    def event(number, capability, planted):
+        return F.struct(number.alias("_number"), capability.alias("capability"), planted.alias("_planted"))
+
+    # Number 0 counts a capability's instances and those of them that the truth covers.
+    planted = (F.size("_true") > 0).cast("int")
+    own = F.transform("_all", lambda capability: event(F.lit(0), capability, planted))
+    covered = F.flatten(
+        F.transform("_true", lambda capability: F.transform("_numbers", lambda n: event(n, capability, F.lit(0))))
+    )
+    counts = cut_lineage(
+        per_instance.select(F.inline(F.concat(own, covered)))
+        .groupBy("_number", "capability")
+        .agg(F.count("*").alias("n"), F.sum("_planted").alias("planted"))
+    )
+    totals = counts.filter("_number = 0").select("capability", F.col("n").alias("whole"), "planted")
     # Every profile answers for every true capability: two short lists, profiles and planted weaknesses.
-    all_true = truth.agg(F.collect_list("capability").alias("_all"))
+    all_true = F.broadcast(truth.agg(F.collect_list("capability").alias("_all"), F.lit(1).alias("_one")))
     recall = (
-        predicted.select(*keys)
-        .distinct()
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(all_true.withColumn("_one", F.lit(1))), "_one")
-        .select(*keys, F.explode("_all").alias("capability"))
-        .join(true_hits, [*keys, "capability"], "left")
-        .withColumn("side", F.lit("recall"))
+        numbered.withColumn("_one", F.lit(1))
+        .join(all_true, "_one")
+        .select(*keys, "_number", F.explode("_all").alias("capability"))
+        .join(counts.select("_number", "capability", F.col("n").alias("part")), ["_number", "capability"], "left")
+        .join(totals.select("capability", "whole"), "capability", "left")
+        .select(*keys, "capability", F.lit("recall").alias("side"), "part", "whole")
     )
-
-    planted = true_pairs.select("instance_id").distinct()
-    predicted_hits = (
-        pairs.join(predicted.select("capability").distinct(), "capability", "left_semi")
-        .join(planted, "instance_id", "left_semi")
-        .groupBy("capability")
-        .agg(F.count("*").alias("part"))
+    precision = predicted.join(totals, "capability", "left").select(
+        *keys, "capability", F.lit("precision").alias("side"), F.col("planted").alias("part"), "whole"
     )
-    precision = predicted.join(predicted_hits, "capability", "left").withColumn("side", F.lit("precision"))
     return (
         recall.unionByName(precision)
-        .join(totals, "capability", "left")
         .fillna(0, ["part", "whole"])
         .withColumns(
             {

@@ -128,7 +128,7 @@ def configuration_status(clean: DataFrame, grid: DataFrame, threshold: float) ->
     kept = unbiased_order()
     average = round3(F.avg(F.when(kept, F.col("score"))))
     stages = (
-        clean.groupBy(*CONFIGURATION, "sample_index")
+        clean.groupBy("sample_index", *CONFIGURATION)
         .agg(F.count("*").alias("loaded"), F.count_if(kept).alias("kept"), average.alias("average_score"))
         .groupBy(*CONFIGURATION)
         .agg(

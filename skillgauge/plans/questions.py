@@ -20,7 +20,9 @@ from skillgauge.session import broadcast_if_few, cut_lineage
 # Columns that put the copies of one evaluation in a fixed order. The text columns come last, so the
 # narrow part of the plan can leave them out.
 COPY_ORDER = ["sample_index", "choices_order", "enumerator", "score"]
-KEY = [*CONFIGURATION, "evaluation_id"]
+# The id comes first: it tells rows apart at once when they are sorted.
+KEY = ["evaluation_id", *CONFIGURATION]
+QUESTION = ["sample_index", *CONFIGURATION]
 
 
 def _narrow(log: DataFrame, *extra) -> DataFrame:
@@ -36,9 +38,9 @@ def low_performing_questions(log: DataFrame, threshold: float = 0.5) -> DataFram
     """
     slim = _narrow(log, F.col("raw_input").isNotNull().alias("has_text"))
     clean = dedup_first(slim, KEY, COPY_ORDER + [F.desc("has_text")])
-    scores = question_robustness(drop_biased_orders(clean), [*CONFIGURATION, "sample_index"])
+    scores = question_robustness(drop_biased_orders(clean), QUESTION)
     low = cut_lineage(low_performers(scores, threshold))
-    return low.join(question_texts(log, low), [*CONFIGURATION, "sample_index"], "left").select(
+    return low.join(question_texts(log, low), QUESTION, "left").select(
         *CONFIGURATION, "sample_index", "average_score", "question"
     )
 
@@ -65,9 +67,8 @@ def low_performing_answers(log: DataFrame, threshold: float = 0.1, older_rules:
     """
     answers = log.select(*KEY, *COPY_ORDER, "closest_answer")
     clean = drop_biased_orders(dedup_first(answers, KEY, [*COPY_ORDER, "closest_answer"]))
-    keys = [*CONFIGURATION, "sample_index"]
-    low = low_performers(question_accuracy(clean, keys), threshold, "accuracy")
-    return keep_low_rows(clean, low, keys).withColumn(
+    low = low_performers(question_accuracy(clean, QUESTION), threshold, "accuracy")
+    return keep_low_rows(clean, low, QUESTION).withColumn(
         "chosen_position", answer_position(F.col("closest_answer"), older_rules)
     )
 

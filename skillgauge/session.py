@@ -67,3 +67,13 @@ def broadcast_if_few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     The count stops at the limit. Meant for narrow key tables that are already materialised.
     """
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a scan with fewer splits than cores out over the cores.
+
+    A table written as one row group is one split, whatever its size, and everything up to the first
+    shuffle would run in one task. A scan with enough splits, as any large table has, passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
