@@ -213,7 +213,7 @@ def _(t):
 
 PREFIX = f"""
 WITH p AS (SELECT concat('m', number % 2) AS method, number, concat('cap ', number) AS capability, avg({RATE}) AS performance FROM {LONG} JOIN tree_leaf USING (instance_id) GROUP BY number)
-SELECT method, row_number() OVER w AS profile_size, array_to_string(list(capability) OVER w, ';') AS profile FROM p WINDOW w AS (PARTITION BY method ORDER BY performance, number ROWS UNBOUNDED PRECEDING)"""
+SELECT method, CAST(row_number() OVER w AS INT) AS profile_size, array_to_string(list(capability) OVER w, ';') AS profile FROM p WINDOW w AS (PARTITION BY method ORDER BY performance, number ROWS UNBOUNDED PRECEDING)"""
 
 
 def growing(t, size=None):

@@ -406,7 +406,7 @@ def digest_provider():
     return provider
 
 
-@check("j1_batch_completion", "SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN 'YES' ELSE 'NO' END AS response, length(text) AS prompt_tokens, 1 AS completion_tokens, false AS failed FROM documents")
+@check("j1_batch_completion", "SELECT doc_id, CASE WHEN length(text) % 2 = 0 THEN 'YES' ELSE 'NO' END AS response, length(text) AS prompt_tokens, CAST(1 AS BIGINT) AS completion_tokens, false AS failed FROM documents")
 def _(t):
     return inference.complete(t.raw("documents").select("doc_id", F.col("text").alias("prompt")), length_provider()).drop("prompt")
 

@@ -197,7 +197,7 @@ SELECT c_custkey AS instance_id, n_regionkey AS l1, n_nationkey AS l2, CAST(c_cu
 FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "tree_node": """
 SELECT CASE WHEN GROUPING(l1) = 1 THEN '' WHEN GROUPING(l2) = 1 THEN concat(l1) WHEN GROUPING(l3) = 1 THEN concat(l1, '/', l2) ELSE concat(l1, '/', l2, '/', l3) END AS path,
-  3 - GROUPING(l1) - GROUPING(l2) - GROUPING(l3) AS depth, count(*) AS size, CAST(sum(acc) AS BIGINT) AS acc,
+  CAST(3 - GROUPING(l1) - GROUPING(l2) - GROUPING(l3) AS INT) AS depth, count(*) AS size, CAST(sum(acc) AS BIGINT) AS acc,
   CAST(sum((pref_a = 1)::INT + (pref_b = 1)::INT) AS BIGINT) AS pref
 FROM tree_leaf GROUP BY ROLLUP (l1, l2, l3)""",
     # Exact interval bounds by bisection on the binomial tails.
