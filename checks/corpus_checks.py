@@ -63,12 +63,12 @@ def _(t):
     return docs.scan_reports(t.spark, path).select(F.regexp_extract("file", r"nation=(\d+)", 1).cast("int").alias("nation"), "mean")
 
 
-@check("a12_numbered_profiles", "SELECT profile_id, capability FROM profile WHERE profile_id <= 30")
+@check("a12_numbered_profiles", "SELECT profile_id, capability FROM profile")
 def _(t):
     base = scratch_path(t.spark, "profiles")
     lists = t.profile().groupBy("profile_id").agg(F.to_json(F.array_sort(F.collect_list("capability"))).alias("value"))
     lists.select(F.col("profile_id").alias("size"), "value").repartition("size").write.partitionBy("size").option("lineSep", " ").text(base)
-    return docs.scan_numbered(t.spark, base + "/size={PLACEHOLDER}", 30).select("profile_id", "capability")
+    return docs.scan_numbered(t.spark, base + "/size={PLACEHOLDER}", 120).select("profile_id", "capability")
 
 
 @check("a13_sorted_json_sink", "SELECT p_size AS size, count(*) AS parts, sum(p_partkey)::BIGINT AS keys FROM part GROUP BY p_size")
@@ -441,13 +441,13 @@ def _(t):
 
 
 @check("a11_annotation_cache", """
-WITH caps AS (SELECT DISTINCT capability FROM profile WHERE profile_id <= 3),
+WITH caps AS (SELECT DISTINCT capability FROM profile),
 grid AS (SELECT capability, instance_id, concat(capability, ' / ', c_name, ' / ', c_mktsegment) AS prompt FROM caps, tree_leaf JOIN customer ON c_custkey = instance_id)
 SELECT capability, instance_id, label FROM association
 UNION ALL SELECT capability, instance_id, CASE WHEN length(prompt) % 2 = 0 THEN 'YES' ELSE 'NO' END FROM grid ANTI JOIN association USING (capability, instance_id)""")
 def _(t):
     instances = t.raw("customer").select(F.col("c_custkey").alias("instance_id"), F.col("c_name").alias("input"), F.col("c_mktsegment").alias("output"))
-    wanted = t.profile().filter("profile_id <= 3").select("capability")
+    wanted = t.profile().select("capability")
     return inference.annotate(wanted, instances, t.association(), "{capability} / {input} / {output}", length_provider())
 
 

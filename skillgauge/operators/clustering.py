@@ -137,8 +137,9 @@ def best_cluster_count(scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFra
     return scores.groupBy(*keys).agg(best.alias("k"), F.max("silhouette").alias("silhouette")).filter("silhouette > 0")
 
 
+# Rows of a split are its instances, each with its cluster (null: stays) and vector, and its centroids.
 SPLIT_SCHEMA = (
-    "tree_id string, path array<int>, instance_id bigint, cluster int, centroid array<double>"
+    "tree_id string, path array<int>, instance_id bigint, embedding array<float>, cluster int, centroid array<double>"
 )
 
 
@@ -151,8 +152,8 @@ def _split_group(max_children: int, seed: int):
         path = list(frame["path"].iloc[0])
         tree_id = frame["tree_id"].iloc[0]
         frame = frame.sort_values("instance_id")
-        ids = frame["instance_id"].to_numpy()
-        x = np.stack(frame["embedding"].to_numpy()).astype(float)
+        ids, vectors = frame["instance_id"].to_numpy(), list(frame["embedding"])
+        x = np.stack(vectors).astype(float)
         n = len(ids)
         norms = np.linalg.norm(x, axis=1, keepdims=True)
         units = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
@@ -204,16 +205,19 @@ def _split_group(max_children: int, seed: int):
         if best is None or best[0] <= 0:
             # One group of leaves.
             return pd.DataFrame(
-                {"tree_id": tree_id, "path": [path] * n, "instance_id": ids, "cluster": None, "centroid": None}
+                {"tree_id": tree_id, "path": [path] * n, "instance_id": ids, "embedding": vectors, "cluster": None, "centroid": None}
             )
         _, labels, centers = best
-        rows = pd.DataFrame({"tree_id": tree_id, "path": [path] * n, "instance_id": ids, "cluster": labels, "centroid": None})
+        rows = pd.DataFrame(
+            {"tree_id": tree_id, "path": [path] * n, "instance_id": ids, "embedding": vectors, "cluster": labels, "centroid": None}
+        )
         used = np.unique(labels)
         nodes = pd.DataFrame(
             {
                 "tree_id": tree_id,
                 "path": [path] * len(used),
                 "instance_id": None,
+                "embedding": None,
                 "cluster": used,
                 "centroid": [centers[c].tolist() for c in used],
             }
@@ -242,14 +246,18 @@ def _split_large(rows: DataFrame, max_children: int, seed: int) -> DataFrame:
             fitted[k] = (score["silhouette"], labelled, model)
         best = max(fitted, key=lambda k: (fitted[k][0], -k), default=None)
         if best is None or fitted[best][0] <= 0:
-            return rows.select(*NODE, "instance_id", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("array<double>").alias("centroid"))
+            return rows.select(
+                *NODE, "instance_id", "embedding", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("array<double>").alias("centroid")
+            )
         _, labelled, model = fitted[best]
         used = {row["cluster"] for row in labelled.select("cluster").distinct().collect()}
         nodes = rows.sparkSession.createDataFrame(
-            [(node["tree_id"], list(node["path"]), None, c, [float(v) for v in center]) for c, center in enumerate(model.clusterCenters()) if c in used],
+            [(node["tree_id"], list(node["path"]), None, None, c, [float(v) for v in center]) for c, center in enumerate(model.clusterCenters()) if c in used],
             SPLIT_SCHEMA,
         )
-        labels = labelled.select(*NODE, "instance_id", F.col("cluster").cast("int").alias("cluster"), F.lit(None).cast("array<double>").alias("centroid"))
+        labels = labelled.select(
+            *NODE, "instance_id", "embedding", F.col("cluster").cast("int").alias("cluster"), F.lit(None).cast("array<double>").alias("centroid")
+        )
         return cut_lineage(labels.unionByName(nodes))
     finally:
         prepared.unpersist()
@@ -272,7 +280,12 @@ def build_tree(
     first = vectors.select(F.size("embedding").alias("n")).first()
     limit = task_rows or max(100, TASK_VALUES // max(1, first["n"]))
     level = cut_lineage(
-        vectors.select(F.lit(tree_id).alias("tree_id"), F.array().cast("array<int>").alias("path"), "instance_id", "embedding")
+        vectors.select(
+            F.lit(tree_id).alias("tree_id"),
+            F.array().cast("array<int>").alias("path"),
+            F.col("instance_id").cast("bigint").alias("instance_id"),
+            F.col("embedding").cast("array<float>").alias("embedding"),
+        )
     )
     leaves: list[DataFrame] = []
     centroids: list[DataFrame] = []
@@ -287,11 +300,8 @@ def build_tree(
         splits = cut_lineage(splits)
         centroids.append(splits.filter("instance_id IS NULL").select(*NODE, "cluster", "centroid"))
         leaves.append(splits.filter("instance_id IS NOT NULL AND cluster IS NULL").select("tree_id", "instance_id", "path"))
-        moved = splits.filter("instance_id IS NOT NULL AND cluster IS NOT NULL").select(
-            "tree_id", "instance_id", F.array_append("path", F.col("cluster")).alias("_next")
-        )
-        below = cut_lineage(
-            level.join(moved, ["tree_id", "instance_id"]).select("tree_id", F.col("_next").alias("path"), "instance_id", "embedding")
+        below = splits.filter("instance_id IS NOT NULL AND cluster IS NOT NULL").select(
+            "tree_id", F.array_append("path", F.col("cluster")).alias("path"), "instance_id", "embedding"
         )
         # A cluster of one is a leaf of its own.
         single = below.groupBy(*NODE).agg(F.count("*").alias("n")).filter("n = 1").select(*NODE)

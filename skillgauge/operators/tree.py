@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from skillgauge.functions.binomial import exact_interval
 from skillgauge.functions.metrics import significant
-from skillgauge.session import cut_lineage
+from skillgauge.session import broadcast_if_few, cut_lineage
 
 # Interval levels, fewest instances for an interval, size from which a child is tested.
 ALPHAS = (0.01, 0.05)
@@ -137,21 +137,33 @@ def with_descriptions(nodes: DataFrame, descriptions: DataFrame) -> DataFrame:
     return nodes.join(descriptions.select(*NODE, "description"), NODE, "inner")
 
 
+def _nodes_above(placed: DataFrame, nodes: DataFrame, proper: bool) -> DataFrame:
+    """For every path at which instances hang, the given nodes on the way to it.
+
+    Works on distinct paths, of which there are far fewer than instances, so neither the instances nor
+    the root, which lies on every way, are multiplied.
+    """
+    ends = placed.select(*NODE).distinct().withColumnRenamed("path", "end_path")
+    ways = ends.withColumn("path", F.explode(prefixes(F.col("end_path"), proper)))
+    return cut_lineage(ways.join(broadcast_if_few(nodes), NODE, "inner"))
+
+
+def _attach(placed: DataFrame, above: DataFrame) -> DataFrame:
+    return placed.withColumnRenamed("path", "end_path").join(broadcast_if_few(above), ["tree_id", "end_path"], "inner")
+
+
 def instances_on_path(located: DataFrame, nodes: DataFrame) -> DataFrame:
     """Located instances joined to the nodes they pass on the way down.
 
     The node an instance ends in is not passed, so only proper prefixes of its path count.
     """
-    walked = located.withColumnRenamed("path", "end_path").withColumn(
-        "path", F.explode(prefixes(F.col("end_path"), proper=True))
-    )
-    return walked.join(nodes, NODE, "inner")
+    return _attach(located, _nodes_above(located, nodes, proper=True))
 
 
 def instances_below(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Leaves under each of some nodes that do not lie under one another."""
-    walked = leaves.select("tree_id", "instance_id", F.explode(prefixes(F.col("path"))).alias("path"))
-    return walked.join(nodes, NODE, "inner")
+    """The leaves under each of some nodes, one row per node and leaf."""
+    placed = leaves.select("tree_id", "instance_id", "path")
+    return _attach(placed, _nodes_above(placed, nodes, proper=False)).drop("end_path")
 
 
 def weakness_profile(

@@ -19,6 +19,7 @@ def build_session(app_name: str = "skillgauge", master: str | None = None, **con
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
