@@ -137,9 +137,11 @@ def best_cluster_count(scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFra
     return scores.groupBy(*keys).agg(best.alias("k"), F.max("silhouette").alias("silhouette")).filter("silhouette > 0")
 
 
-# Rows of a split are its instances, each with its cluster (null: stays) and vector, and its centroids.
+# Rows of a split are its instances, each with its cluster (null: stays), the size of that cluster and
+# its vector, and one row per cluster with size and centroid.
 SPLIT_SCHEMA = (
-    "tree_id string, path array<int>, instance_id bigint, embedding array<float>, cluster int, centroid array<double>"
+    "tree_id string, path array<int>, instance_id bigint, embedding array<float>, cluster int, size bigint, "
+    "centroid array<double>"
 )
 
 
@@ -205,21 +207,23 @@ def _split_group(max_children: int, seed: int):
         if best is None or best[0] <= 0:
             # One group of leaves.
             return pd.DataFrame(
-                {"tree_id": tree_id, "path": [path] * n, "instance_id": ids, "embedding": vectors, "cluster": None, "centroid": None}
+                {
+                    "tree_id": tree_id, "path": [path] * n, "instance_id": ids, "embedding": vectors,
+                    "cluster": None, "size": None, "centroid": None,
+                }
             )
         _, labels, centers = best
+        used, codes, counts = np.unique(labels, return_inverse=True, return_counts=True)
         rows = pd.DataFrame(
-            {"tree_id": tree_id, "path": [path] * n, "instance_id": ids, "embedding": vectors, "cluster": labels, "centroid": None}
+            {
+                "tree_id": tree_id, "path": [path] * n, "instance_id": ids, "embedding": vectors,
+                "cluster": labels, "size": counts[codes], "centroid": None,
+            }
         )
-        used = np.unique(labels)
         nodes = pd.DataFrame(
             {
-                "tree_id": tree_id,
-                "path": [path] * len(used),
-                "instance_id": None,
-                "embedding": None,
-                "cluster": used,
-                "centroid": [centers[c].tolist() for c in used],
+                "tree_id": tree_id, "path": [path] * len(used), "instance_id": None, "embedding": None,
+                "cluster": used, "size": counts, "centroid": [centers[c].tolist() for c in used],
             }
         )
         out = pd.concat([rows, nodes], ignore_index=True)
@@ -232,31 +236,37 @@ def _split_group(max_children: int, seed: int):
 def _split_large(rows: DataFrame, max_children: int, seed: int) -> DataFrame:
     """Splits one node too large for a task: Spark's own k-means for every allowed count, then F7."""
     prepared = rows.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))).persist()
-    node = rows.select(*NODE).first()
+    stays = rows.select(
+        *NODE, "instance_id", "embedding",
+        F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("array<double>").alias("centroid"),
+    )
     try:
-        fitted = {}
+        best = None
         for k in range(2, max_children + 1):
             model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=50).fit(prepared)
             labelled = model.transform(prepared).drop("features")
-            score = cosine_silhouette(labelled, (), "cluster").first()
-            clusters = labelled.select("cluster").distinct().count()
-            if clusters == 1:
-                fitted = {}
-                break
-            fitted[k] = (score["silhouette"], labelled, model)
-        best = max(fitted, key=lambda k: (fitted[k][0], -k), default=None)
-        if best is None or fitted[best][0] <= 0:
-            return rows.select(
-                *NODE, "instance_id", "embedding", F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("array<double>").alias("centroid")
-            )
-        _, labelled, model = fitted[best]
-        used = {row["cluster"] for row in labelled.select("cluster").distinct().collect()}
+            sizes = {row["cluster"]: row["count"] for row in labelled.groupBy("cluster").count().collect()}
+            if len(sizes) == 1:
+                return stays
+            silhouette = cosine_silhouette(labelled, (), "cluster").first()["silhouette"]
+            if best is None or silhouette > best[0]:
+                best = (silhouette, labelled, model, sizes)
+        if best is None or best[0] <= 0:
+            return stays
+        _, labelled, model, sizes = best
+        node = rows.select(*NODE).first()
         nodes = rows.sparkSession.createDataFrame(
-            [(node["tree_id"], list(node["path"]), None, None, c, [float(v) for v in center]) for c, center in enumerate(model.clusterCenters()) if c in used],
+            [
+                (node["tree_id"], list(node["path"]), None, None, c, sizes[c], [float(v) for v in center])
+                for c, center in enumerate(model.clusterCenters())
+                if c in sizes
+            ],
             SPLIT_SCHEMA,
         )
+        size_of = F.create_map(*[F.lit(value) for entry in sizes.items() for value in entry])
         labels = labelled.select(
-            *NODE, "instance_id", "embedding", F.col("cluster").cast("int").alias("cluster"), F.lit(None).cast("array<double>").alias("centroid")
+            *NODE, "instance_id", "embedding", F.col("cluster").cast("int").alias("cluster"),
+            F.element_at(size_of, F.col("cluster")).cast("bigint").alias("size"), F.lit(None).cast("array<double>").alias("centroid"),
         )
         return cut_lineage(labels.unionByName(nodes))
     finally:
@@ -279,34 +289,39 @@ def build_tree(
     """
     first = vectors.select(F.size("embedding").alias("n")).first()
     limit = task_rows or max(100, TASK_VALUES // max(1, first["n"]))
+    rows = vectors.count()
     level = cut_lineage(
         vectors.select(
             F.lit(tree_id).alias("tree_id"),
             F.array().cast("array<int>").alias("path"),
             F.col("instance_id").cast("bigint").alias("instance_id"),
             F.col("embedding").cast("array<float>").alias("embedding"),
+            F.lit(rows).cast("bigint").alias("size"),
         )
     )
+    large: list[list[int]] = [[]] if rows > limit else []
     leaves: list[DataFrame] = []
     centroids: list[DataFrame] = []
     while True:
-        sizes = level.groupBy(*NODE).agg(F.count("*").alias("n"))
-        large = [(row["tree_id"], list(row["path"])) for row in sizes.filter(F.col("n") > limit).collect()]
-        small = level.join(sizes.filter(F.col("n") <= limit).select(*NODE), NODE, "left_semi")
+        # Every row knows the size of its node, so large nodes never enter the grouped shuffle.
+        small = level.filter(F.col("size") <= limit).drop("size")
         splits = small.groupBy(*NODE).applyInPandas(_split_group(max_children, seed), SPLIT_SCHEMA)
-        for name, path in large:
+        for path in large:
             own = F.array(*[F.lit(step) for step in path]).cast("array<int>")
-            splits = splits.unionByName(_split_large(level.filter((F.col("tree_id") == name) & (F.col("path") == own)), max_children, seed))
+            node_rows = level.filter((F.col("size") > limit) & (F.col("path") == own)).drop("size")
+            splits = splits.unionByName(_split_large(node_rows, max_children, seed))
         splits = cut_lineage(splits)
-        centroids.append(splits.filter("instance_id IS NULL").select(*NODE, "cluster", "centroid"))
-        leaves.append(splits.filter("instance_id IS NOT NULL AND cluster IS NULL").select("tree_id", "instance_id", "path"))
-        below = splits.filter("instance_id IS NOT NULL AND cluster IS NOT NULL").select(
-            "tree_id", F.array_append("path", F.col("cluster")).alias("path"), "instance_id", "embedding"
+        nodes = splits.filter("instance_id IS NULL")
+        moved = splits.filter("instance_id IS NOT NULL AND cluster IS NOT NULL").select(
+            "tree_id", F.array_append("path", F.col("cluster")).alias("path"), "instance_id", "embedding", "size"
         )
+        centroids.append(nodes.select(*NODE, "cluster", "centroid"))
+        leaves.append(splits.filter("instance_id IS NOT NULL AND cluster IS NULL").select("tree_id", "instance_id", "path"))
         # A cluster of one is a leaf of its own.
-        single = below.groupBy(*NODE).agg(F.count("*").alias("n")).filter("n = 1").select(*NODE)
-        leaves.append(below.join(single, NODE, "left_semi").select("tree_id", "instance_id", "path"))
-        level = below.join(single, NODE, "left_anti")
-        if level.isEmpty():
+        leaves.append(moved.filter("size = 1").select("tree_id", "instance_id", "path"))
+        level = moved.filter("size > 1")
+        below = nodes.filter("size > 1").select(F.array_append("path", F.col("cluster")).alias("path"), "size")
+        large = [list(row["path"]) for row in below.filter(F.col("size") > limit).collect()]
+        if below.isEmpty():
             break
     return functools.reduce(DataFrame.unionByName, leaves), functools.reduce(DataFrame.unionByName, centroids)
