@@ -126,12 +126,12 @@ def _(t):
     return scored.select("tree_id", F.element_at("path", 1).cast("bigint").alias("step"), "question", "score")
 
 
-PAIRS = "WITH s AS (SELECT sample_index, CAST(round_even(avg(score), 3) AS DOUBLE) AS score FROM eval_log GROUP BY ALL), p AS (SELECT p_type AS category, s.score, CAST(round_even(p_retailprice / 3, 3) AS DOUBLE) AS skill FROM s JOIN part ON p_partkey = sample_index)"
+PAIRS = "WITH s AS (SELECT sample_index, CAST(round_even(avg(score), 3) AS DOUBLE) AS score FROM eval_log GROUP BY ALL), p AS (SELECT p_type AS category, s.score, p_size / 50 AS skill FROM s JOIN part ON p_partkey = sample_index)"
 
 
 def question_pairs(t):
     scores = t.eval_log().groupBy("sample_index").agg(F.bround(F.avg("score"), 3).alias("score"))
-    part = t.raw("part").select(F.col("p_partkey").alias("sample_index"), F.col("p_type").alias("category"), F.bround(F.col("p_retailprice") / 3, 3).alias("skill"))
+    part = t.raw("part").select(F.col("p_partkey").alias("sample_index"), F.col("p_type").alias("category"), (F.col("p_size") / 50).alias("skill"))
     return scores.join(part, "sample_index")
 
 

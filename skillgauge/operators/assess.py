@@ -142,11 +142,9 @@ def overlap(truth: DataFrame, predicted: DataFrame, association: DataFrame, keys
     )
     totals = counts.filter("_number = 0").select("capability", F.col("n").alias("whole"), "planted")
     # Every profile answers for every true capability: two short lists, profiles and planted weaknesses.
-    all_true = F.broadcast(truth.agg(F.collect_list("capability").alias("_all"), F.lit(1).alias("_one")))
+    all_true = truth.agg(F.collect_list("capability")).scalar()
     recall = (
-        numbered.withColumn("_one", F.lit(1))
-        .join(all_true, "_one")
-        .select(*keys, "_number", F.explode("_all").alias("capability"))
+        numbered.select(*keys, "_number", F.explode(all_true).alias("capability"))
         .join(counts.select("_number", "capability", F.col("n").alias("part")), ["_number", "capability"], "left")
         .join(totals.select("capability", "whole"), "capability", "left")
         .select(*keys, "capability", F.lit("recall").alias("side"), "part", "whole")

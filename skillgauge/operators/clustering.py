@@ -46,12 +46,14 @@ def cosine_silhouette(vectors: DataFrame, keys: tuple[str, ...] = (), label: str
     of a group are one per cluster, few by construction, and meet a row as one value. A zero vector
     is at distance one from everything.
     """
-    units = vectors.select(
-        *(list(keys) or [F.lit(0).alias("_all")]), F.col(label).alias("_label"), _unit(F.col(vector).cast("array<double>")).alias("_unit")
-    )
-    keys = list(keys) or ["_all"]
-    clusters = F.struct(F.col("_label").alias("label"), F.col("_count").alias("n"), F.col("_sum").alias("total"))
-    groups = cut_lineage(_vector_sums(units, [*keys, "_label"], "_unit").groupBy(*keys).agg(F.collect_list(clusters).alias("_clusters")))
+    keys = list(keys)
+    units = vectors.select(*keys, F.col(label).alias("_label"), _unit(F.col(vector).cast("array<double>")).alias("_unit"))
+    sums = cut_lineage(_vector_sums(units, [*keys, "_label"], "_unit"))
+    gathered = F.collect_list(F.struct(F.col("_label").alias("label"), F.col("_count").alias("n"), F.col("_sum").alias("total")))
+    if keys:
+        measured = units.join(broadcast_if_few(sums.groupBy(*keys).agg(gathered.alias("_clusters")), 5_000), keys)
+    else:
+        measured = units.withColumn("_clusters", sums.agg(gathered).scalar())
     unit = F.col("_unit")
     own_distance = F.when(_dot(unit, unit) > 0, 0.0).otherwise(1.0)
     inner = F.array_min(
@@ -66,13 +68,13 @@ def cosine_silhouette(vectors: DataFrame, keys: tuple[str, ...] = (), label: str
         )
     )
     # A cluster of one, or one cluster alone, scores zero.
-    measured = units.join(broadcast_if_few(groups, 5_000), keys).select(*keys, inner.alias("_a"), outer.alias("_b"))
+    measured = measured.select(*keys, inner.alias("_a"), outer.alias("_b"))
     score = F.when(
         F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b"))
     )
     return measured.groupBy(*keys).agg(
         F.avg(F.coalesce(score, F.lit(0.0))).alias("silhouette"), F.count("*").alias("rows")
-    ).drop("_all")
+    )
 
 
 def _vector_sums(rows: DataFrame, keys: list[str], vector: str) -> DataFrame:

@@ -123,7 +123,7 @@ def missing_annotations(capabilities: DataFrame, instances: DataFrame, cache: Da
     The capabilities of a profile are a short list. Each instance is compared with the labels it
     already has as one set, so the full grid of pairs is never built only to be thrown away.
     """
-    wanted = capabilities.select("capability").distinct().agg(F.array_sort(F.collect_list("capability")).alias("_wanted"))
+    wanted = capabilities.agg(F.array_sort(F.collect_set("capability")).alias("_wanted")).scalar()
     known = (
         cache.filter(F.col("label").isin(LABELS))
         .join(capabilities.select("capability").distinct(), "capability", "left_semi")
@@ -134,10 +134,8 @@ def missing_annotations(capabilities: DataFrame, instances: DataFrame, cache: Da
         instances.select("instance_id")
         .distinct()
         .join(known, "instance_id", "left")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(wanted.withColumn("_one", F.lit(1))), "_one")
         .select(
-            F.explode(F.array_except("_wanted", F.coalesce("_known", F.array().cast("array<string>")))).alias("capability"),
+            F.explode(F.array_except(wanted, F.coalesce("_known", F.array().cast("array<string>")))).alias("capability"),
             "instance_id",
         )
     )

@@ -158,15 +158,15 @@ def assignment_report(assigned: DataFrame) -> DataFrame:
     mass = assigned.select(F.posexplode("scores").alias("position", "score")).groupBy(
         (F.col("position") + 1).alias("number")
     ).agg(F.sum("score").alias("mass"))
-    totals = F.broadcast(
-        assigned.agg(
-            F.sum(F.size("assignment")).alias("picks"), F.sum(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x)).alias("all_mass")
+    totals = assigned.agg(
+        F.struct(
+            F.sum(F.size("assignment")).alias("picks"),
+            F.sum(F.aggregate("scores", F.lit(0.0), lambda total, x: total + x)).alias("mass"),
         )
-    )
+    ).scalar()
     return (
         mass.join(exploded, "number", "left")
         .fillna(0, ["load", "score"])
-        .withColumn("_one", F.lit(1))
-        .join(totals.withColumn("_one", F.lit(1)), "_one")
-        .select("number", "load", "score", (F.col("picks") * F.col("mass") / F.col("all_mass")).alias("target"))
+        .withColumn("_totals", totals)
+        .select("number", "load", "score", (F.col("_totals.picks") * F.col("mass") / F.col("_totals.mass")).alias("target"))
     )
