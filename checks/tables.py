@@ -22,7 +22,7 @@ class Tables:
 
     def raw(self, name: str) -> DataFrame:
         table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return spread(table) if name in LONG_TABLES else table
+        return spread(table, f"{self.sf_dir}/{name}") if name in LONG_TABLES else table
 
     def eval_log(self) -> DataFrame:
         """Perturbed prompts: one row per line item."""

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skillgauge.operators.tree import NODE
 from skillgauge.session import broadcast_if_few, cut_lineage
@@ -18,15 +18,8 @@ MAX_CHILDREN = 10
 SEED = 42
 # Vectors of a node that one task may hold: 64 MB of 64-bit floats.
 TASK_VALUES = 8_000_000
-
-CENTROID_SCHEMA = T.StructType(
-    [
-        T.StructField("tree_id", T.StringType()),
-        T.StructField("path", T.ArrayType(T.IntegerType())),
-        T.StructField("cluster", T.IntegerType()),
-        T.StructField("centroid", T.ArrayType(T.DoubleType())),
-    ]
-)
+# Nodes whose centroids are broadcast: about 60 MB with ten children and 1536 values.
+BROADCAST_NODES = 500
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -51,7 +44,7 @@ def cosine_silhouette(vectors: DataFrame, keys: tuple[str, ...] = (), label: str
     sums = cut_lineage(_vector_sums(units, [*keys, "_label"], "_unit"))
     gathered = F.collect_list(F.struct(F.col("_label").alias("label"), F.col("_count").alias("n"), F.col("_sum").alias("total")))
     if keys:
-        measured = units.join(broadcast_if_few(sums.groupBy(*keys).agg(gathered.alias("_clusters")), 5_000), keys)
+        measured = units.join(broadcast_if_few(sums.groupBy(*keys).agg(gathered.alias("_clusters")), BROADCAST_NODES), keys)
     else:
         measured = units.withColumn("_clusters", sums.agg(gathered).scalar())
     unit = F.col("_unit")
@@ -99,7 +92,7 @@ def nearest_clusters(located: DataFrame, centroids: DataFrame, vector: str = "em
     rows are neither multiplied nor grouped.
     """
     per_node = centroids.groupBy(*NODE).agg(F.collect_list(F.struct("cluster", "centroid")).alias("_centroids"))
-    joined = located.join(broadcast_if_few(per_node, 5_000), NODE)
+    joined = located.join(broadcast_if_few(per_node, BROADCAST_NODES), NODE)
     nearest = F.array_min(
         F.transform(
             "_centroids", lambda c: F.struct(squared_distance(F.col(vector), c["centroid"]).alias("d"), c["cluster"].alias("cluster"))

@@ -70,11 +70,17 @@ def broadcast_if_few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def spread(df: DataFrame) -> DataFrame:
+_SPLITS: dict[tuple[str, int], bool] = {}
+
+
+def spread(df: DataFrame, name: str) -> DataFrame:
     """Deal a scan with fewer splits than cores out over the cores.
 
     A table written as one row group is one split, whatever its size, and everything up to the first
     shuffle would run in one task. A scan with enough splits, as any large table has, passes unchanged.
+    The answer is remembered by `name`.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if (name, cores) not in _SPLITS:
+        _SPLITS[name, cores] = df.rdd.getNumPartitions() < cores
+    return df.repartition(cores) if _SPLITS[name, cores] else df
