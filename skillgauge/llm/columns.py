@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SPACE = r"\x20\x09-\x0D"
 
@@ -30,5 +30,12 @@ def covered(starts: Column, width: Column | int) -> Column:
     return F.aggregate(step, F.lit(0).cast("long"), lambda total, n: total + n)
 
 
-def total(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda so_far, value: so_far + value)
+def settled(df: DataFrame, column: str) -> DataFrame:
+    """`df` with `column` behind a barrier, so that a filter on it is not pushed into the expressions it is made of.
+
+    The optimiser would write those expressions into the filter, and what is a column inside a lambda
+    would be worked out anew for every element.
+    """
+    held = f"{column}__held"
+    others = [F.col(f"`{c}`") for c in df.columns if c != column]
+    return df.select(*others, F.explode(F.array(F.col(f"`{column}`"))).alias(held)).withColumnRenamed(held, column)

@@ -18,11 +18,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skillgauge.llm.columns import SPACE, count_characters, covered, total, words
+from skillgauge.llm.columns import SPACE, count_characters, covered, settled, words
 
-#: Rows of the sample on which rules are timed; it settles the order of the rules and nothing else.
-SAMPLE_ROWS = 2_000
+#: Bounds of the sample on which rules are timed; it settles the order of the rules and nothing else.
+SAMPLE_ROWS = 500
 SAMPLE_SHARE = 0.2
+SAMPLE_CHARACTERS = 65_536
 
 SYMBOLS = r"#*$%&|<>"
 WINDOW = 5
@@ -117,8 +118,13 @@ class RuleCost:
 
 
 def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[RuleCost]:
-    """Time every rule alone on a bounded sample and count what it rejects."""
-    sample = docs.select(text).sample(SAMPLE_SHARE, seed=17).limit(rows).persist()
+    """Time every rule alone on a bounded sample and count what it rejects.
+
+    The sample is taken from the first partitions that fill it, so its cost does not grow with the table.
+    """
+    usual = docs.select(text).filter(F.col(text).isNull() | (F.length(text) <= SAMPLE_CHARACTERS))
+    taken = usual.sample(SAMPLE_SHARE, seed=17).take(rows)
+    sample = docs.sparkSession.createDataFrame(taken, usual.schema).persist()
     try:
         n = sample.count()
         costs = []
@@ -167,7 +173,7 @@ def keep_quality(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "te
     """
     own = docs.columns
     seen = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    kept = quality_cascade(seen, rules, "__text").filter(F.col("rejected_by").isNull())
+    kept = settled(quality_cascade(seen, rules, "__text"), "rejected_by").filter(F.col("rejected_by").isNull())
     return kept.select("__row.*")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skillgauge.llm import mixing, quality, secret_scan
+from skillgauge.llm import decontaminate, line_dedup, mixing, pii, quality, secret_scan
 
 _SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -15,10 +15,27 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_documents(spark, sf_dir))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = decontaminate.contamination_report(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+    return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_documents(spark, sf_dir))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data_report(_documents(spark, sf_dir))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -93,12 +110,66 @@ SELECT doc_id, size, source_size, target, source,
 FROM x
 """
 
+_SQL_LINES = rf"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+),
+n AS (
+  SELECT doc_id, l, list_filter(generate_series(1, len(l)), lambda i: regexp_matches(l[i], '{_SPACE}')) AS w FROM d
+),
+g AS (
+  SELECT doc_id, p, [l[w[p]], l[w[p + 1]], l[w[p + 2]]] AS window3, [w[p], w[p + 1], w[p + 2]] AS spot
+  FROM (SELECT doc_id, l, w, unnest(generate_series(1, len(w) - 2)) AS p FROM n WHERE len(w) >= 3)
+),
+f AS (
+  SELECT doc_id, p, spot, row_number() OVER (PARTITION BY window3 ORDER BY doc_id, p) AS nth FROM g
+),
+r AS (
+  SELECT doc_id, list_distinct(flatten(list(spot))) AS gone, count(*) AS copied FROM f WHERE nth > 1 GROUP BY doc_id
+)
+SELECT n.doc_id, len(w)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed, coalesce(copied, 0)::BIGINT AS n_copied_windows,
+       sha256(array_to_string(list_transform(list_filter(generate_series(1, len(l)), lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: l[i]), chr(10))) AS kept_sha256
+FROM n LEFT JOIN r USING (doc_id)
+"""
+
+_CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_SQL_CONTAMINATION = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_CLASS}') AS w
+  FROM documents
+),
+b AS (
+  SELECT item_id, w, least(len(w), 10) AS n FROM (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_CLASS}') AS w
+    FROM benchmark)
+  WHERE len(w) > 0
+),
+iw AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS k
+  FROM (SELECT item_id, n, w, unnest(generate_series(1, len(w) - n + 1)) AS i FROM b)
+),
+widths AS (SELECT DISTINCT n FROM b),
+dw AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS k
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, widths WHERE len(w) >= n)
+),
+m AS (SELECT dw.doc_id, dw.i, dw.n, iw.item_id FROM dw JOIN iw USING (n, k)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM m)) GROUP BY doc_id),
+t AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+       sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_personal_data": op7_personal_data,
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
 }
-_ORACLES = {"op6_quality_rules": _SQL_QUALITY, "op9_mix_sources": _SQL_MIX}
+_ORACLES = {"op1_line_dedup": _SQL_LINES, "op5_decontamination": _SQL_CONTAMINATION, "op6_quality_rules": _SQL_QUALITY, "op9_mix_sources": _SQL_MIX}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
