@@ -97,12 +97,14 @@ def find_spans(
     First table: doc_id, digest (of the text), copies (equal rows), n_words, hits (width, start, span
     hash; each once). Second table: width, span, item_id.
     """
+    # Lists are taken apart by the outer form throughout: the inner one filters on the whole list first,
+    # and the optimiser writes all that the list is made of into that filter.
     table, widths = benchmark_spans(items, item_column, item_text, span)
     prints, owners = [], []
     for width in widths:
         k = min(gram, width) if width == span else width
-        entries = fingerprints(table.filter(F.col("width") == width), "item", width, k).select("item_id", F.explode("prints").alias("p"))
-        flat = entries.select(F.lit(width).alias("width"), F.col("p.print").alias("print"), "item_id", F.explode("p.spans").alias("span"))
+        entries = fingerprints(table.filter(F.col("width") == width), "item", width, k).select("item_id", F.explode_outer("prints").alias("p"))
+        flat = entries.select(F.lit(width).alias("width"), F.col("p.print").alias("print"), "item_id", F.explode_outer("p.spans").alias("span"))
         flat = flat.filter(F.col("span").isNotNull())
         owners.append(flat.select("width", "span", "item_id").distinct())
         prints.append(flat.groupBy("width", "print").agg(F.collect_set("span").alias("known")))
@@ -123,7 +125,6 @@ def find_spans(
         k = min(gram, width) if width == span else width
         df = fingerprints(df, "__words", width, k).withColumnRenamed("prints", f"__prints{width}")
         parts.append(_tagged(f"__prints{width}", width))
-    # The outer form: the inner one would filter on the whole list first and work it out twice.
     sent = df.select("doc_id", "digest", F.size("__words").cast("long").alias("n_words"), F.explode_outer(F.concat(*parts)).alias("p"))
     sent = sent.select("doc_id", "digest", "n_words", "p.*")
     small = broadcast_if_small(known, 24 + 8 * F.size("known"))
