@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skillgauge.llm import decontaminate, line_dedup, mixing, pii, quality, secret_scan
+from skillgauge.llm import decontaminate, line_dedup, lm_scoring, mixing, pii, quality, secret_scan, substrings
 
 _SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -23,6 +23,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.dedup_substrings(_documents(spark, sf_dir))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = decontaminate.contamination_report(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
     return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -36,6 +41,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data_report(_documents(spark, sf_dir))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(_documents(spark, sf_dir))[0]
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -161,15 +170,32 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+_SQL_SUBSTRINGS = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)
+),
+m AS (SELECT k, min(doc_id) AS low FROM g GROUP BY k HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 12)) AS p FROM g JOIN m USING (k) WHERE low < doc_id),
+a AS (SELECT doc_id, list(p) AS gone FROM r GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') WHEN len(gone) = len(w) THEN ''
+                   ELSE array_to_string(list_transform(list_filter(generate_series(1, len(w)), lambda i: NOT list_contains(gone, i)), lambda i: w[i]), ' ') END) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_personal_data": op7_personal_data,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
 }
-_ORACLES = {"op1_line_dedup": _SQL_LINES, "op5_decontamination": _SQL_CONTAMINATION, "op6_quality_rules": _SQL_QUALITY, "op9_mix_sources": _SQL_MIX}
+_ORACLES = {"op3_substring_dedup": _SQL_SUBSTRINGS, "op1_line_dedup": _SQL_LINES, "op5_decontamination": _SQL_CONTAMINATION, "op6_quality_rules": _SQL_QUALITY, "op9_mix_sources": _SQL_MIX}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
