@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skillgauge.llm import decontaminate, line_dedup, lm_scoring, mixing, pii, quality, secret_scan, substrings
+from skillgauge.llm import decontaminate, line_dedup, lm_scoring, mixing, near_dup, pii, quality, secret_scan, substrings
 
 _SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -28,6 +28,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.duplicate_report(_documents(spark, sf_dir), shingle=4)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = decontaminate.contamination_report(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
     return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -185,9 +189,36 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
 FROM d LEFT JOIN a USING (doc_id)
 """
 
+_SQL_NEAR = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS k
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, least(len(w), 1)))) AS i FROM d)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.k = y.k AND x.doc_id < y.doc_id GROUP BY 1, 2
+),
+e AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)
+),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (
+  SELECT doc_id AS node, doc_id AS other FROM d
+  UNION
+  SELECT r.node, l.b FROM r JOIN l ON l.a = r.other
+),
+c AS (SELECT node, min(other) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, c.component_id = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_personal_data": op7_personal_data,
@@ -195,7 +226,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
 }
-_ORACLES = {"op3_substring_dedup": _SQL_SUBSTRINGS, "op1_line_dedup": _SQL_LINES, "op5_decontamination": _SQL_CONTAMINATION, "op6_quality_rules": _SQL_QUALITY, "op9_mix_sources": _SQL_MIX}
+_ORACLES = {"op4_near_dedup": _SQL_NEAR, "op3_substring_dedup": _SQL_SUBSTRINGS, "op1_line_dedup": _SQL_LINES, "op5_decontamination": _SQL_CONTAMINATION, "op6_quality_rules": _SQL_QUALITY, "op9_mix_sources": _SQL_MIX}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
