@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skillgauge.llm import decontaminate, line_dedup, lm_scoring, mixing, near_dup, pii, quality, secret_scan, substrings
+from skillgauge.llm import decontaminate, line_dedup, lm_scoring, mixing, near_dup, pii, quality, quotes, secret_scan, substrings
 
 _SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -23,6 +23,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_documents(spark, sf_dir))
 
 
+def op2_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.dedup_substrings(_documents(spark, sf_dir))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -217,6 +221,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_chat_quotations": op2_chat_quotations,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_decontamination": op5_decontamination,
