@@ -1,7 +1,8 @@
 """Quotation linking and reply-ordered conversations (operator 2).
 
 A line that begins with `>` marks is quoted, as deep as it has marks. Consecutive lines of one depth
-are a passage; passages are compared by a digest of their words in lower case. A quoted passage points
+are a passage, and so is each of them, since a reply may quote a part; passages are compared by a
+digest of their words in lower case, whatever the line breaks. A quoted passage points
 to the earliest message that holds it unquoted, in the same conversation if there is one, else
 anywhere, and only if that message comes before. A message replies to the original of its shallowest
 linked passage, the latest one among equals; without a linked passage it replies to the first message
@@ -45,7 +46,7 @@ def _normal(text: Column) -> Column:
 
 
 def parsed_messages(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """message (conversation, turn, digest), role, passages (depth, digest), clean_text."""
+    """message (conversation, turn, digest), role, passages (depth, digest), pieces (passages and their lines), clean_text."""
     body = F.col(f"`{text}`")
     digest = F.xxhash64(F.col(f"`{role}`"), body)
     df = messages.select(
@@ -66,19 +67,25 @@ def parsed_messages(messages: DataFrame, conversation: str = "conv_id", turn: st
         bodies = F.transform(F.slice(line, begin + 1, end - begin + 1), lambda part: part["body"])
         return F.struct(depth(begin).alias("depth"), F.unhex(F.md5(_normal(F.array_join(bodies, " ")))).alias("digest"))
 
+    def piece(i: Column) -> Column:
+        return F.struct(depth(i).alias("depth"), F.unhex(F.md5(_normal(F.get(line, i)["body"]))).alias("digest"))
+
+    df = df.withColumn("passages", F.zip_with("begins", "ends", passage))
+    single = F.transform(F.filter("numbers", worded), piece)
     own = lambda i: (depth(i) == 0) & ~(F.get(line, i)["body"].rlike(_INTRODUCES) & F.coalesce(depth(i + 1) > 0, F.lit(False)))
     clean = F.array_join(F.transform(F.filter("numbers", own), lambda i: F.get(line, i)["body"]), "\n")
     return df.select(
         "message",
         "role",
-        F.zip_with("begins", "ends", passage).alias("passages"),
+        "passages",
+        F.array_distinct(F.concat("passages", single)).alias("pieces"),
         F.trim(F.regexp_replace(F.regexp_replace(clean, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")).alias("clean_text"),
     )
 
 
 def quotation_links(parsed: DataFrame) -> DataFrame:
-    """message, depth, original: each quoted passage that has an original."""
-    each = parsed.select("message", F.explode_outer("passages").alias("p")).filter(F.col("p").isNotNull())
+    """message, depth, original: each quoted passage or line that has an original."""
+    each = parsed.select("message", F.explode_outer("pieces").alias("p")).filter(F.col("p").isNotNull())
     each = each.select("message", "p.depth", "p.digest")
     unquoted = each.filter("depth = 0")
     quoted = each.filter("depth > 0").distinct()
