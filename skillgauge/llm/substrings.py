@@ -4,7 +4,7 @@ A window is n consecutive words of one document; a word goes if some window over
 document with a smaller id. Pass one: every block of documents sketches its windows in the rows of a
 count-min table, whose cells are merged shard by shard; the smaller of a window's two cells never
 undercounts it. Pass two: only windows estimated to stand in two documents or more are grouped
-exactly, by the 64-bit hash of all their words, for the smallest id that holds them. The table has a
+exactly, by two hashes of all their words, 96 bits together, for the smallest id that holds them. The table has a
 multiple of the number of windows as cells and is never gathered in one place: a block gets back which
 of its own cells count two or more.
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from skillgauge.llm import blocks
-from skillgauge.llm.tokens import Words, salted, slices, windows
+from skillgauge.llm.tokens import Words, salted, sequences, slices, windows
 
 WINDOW_WORDS = 13
 #: Rows of the count-min table, and cells of a row for each window at least.
@@ -43,16 +43,24 @@ def _ids(table: pa.Table | pa.RecordBatch) -> np.ndarray:
     return pa.compute.fill_null(table.column("doc_id"), _NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _block_windows(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and document of every window of a block."""
+def _block_windows(table: pa.Table, n: int, second: bool = False) -> tuple[np.ndarray, ...]:
+    """Hash and document of every window of a block, and its second hash where that is wanted."""
     ids = _ids(table)
-    hashes, owners, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    hashes, owners, others, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
     for part in slices(table, "text"):
-        found, _, owner = windows(Words(part.column("text").combine_chunks()), n)
+        words = Words(part.column("text").combine_chunks())
+        found, starts, owner = windows(words, n)
         hashes.append(found)
         owners.append(ids[at : at + part.num_rows][owner])
+        if second:
+            others.append(_second(words, n)[starts])
         at += part.num_rows
-    return np.concatenate(hashes), np.concatenate(owners)
+    return (np.concatenate(hashes), np.concatenate(owners), *([np.concatenate(others)] if second else []))
+
+
+def _second(words: Words, n: int) -> np.ndarray:
+    """32 bits of an independent hash of the words of each window."""
+    return sequences(salted(words.hashes, 77), n) >> np.uint64(32)
 
 
 def _per_hash(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,11 +156,15 @@ def ask_step(n: int, cells: int, per_shard: int, n_shards: int):
             for number, payload in zip(numbers, replies.column("payload"))
         ]
         full = np.sort(np.concatenate([np.empty(0, np.uint64), *full]))
-        hashes, low, _ = _per_hash(*_block_windows(table, n))
+        every, owners, others = _block_windows(table, n, second=True)
+        hashes, low, _ = _per_hash(every, owners)
         likely = np.ones(len(hashes), bool)
         for row in range(SKETCH_ROWS):
             likely &= blocks.contained(_cells(hashes, row, cells), full)
         hashes, low = hashes[likely], low[likely]
+        # Inside a block the first hash names a window; its second hash goes along to the shard.
+        order = np.argsort(every)
+        checks = others[order[np.searchsorted(every, hashes, sorter=order)]]
         shard, owner, payload = [], [], []
         for number, a, b in blocks.by_shard(hashes, bounds):
             shard.append(number)
@@ -161,7 +173,7 @@ def ask_step(n: int, cells: int, per_shard: int, n_shards: int):
             least = low[a:b].min()
             with np.errstate(over="ignore"):
                 ids = (low[a:b] - least).view(np.uint64)
-            payload.append(_joined(blocks.pack_sorted(hashes[a:b]), blocks.pack(ids), least.tobytes()))
+            payload.append(_joined(blocks.pack_sorted(hashes[a:b]), blocks.pack(ids), least.tobytes(), blocks.pack(checks[a:b])))
         return _rows(_ASK, [shard, owner, payload])
 
     return step
@@ -170,18 +182,22 @@ def ask_step(n: int, cells: int, per_shard: int, n_shards: int):
 def least_step(key: tuple, table: pa.Table) -> pa.Table:
     """The windows of each block that also stand in another block under a smaller id."""
     shard = key[0].as_py()
-    owners, keys, ids = table.column("block").to_pylist(), [], []
+    owners, keys, ids, checks = table.column("block").to_pylist(), [], [], []
     for payload in table.column("payload"):
-        packed, packed_ids, least = _parted(payload.as_py(), 3)
+        packed, packed_ids, least, packed_checks = _parted(payload.as_py(), 4)
         keys.append(blocks.unpack_sorted(packed))
+        checks.append(blocks.unpack(packed_checks))
         with np.errstate(over="ignore"):
             ids.append((blocks.unpack(packed_ids).view(np.int64) + np.frombuffer(least, np.int64)[0]))
-    every, every_id = np.concatenate(keys), np.concatenate(ids)
-    distinct, low, _ = _per_hash(every, every_id)
-    replies = []
-    for own, own_ids in zip(keys, ids):
-        smaller = low[np.searchsorted(distinct, own)] < own_ids
-        replies.append(blocks.pack_sorted(own[smaller]))
+    every, check, every_id = np.concatenate(keys), np.concatenate(checks), np.concatenate(ids)
+    order = np.lexsort((check, every))
+    new = (np.diff(every[order], prepend=~every[order[:1]]) != 0) | (np.diff(check[order], prepend=~check[order[:1]]) != 0)
+    first = np.flatnonzero(new)
+    low = np.empty(len(every), np.int64)
+    low[order] = np.repeat(np.minimum.reduceat(every_id[order], first), np.diff(first, append=len(every)))
+    smaller = low < every_id
+    cuts = np.cumsum([0, *map(len, keys)])
+    replies = [blocks.pack_sorted(own[smaller[a:b]]) for own, a, b in zip(keys, cuts[:-1], cuts[1:])]
     return _rows(_ANSWER, [owners, [shard] * len(owners), replies])
 
 
