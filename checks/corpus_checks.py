@@ -126,12 +126,12 @@ def _(t):
     return scored.select("tree_id", F.element_at("path", 1).cast("bigint").alias("step"), "question", "score")
 
 
-PAIRS = "WITH s AS (SELECT sample_index, CAST(round_even(avg(score), 3) AS DOUBLE) AS score FROM eval_log GROUP BY ALL), p AS (SELECT p_type AS category, s.score, p_size / 50 AS skill FROM s JOIN part ON p_partkey = sample_index)"
+PAIRS = "WITH s AS (SELECT sample_index, CAST(round_even(avg(score), 3) AS DOUBLE) AS score FROM eval_log GROUP BY ALL), p AS (SELECT p_type AS category, s.score, p_retailprice / 7000 + p_size / 50000 AS skill FROM s JOIN part ON p_partkey = sample_index)"
 
 
 def question_pairs(t):
     scores = t.eval_log().groupBy("sample_index").agg(F.bround(F.avg("score"), 3).alias("score"))
-    part = t.raw("part").select(F.col("p_partkey").alias("sample_index"), F.col("p_type").alias("category"), (F.col("p_size") / 50).alias("skill"))
+    part = t.raw("part").select(F.col("p_partkey").alias("sample_index"), F.col("p_type").alias("category"), (F.col("p_retailprice") / 7000 + F.col("p_size") / 50000).alias("skill"))
     return scores.join(part, "sample_index")
 
 
@@ -214,7 +214,7 @@ v AS (SELECT * FROM s WHERE turns >= 2 AND trim(text_0, '{SPACE}') <> '' AND tri
 SELECT conv_id, text_0 AS instruction, text_1 AS response FROM v ORDER BY md5(concat('42:', conv_id)), conv_id LIMIT 40""")
 def _(t):
     tagged = t.first_turns().withColumns({"language_0": F.lit("English"), "language_1": F.lit("English")})
-    return corpora.instruction_corpus(tagged, "conv_id", "language", size=40, sample_first=80)
+    return corpora.instruction_corpus(tagged, "conv_id", "language", size=40, sample_first=80, key_length=512)
 
 
 @check("f4_shuffle_and_take", "SELECT doc_id FROM documents ORDER BY md5(concat('42:', doc_id)), doc_id LIMIT 100")
@@ -519,7 +519,7 @@ def _(t):
 WITH have AS (SELECT p_name AS capability, count(*) AS n FROM part WHERE p_type = 'ECONOMY' AND p_size <= 10 GROUP BY p_name),
 pool AS (SELECT p_name AS capability, p_partkey AS instance_id, row_number() OVER (PARTITION BY p_name ORDER BY md5(concat('0:', p_partkey)), p_partkey) AS rn FROM part QUALIFY rn <= 320),
 size AS (SELECT capability, count(*) AS m FROM pool GROUP BY capability),
-draws AS (SELECT capability, m, unnest(range(1, 65 - coalesce(n, 0))) AS draw FROM size LEFT JOIN have USING (capability)),
+draws AS (SELECT capability, m, unnest(range(coalesce(n, 0) + 1, 65)) AS draw FROM size LEFT JOIN have USING (capability)),
 slots AS (SELECT capability, m, draw, unnest(range(least(5, m))) AS slot FROM draws),
 ex AS (SELECT s.capability, draw, instance_id, ((draw - 1) * 5 + slot) % m + 1 AS rn FROM slots s JOIN pool p ON p.capability = s.capability AND p.rn = ((draw - 1) * 5 + slot) % m + 1),
 num AS (SELECT capability, draw, concat('### Question #', row_number() OVER w, chr(10), 'example ', instance_id, chr(10)) AS s, row_number() OVER w AS k FROM ex WINDOW w AS (PARTITION BY capability, draw ORDER BY md5(concat('0:', draw, ':', rn))))

@@ -25,7 +25,7 @@ def kept(t):
 
 
 def scores(t):
-    return robustness.question_robustness(kept(t).withColumn("has_text", F.col("raw_input").isNotNull()), KEYS)
+    return robustness.question_robustness(kept(t), KEYS)
 
 
 def written_log(t):
@@ -35,11 +35,32 @@ def written_log(t):
     return path, log.schema
 
 
+def laid_out(t, models, shots, datasets=(None,)):
+    """The log as `{model}/{language}/{shots}_shot/{benchmark}.parquet`; without datasets one file holds them all."""
+    base = scratch_path(t.spark, "layout")
+    log = t.eval_log().drop("language")
+    for model in models:
+        for n in shots:
+            for dataset in datasets:
+                rows = log.filter((F.col("model") == model) & (F.col("shots") == n))
+                rows = rows if dataset is None else rows.filter(F.col("dataset") == dataset)
+                rows.write.parquet(f"{base}/{model.rsplit('/', 1)[-1]}/en/{n}_shot/{dataset or 'all'}.parquet")
+    return base
+
+
 LOG_COLUMNS = "evaluation_id, sample_index, model, language, dataset, shots, choices_order, enumerator, score, raw_input, closest_answer"
 SLICE = ["evaluation_id", "sample_index", "model", "dataset", "shots", "score"]
 
 
 @check("a1_layout_scan", f"SELECT {', '.join(SLICE)} FROM eval_log WHERE model = 'org/model-a' AND language = 'en' AND shots = 5 AND dataset IN ('mmlu.economy', 'mmlu.promo')")
+def _(t):
+    base = laid_out(t, ["org/model-a", "org/model-b"], [5], ["mmlu.economy", "mmlu.promo", "mmlu.small"])
+    # One benchmark that is asked for has no file.
+    wanted = ["mmlu.economy.parquet", "mmlu.promo.parquet", "mmlu.absent.parquet"]
+    return logs.scan_layout(t.spark, base, "org/model-a", "en", 5, wanted, t.eval_log().schema).select(*SLICE)
+
+
+@check("a1_partition_scan", f"SELECT {', '.join(SLICE)} FROM eval_log WHERE model = 'org/model-a' AND language = 'en' AND shots = 5 AND dataset IN ('mmlu.economy', 'mmlu.promo')")
 def _(t):
     path, schema = written_log(t)
     slice_ = logs.scan_partitions(t.spark, path, schema, "org/model-a", "en", 5, ["mmlu.economy.parquet", "mmlu.promo.parquet"])
@@ -82,7 +103,7 @@ def _(t):
         F.when(kind == "ECONOMY", "mmlu.economics").when(kind == "LARGE", "mmlu_pro.law").when(kind == "MEDIUM", "race.high")
         .when(kind == "PROMO", "hellaswag").when(kind == "SMALL", "unlisted.small").otherwise("social_iqa").alias("dataset"),
     )
-    return logs.with_benchmark_source(named, "p_partkey").select("p_partkey", "dataset", "source", "subset", "split")
+    return logs.with_benchmark_source(named, "p_partkey", capped=True).select("p_partkey", "dataset", "source", "subset", "split")
 
 
 @check("a9_partitioned_sink", "SELECT 'org_repo' AS repo, language, shots, regexp_replace(model, '.*/', '') AS model_folder, dataset AS benchmark, count(*) AS \"rows\", sum(average_score) AS total FROM question_scores WHERE average_score < 0.5 GROUP BY ALL")
@@ -150,13 +171,10 @@ def _(t):
     )
 
 
-@check("c2_example_lookup", "SELECT evaluation_id, model, dataset, shots, sample_index, nullif(list_position(choices, substr(closest_answer, strpos(closest_answer, '. ') + 2)), 0)::INT AS chosen_position FROM clean_log JOIN choices USING (dataset, sample_index)")
+@check("c2_example_lookup", "SELECT evaluation_id, model, dataset, shots, sample_index, nullif(list_position(choices, substr(closest_answer, strpos(closest_answer, '. ') + 2)), 0)::INT AS chosen_position FROM clean_log JOIN choices USING (dataset, sample_index) WHERE chosen_position IS NOT NULL")
 def _(t):
     rows = robustness.examples_for_rows(clean(t), t.choices())
-    return rows.select(
-        "evaluation_id", "model", "dataset", "shots", "sample_index",
-        choice_position(F.col("closest_answer"), F.col("choices")).alias("chosen_position"),
-    )
+    return rows.select("evaluation_id", "model", "dataset", "shots", "sample_index", "chosen_position")
 
 
 @check("c3_rows_of_low_performers", "SELECT evaluation_id, model, dataset, shots, sample_index, score FROM kept_log SEMI JOIN (SELECT * FROM question_scores WHERE average_score < 0.1) USING (model, language, dataset, shots, sample_index)")
@@ -286,7 +304,7 @@ def _(t):
 
 @check("h2_choice_position", "SELECT dataset, sample_index, closest_answer, nullif(list_position(choices, substr(closest_answer, strpos(closest_answer, '. ') + 2)), 0)::INT AS chosen_position, count(*) AS \"rows\" FROM eval_log JOIN choices USING (dataset, sample_index) GROUP BY ALL")
 def _(t):
-    rows = robustness.examples_for_rows(t.eval_log(), t.choices())
+    rows = t.eval_log().join(t.choices(), ["dataset", "sample_index"])
     position = choice_position(F.col("closest_answer"), F.col("choices")).alias("chosen_position")
     return rows.groupBy("dataset", "sample_index", "closest_answer", position).agg(F.count("*").alias("rows"))
 
@@ -333,6 +351,13 @@ def _(t):
     return questions.low_performing_questions(t.eval_log())
 
 
+@check("i17_from_layout", "SELECT model, language, dataset, shots, sample_index, average_score, question FROM question_scores WHERE average_score < 0.5")
+def _(t):
+    base = laid_out(t, ["org/model-a", "org/model-b", "org/model-c"], [0, 5])
+    log = logs.scan_layout(t.spark, base, schema=t.eval_log().drop("language").schema)
+    return questions.low_performing_questions(log)
+
+
 @check("i18_low_performing_answers", """
 SELECT model, language, dataset, shots, sample_index, evaluation_id, closest_answer, CAST(strpos('ABCD', substr(closest_answer, 1, 1)) AS INT) AS chosen_position
 FROM kept_log SEMI JOIN (SELECT * FROM question_scores WHERE average_score < 0.1) USING (model, language, dataset, shots, sample_index)

@@ -47,10 +47,16 @@ class Tables:
         )
 
     def choices(self) -> DataFrame:
+        key = F.col("p_partkey")
         return self.raw("part").select(
             F.concat(F.lit("mmlu."), F.lower("p_type")).alias("dataset"),
-            F.col("p_partkey").alias("sample_index"),
-            F.array("p_brand", "p_name", "p_type", F.lit("none")).alias("choices"),
+            key.alias("sample_index"),
+            # The order turns with the key, and one part in seven is not listed.
+            F.when(key % 4 == 0, F.array("p_name", "p_brand", "p_type", F.lit("none")))
+            .when(key % 4 == 1, F.array("p_brand", "p_name", "p_type", F.lit("none")))
+            .when(key % 4 == 2, F.array("p_brand", "p_type", F.when(key % 7 != 0, F.col("p_name")).otherwise("other"), F.lit("none")))
+            .otherwise(F.array("p_brand", "p_type", F.lit("none"), F.when(key % 7 != 0, F.col("p_name")).otherwise("other")))
+            .alias("choices"),
         )
 
     def leaves(self) -> DataFrame:
@@ -188,7 +194,9 @@ SELECT model, language, dataset, shots, sample_index, sum(score) AS total_score,
        CAST(round_even(sum(score) / count(score), 3) AS DOUBLE) AS average_score, arg_min(raw_input, evaluation_id) AS question
 FROM kept_log WHERE sample_index IS NOT NULL GROUP BY ALL""",
     "choices": """
-SELECT concat('mmlu.', lower(p_type)) AS dataset, p_partkey AS sample_index, [p_brand, p_name, p_type, 'none'] AS choices FROM part""",
+SELECT concat('mmlu.', lower(p_type)) AS dataset, p_partkey AS sample_index, CASE p_partkey % 4 WHEN 0 THEN [p_name, p_brand, p_type, 'none'] WHEN 1 THEN [p_brand, p_name, p_type, 'none']
+  WHEN 2 THEN [p_brand, p_type, CASE WHEN p_partkey % 7 <> 0 THEN p_name ELSE 'other' END, 'none']
+  ELSE [p_brand, p_type, 'none', CASE WHEN p_partkey % 7 <> 0 THEN p_name ELSE 'other' END] END AS choices FROM part""",
     "tree_leaf": """
 SELECT c_custkey AS instance_id, n_regionkey AS l1, n_nationkey AS l2, CAST(c_custkey % 10 AS INT) AS l3,
        CASE WHEN c_acctbal > CAST(5000 AS DOUBLE) THEN 1 ELSE 0 END AS acc,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 
 from skillgauge.functions.metrics import attacked_probability, draw, success_ratio
 from skillgauge.functions.text import ratio_label
+from skillgauge.operators.indexing import shuffled_index
 from skillgauge.session import cut_lineage
 
 
@@ -41,8 +42,8 @@ def profile_means(profiles: DataFrame, performance: DataFrame, max_size: int | N
 
 
 def _numbered(profiles: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Profiles with a number each. There are as many rows as profiles, a few hundred at most."""
-    return profiles.select(*keys).distinct().withColumn("_number", F.row_number().over(W.orderBy(*keys)))
+    """Profiles with a number each, from 1."""
+    return shuffled_index(profiles.select(*keys).distinct(), 0, *keys).withColumn("_number", (F.col("index") + 1).cast("int")).drop("index")
 
 
 def _profiles_of_instances(pairs: DataFrame, profiles: DataFrame, numbered: DataFrame, keys: Sequence[str]) -> DataFrame:

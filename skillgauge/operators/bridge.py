@@ -10,6 +10,8 @@ from skillgauge.functions.text import question_text, strip
 
 # Fixed value: score of a question that has none.
 NO_SCORE = -1.0
+# Ranges of distinct values that ranks are counted in.
+RANK_RANGES = 64
 
 
 def question_scores(catalogue: DataFrame, scores: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -43,37 +45,38 @@ def scored_tree(nodes: DataFrame, catalogue: DataFrame, scores: DataFrame, order
     return lookup_scores(asked, catalogue, scores, order)
 
 
-def _average_ranks(counts: DataFrame, value: str, rank: str) -> DataFrame:
-    """Average rank of each distinct value. Values come from rounded scores, so they are few."""
-    per_value = counts.groupBy(value).agg(F.sum("n").alias("_n"))
-    upto = F.sum("_n").over(W.orderBy(value))
-    return per_value.select(value, (upto - (F.col("_n") - 1) / 2).alias(rank))
+def _average_ranks(rows: DataFrame, value: str, rank: str) -> DataFrame:
+    """Average rank of each distinct value.
+
+    Distinct values are cut into even ranges at estimated quantiles; ranks add up inside a range and
+    over the few ranges, so no window holds all values.
+    """
+    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
+    shares = [k / RANK_RANGES for k in range(1, RANK_RANGES)]
+    cuts = F.lit(counts.agg(F.percentile_approx(value, shares, 10_000)).first()[0] or [])
+    parted = counts.withColumn("_range", F.size(F.filter(cuts.cast("array<double>"), lambda cut: cut < F.col(value))))
+    sums = parted.groupBy("_range").agg(F.sum("_n").alias("_sum"))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    upto = F.sum("_n").over(W.partitionBy("_range").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = parted.withColumn("_upto", upto).join(starts, "_range")
+    return placed.select(F.col(value).alias(f"_{rank}"), (F.col("_start") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(rank))
 
 
 def correlations(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Pearson and Spearman correlation of two scores.
+    """Pearson and Spearman correlation of two scores, and the number of pairs that have both.
 
-    Rows are first counted per distinct pair of scores (rounded to three places, as question scores
-    are), so ranks and sums run over that small table, whatever the number of questions.
+    Values are taken as they are; ties share their average rank. A correlation with a constant is null.
     """
-    table = (
-        pairs.select(F.bround(left, 3).alias("x"), F.bround(right, 3).alias("y"))
-        .dropna()
-        .groupBy("x", "y")
-        .agg(F.count("*").alias("n"))
-    )
-    ranked = table.join(_average_ranks(table, "x", "rx"), "x").join(_average_ranks(table, "y", "ry"), "y")
+    rows = pairs.select(F.col(left).cast("double").alias("x"), F.col(right).cast("double").alias("y")).dropna()
+    by_x, by_y = _average_ranks(rows, "x", "rx"), _average_ranks(rows, "y", "ry")
+    ranked = rows.join(by_x, rows["x"] == by_x["_rx"]).join(by_y, rows["y"] == by_y["_ry"])
 
-    def weighted(a: str, b: str):
-        n = F.sum("n")
-        mean_a, mean_b = F.sum(F.col("n") * F.col(a)) / n, F.sum(F.col("n") * F.col(b)) / n
-        covariance = F.sum(F.col("n") * F.col(a) * F.col(b)) / n - mean_a * mean_b
-        var_a = F.sum(F.col("n") * F.col(a) * F.col(a)) / n - mean_a * mean_a
-        var_b = F.sum(F.col("n") * F.col(b) * F.col(b)) / n - mean_b * mean_b
-        return F.try_divide(covariance, F.sqrt(var_a * var_b))
+    def correlation(a: str, b: str):
+        return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a) * F.var_pop(b)))
 
     return ranked.agg(
-        weighted("x", "y").alias("pearson"), weighted("rx", "ry").alias("spearman"), F.sum("n").alias("questions")
+        correlation("x", "y").alias("pearson"), correlation("rx", "ry").alias("spearman"), F.count("*").alias("questions")
     )
 
 

@@ -4,22 +4,21 @@ from __future__ import annotations
 
 import functools
 
-import pandas as pd
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from skillgauge.functions.text import seeded_hash
 from skillgauge.operators.tree import NODE
-from skillgauge.session import broadcast_if_few, cut_lineage
+from skillgauge.session import BROADCAST_BYTES, broadcast_if_small, cut_lineage
 
 # Most children of a node, seed of every fit.
 MAX_CHILDREN = 10
 SEED = 42
-# Vectors of a node that one task may hold: 64 MB of 64-bit floats.
-TASK_VALUES = 8_000_000
-# Nodes whose centroids are broadcast: about 60 MB with ten children and 1536 values.
-BROADCAST_NODES = 500
+# Most k-means steps of a fit.
+STEPS = 10
+# Decimals that centroids and silhouettes keep.
+CENTROID_DIGITS = 9
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -44,7 +43,9 @@ def cosine_silhouette(vectors: DataFrame, keys: tuple[str, ...] = (), label: str
     sums = cut_lineage(_vector_sums(units, [*keys, "_label"], "_unit"))
     gathered = F.collect_list(F.struct(F.col("_label").alias("label"), F.col("_count").alias("n"), F.col("_sum").alias("total")))
     if keys:
-        measured = units.join(broadcast_if_few(sums.groupBy(*keys).agg(gathered.alias("_clusters")), BROADCAST_NODES), keys)
+        per_key = sums.groupBy(*keys).agg(gathered.alias("_clusters"))
+        width = 8 * F.aggregate("_clusters", F.lit(0), lambda n, c: n + F.size(c["total"]))
+        measured = units.join(broadcast_if_small(per_key, width), keys)
     else:
         measured = units.withColumn("_clusters", sums.agg(gathered).scalar())
     unit = F.col("_unit")
@@ -92,7 +93,8 @@ def nearest_clusters(located: DataFrame, centroids: DataFrame, vector: str = "em
     rows are neither multiplied nor grouped.
     """
     per_node = centroids.groupBy(*NODE).agg(F.collect_list(F.struct("cluster", "centroid")).alias("_centroids"))
-    joined = located.join(broadcast_if_few(per_node, BROADCAST_NODES), NODE)
+    width = 8 * F.size("_centroids") * F.size(F.col("_centroids")[0]["centroid"])
+    joined = located.join(broadcast_if_small(per_node, width), NODE)
     nearest = F.array_min(
         F.transform(
             "_centroids", lambda c: F.struct(squared_distance(F.col(vector), c["centroid"]).alias("d"), c["cluster"].alias("cluster"))
@@ -109,9 +111,14 @@ def squared_distance(a: Column, b: Column) -> Column:
 
 
 def locate(vectors: DataFrame, centroids: DataFrame, tree_id: str, vector: str = "embedding") -> DataFrame:
-    """The path of each vector down the tree, one level per round, until no row moves."""
+    """The path of each vector down the tree, one level per round, until no row moves.
+
+    While all centroids of the tree fit a broadcast, the levels are one narrow pass over the vectors;
+    otherwise each level shuffles them and is written out.
+    """
     centroids = cut_lineage(centroids)
-    depths = centroids.agg(F.max(F.size("path"))).first()[0]
+    depths, size = centroids.agg(F.max(F.size("path")), F.sum(8 * F.size("centroid"))).first()
+    narrow = (size or 0) <= BROADCAST_BYTES
     current = vectors.withColumns({"tree_id": F.lit(tree_id), "path": F.array().cast("array<int>")})
     finished: list[DataFrame] = []
     for depth in range(0 if depths is None else depths + 1):
@@ -119,9 +126,8 @@ def locate(vectors: DataFrame, centroids: DataFrame, tree_id: str, vector: str =
         inner = level.select(*NODE).distinct()
         finished.append(current.join(inner, NODE, "left_anti").select("tree_id", "instance_id", "path"))
         moved = nearest_clusters(current, level, vector)
-        current = cut_lineage(
-            moved.withColumn("path", F.array_append("path", F.col("cluster").cast("int"))).drop("cluster")
-        )
+        current = moved.withColumn("path", F.array_append("path", F.col("cluster").cast("int"))).drop("cluster")
+        current = current if narrow else cut_lineage(current)
     finished.append(current.select("tree_id", "instance_id", "path"))
     return functools.reduce(DataFrame.unionByName, finished)
 
@@ -132,158 +138,76 @@ def best_cluster_count(scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFra
     return scores.groupBy(*keys).agg(best.alias("k"), F.max("silhouette").alias("silhouette")).filter("silhouette > 0")
 
 
-# Rows of a split are its instances, each with its cluster (null: stays), the size of that cluster and
-# its vector, and one row per cluster with size and centroid.
-SPLIT_SCHEMA = (
-    "tree_id string, path array<int>, instance_id bigint, embedding array<float>, cluster int, size bigint, "
-    "centroid array<double>"
-)
-
-
-def _split_group(max_children: int, seed: int):
-    """Splits one node held in one task: k-means for every allowed count, best cosine silhouette wins."""
-
-    def split(frame: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        path = list(frame["path"].iloc[0])
-        tree_id = frame["tree_id"].iloc[0]
-        frame = frame.sort_values("instance_id")
-        ids, vectors = frame["instance_id"].to_numpy(), list(frame["embedding"])
-        x = np.stack(vectors).astype(float)
-        n = len(ids)
-        norms = np.linalg.norm(x, axis=1, keepdims=True)
-        units = np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
-        self_distance = np.where(norms[:, 0] > 0, 0.0, 1.0)
-
-        def distances(centers):
-            return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(1)[None, :], 0.0)
-
-        def fit(k):
-            rng = np.random.default_rng(seed)
-            centers = x[[rng.integers(n)]]
-            while len(centers) < k:
-                gap = distances(centers).min(axis=1)
-                if gap.sum() <= 0:
-                    break
-                centers = np.vstack([centers, x[rng.choice(n, p=gap / gap.sum())]])
-            for _ in range(300):
-                labels = distances(centers).argmin(axis=1)
-                moved = np.stack([x[labels == c].mean(axis=0) if (labels == c).any() else centers[c] for c in range(len(centers))])
-                shift = ((moved - centers) ** 2).sum()
-                centers = moved
-                if shift <= 1e-4 * x.var(axis=0).mean():
-                    break
-            return distances(centers).argmin(axis=1), centers
-
-        def silhouette(labels):
-            names, codes = np.unique(labels, return_inverse=True)
-            one_hot = np.eye(len(names))[codes]
-            counts = one_hot.sum(axis=0)
-            totals = counts[None, :] - units @ (one_hot.T @ units).T
-            own = totals[np.arange(n), codes] - self_distance
-            alone = counts[codes] == 1
-            inner = own / np.maximum(counts[codes] - 1, 1)
-            outer = np.where(one_hot.astype(bool), np.inf, totals / counts[None, :]).min(axis=1)
-            scale = np.maximum(inner, outer)
-            score = np.divide(outer - inner, scale, out=np.zeros(n), where=scale > 0)
-            return np.where(alone, 0.0, score).mean()
-
-        best = None
-        if n > 2:
-            for k in range(2, min(max_children + 1, n)):
-                labels, centers = fit(k)
-                if len(np.unique(labels)) == 1:
-                    best = None
-                    break
-                score = silhouette(labels)
-                if best is None or score > best[0]:
-                    best = (score, labels, centers)
-        if best is None or best[0] <= 0:
-            # One group of leaves.
-            return pd.DataFrame(
-                {
-                    "tree_id": tree_id, "path": [path] * n, "instance_id": ids, "embedding": vectors,
-                    "cluster": None, "size": None, "centroid": None,
-                }
-            )
-        _, labels, centers = best
-        used, codes, counts = np.unique(labels, return_inverse=True, return_counts=True)
-        rows = pd.DataFrame(
-            {
-                "tree_id": tree_id, "path": [path] * n, "instance_id": ids, "embedding": vectors,
-                "cluster": labels, "size": counts[codes], "centroid": None,
-            }
-        )
-        nodes = pd.DataFrame(
-            {
-                "tree_id": tree_id, "path": [path] * len(used), "instance_id": None, "embedding": None,
-                "cluster": used, "size": counts, "centroid": [centers[c].tolist() for c in used],
-            }
-        )
-        out = pd.concat([rows, nodes], ignore_index=True)
-        out["instance_id"] = out["instance_id"].astype("Int64")
-        return out
+def _starts(level: DataFrame, max_children: int, seed: int) -> DataFrame:
+    """First centroids: for every node and count k the k rows with the smallest seeded hash.
 
-    return split
+    Each map task cuts its part of a node to that many rows before the shuffle.
+    """
+    order = W.partitionBy(*NODE).orderBy(seeded_hash(seed, F.col("instance_id").cast("string")), "instance_id")
+    first = level.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") <= max_children)
+    counts = F.sequence(F.greatest("_row", F.lit(2)), F.least(F.col("size") - 1, F.lit(max_children)).cast("int"))
+    return first.filter((F.col("size") > 2) & (F.col("_row") < F.col("size"))).select(
+        *NODE,
+        F.explode(counts).alias("k"),
+        (F.col("_row") - 1).alias("cluster"),
+        F.col("embedding").cast("array<double>").alias("centroid"),
+    )
 
 
-def _split_large(rows: DataFrame, max_children: int, seed: int) -> DataFrame:
-    """Splits one node too large for a task: Spark's own k-means for every allowed count, then F7."""
-    prepared = rows.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))).persist()
-    stays = rows.select(
-        *NODE, "instance_id", "embedding",
-        F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("bigint").alias("size"), F.lit(None).cast("array<double>").alias("centroid"),
-    )
-    try:
-        best = None
-        for k in range(2, max_children + 1):
-            model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=50).fit(prepared)
-            labelled = model.transform(prepared).drop("features")
-            sizes = {row["cluster"]: row["count"] for row in labelled.groupBy("cluster").count().collect()}
-            if len(sizes) == 1:
-                return stays
-            silhouette = cosine_silhouette(labelled, (), "cluster").first()["silhouette"]
-            if best is None or silhouette > best[0]:
-                best = (silhouette, labelled, model, sizes)
-        if best is None or best[0] <= 0:
-            return stays
-        _, labelled, model, sizes = best
-        node = rows.select(*NODE).first()
-        nodes = rows.sparkSession.createDataFrame(
-            [
-                (node["tree_id"], list(node["path"]), None, None, c, sizes[c], [float(v) for v in center])
-                for c, center in enumerate(model.clusterCenters())
-                if c in sizes
-            ],
-            SPLIT_SCHEMA,
-        )
-        size_of = F.create_map(*[F.lit(value) for entry in sizes.items() for value in entry])
-        labels = labelled.select(
-            *NODE, "instance_id", "embedding", F.col("cluster").cast("int").alias("cluster"),
-            F.element_at(size_of, F.col("cluster")).cast("bigint").alias("size"), F.lit(None).cast("array<double>").alias("centroid"),
+def _labelled(level: DataFrame, centroids: DataFrame, narrow: bool) -> DataFrame:
+    """Rows of `level` with `labels`: for every count of their node the nearest cluster, the smaller on ties."""
+    per_count = centroids.groupBy(*NODE, "k").agg(F.array_sort(F.collect_list(F.struct("cluster", "centroid"))).alias("centroids"))
+    per_node = per_count.groupBy(*NODE).agg(F.collect_list(F.struct("k", "centroids")).alias("_fits"))
+
+    def nearest(fit: Column) -> Column:
+        far = F.transform(
+            fit["centroids"], lambda c: F.struct(squared_distance(F.col("embedding"), c["centroid"]).alias("d"), c["cluster"].alias("cluster"))
         )
-        return cut_lineage(labels.unionByName(nodes))
-    finally:
-        prepared.unpersist()
+        return F.struct(fit["k"].alias("k"), F.array_min(far)["cluster"].alias("cluster"))
+
+    joined = level.join(F.broadcast(per_node) if narrow else per_node, NODE)
+    return joined.withColumn("labels", F.transform("_fits", nearest)).drop("_fits")
+
+
+def _moved(labelled: DataFrame, centroids: DataFrame) -> DataFrame:
+    """Centroids at the mean of their rows, and whether they stayed; one without rows stays where it was.
+
+    Means are rounded, so that the order in which tasks add up does not show.
+    """
+    rows = labelled.select(*NODE, F.explode("labels").alias("label"), "embedding").select(*NODE, "label.k", "label.cluster", "embedding")
+    means = centroids_of(rows, [*NODE, "k", "cluster"]).withColumnRenamed("centroid", "mean")
+    rounded = F.coalesce(F.transform("mean", lambda x: F.round(x, CENTROID_DIGITS)), "centroid")
+    joined = centroids.join(means, [*NODE, "k", "cluster"], "left").withColumn("mean", rounded)
+    return joined.select(*NODE, "k", "cluster", F.col("mean").alias("centroid"), (F.col("mean") == F.col("centroid")).alias("stayed"))
+
+
+def fit_level(level: DataFrame, max_children: int = MAX_CHILDREN, seed: int = SEED, steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
+    """k-means of all nodes of a depth for all their counts at once.
+
+    Returns the rows with their `labels` and the centroids. The number of jobs is that of the steps,
+    whatever the number of nodes; it ends early when no centroid moves.
+    """
+    centroids = cut_lineage(_starts(level, max_children, seed))
+    narrow = (centroids.agg(F.sum(8 * F.size("centroid"))).first()[0] or 0) <= BROADCAST_BYTES
+    for _ in range(steps):
+        moved = cut_lineage(_moved(_labelled(level, centroids, narrow), centroids))
+        centroids = moved.drop("stayed")
+        if moved.filter(~F.col("stayed")).isEmpty():
+            break
+    return _labelled(level, centroids, narrow), centroids
 
 
 def build_tree(
-    vectors: DataFrame,
-    tree_id: str = "tree",
-    max_children: int = MAX_CHILDREN,
-    seed: int = SEED,
-    task_rows: int | None = None,
+    vectors: DataFrame, tree_id: str = "tree", max_children: int = MAX_CHILDREN, seed: int = SEED, steps: int = STEPS
 ) -> tuple[DataFrame, DataFrame]:
     """Cluster recursively; returns the leaf table and the centroids of every clustered node.
 
-    `vectors` has `instance_id` and `embedding`. All open nodes of a depth are split together: those
-    a task can hold by one grouped pass, larger ones by distributed k-means one after another. A node
-    stops when it has two rows or fewer, when a fit gives a single label, or when no count has a
-    positive silhouette; its rows then hang under it as one group.
+    `vectors` has `instance_id` and `embedding`. All open nodes of a depth are split together, large
+    and small ones alike: k-means with hash-chosen first centroids and `steps` steps for every allowed
+    count, then the count with the best cosine silhouette. A node stops when it has two rows or fewer,
+    when a fit gives a single label, or when no count has a positive silhouette; its rows then hang
+    under it as one group.
     """
-    first = vectors.select(F.size("embedding").alias("n")).first()
-    limit = task_rows or max(100, TASK_VALUES // max(1, first["n"]))
     rows = vectors.count()
     level = cut_lineage(
         vectors.select(
@@ -294,29 +218,36 @@ def build_tree(
             F.lit(rows).cast("bigint").alias("size"),
         )
     )
-    large: list[list[int]] = [[]] if rows > limit else []
     leaves: list[DataFrame] = []
     centroids: list[DataFrame] = []
-    while True:
-        # Every row knows the size of its node, so large nodes never enter the grouped shuffle.
-        small = level.filter(F.col("size") <= limit).drop("size")
-        splits = small.groupBy(*NODE).applyInPandas(_split_group(max_children, seed), SPLIT_SCHEMA)
-        for path in large:
-            own = F.array(*[F.lit(step) for step in path]).cast("array<int>")
-            node_rows = level.filter((F.col("size") > limit) & (F.col("path") == own)).drop("size")
-            splits = splits.unionByName(_split_large(node_rows, max_children, seed))
-        splits = cut_lineage(splits)
-        nodes = splits.filter("instance_id IS NULL")
-        moved = splits.filter("instance_id IS NOT NULL AND cluster IS NOT NULL").select(
+    while not level.isEmpty():
+        labelled, fitted = fit_level(level, max_children, seed, steps)
+        labelled = cut_lineage(labelled)
+        chosen = cut_lineage(_chosen_counts(labelled))
+        split = labelled.join(broadcast_if_small(chosen, 200), NODE).withColumn(
+            "cluster", F.element_at(F.filter("labels", lambda label: label["k"] == F.col("k")), 1)["cluster"].cast("int")
+        )
+        nodes = cut_lineage(split.groupBy(*NODE, "cluster").agg(F.count("*").alias("size")))
+        centroids.append(fitted.join(chosen, [*NODE, "k"]).join(nodes, [*NODE, "cluster"]).select(*NODE, "cluster", "centroid"))
+        # Rows of nodes without a chosen count stay where they are.
+        leaves.append(level.join(chosen, NODE, "left_anti").select("tree_id", "path", "instance_id"))
+        moved = split.drop("size").join(broadcast_if_small(nodes, 200), [*NODE, "cluster"]).select(
             "tree_id", F.array_append("path", F.col("cluster")).alias("path"), "instance_id", "embedding", "size"
         )
-        centroids.append(nodes.select(*NODE, "cluster", "centroid"))
-        leaves.append(splits.filter("instance_id IS NOT NULL AND cluster IS NULL").select("tree_id", "instance_id", "path"))
         # A cluster of one is a leaf of its own.
-        leaves.append(moved.filter("size = 1").select("tree_id", "instance_id", "path"))
-        level = moved.filter("size > 1")
-        below = nodes.filter("size > 1").select(F.array_append("path", F.col("cluster")).alias("path"), "size")
-        large = [list(row["path"]) for row in below.filter(F.col("size") > limit).collect()]
-        if below.isEmpty():
-            break
-    return functools.reduce(DataFrame.unionByName, leaves), functools.reduce(DataFrame.unionByName, centroids)
+        leaves.append(moved.filter("size = 1").select("tree_id", "path", "instance_id"))
+        level = cut_lineage(moved.filter("size > 1"))
+    empty = vectors.sparkSession.createDataFrame
+    leaf = functools.reduce(DataFrame.unionByName, leaves, empty([], "tree_id string, path array<int>, instance_id bigint"))
+    centre = functools.reduce(DataFrame.unionByName, centroids, empty([], "tree_id string, path array<int>, cluster int, centroid array<double>"))
+    return leaf.select("tree_id", "instance_id", "path"), centre
+
+
+def _chosen_counts(labelled: DataFrame) -> DataFrame:
+    """F7 per node: its best count, absent for nodes that are not split."""
+    each = labelled.select(*NODE, F.explode("labels").alias("label"), "embedding").select(*NODE, "label.k", F.col("label.cluster").alias("label"), "embedding")
+    several = each.groupBy(*NODE, "k").agg((F.min("label") != F.max("label")).alias("several"))
+    splits = several.groupBy(*NODE).agg(F.min("several").alias("all_split")).filter("all_split").drop("all_split")
+    scores = cosine_silhouette(each, (*NODE, "k"))
+    scores = scores.withColumn("silhouette", F.round("silhouette", CENTROID_DIGITS))
+    return best_cluster_count(scores, tuple(NODE)).join(splits, NODE, "left_semi").select(*NODE, "k")

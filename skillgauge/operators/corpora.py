@@ -16,12 +16,8 @@ from skillgauge.operators.filters import (
 )
 from skillgauge.operators.indexing import sample_rows
 
-# Token limit of the first two turns, characters of a language-tagged key, corpus size,
-# rows sampled before cleaning.
+# Fixed value: token limit of the first two turns.
 TOKEN_LIMIT = 4096
-KEY_LENGTH = 512
-CORPUS_SIZE = 10_000
-SOURCE_SAMPLE = 50_000
 # Fixed value: label of tokens that carry no loss.
 IGNORED = -100
 
@@ -60,31 +56,35 @@ def instruction_corpus(
     dialogues: DataFrame,
     identity: str,
     tagged_by: str = "role",
-    size: int = CORPUS_SIZE,
+    size: int | None = None,
     sample_first: int | None = None,
+    key_length: int | None = None,
     token_limit: int = TOKEN_LIMIT,
     seed: int = 42,
     counter: Callable[[Column], Column] | None = None,
     **speakers: str,
 ) -> DataFrame:
-    """Cleaned, deduplicated instruction and response pairs, `size` of them in seeded order.
+    """Cleaned, deduplicated instruction and response pairs: all, or `size` of them in seeded order.
 
     `dialogues` has one row per conversation; `tagged_by` says whether turns carry a role or a
-    language. A language-tagged source is usually sampled first and compared by the start of the
-    first message only.
+    language. A source can be sampled first, and compared by the start of the first message only.
+    Samples are chosen by id alone; the texts join in for those that stay.
     """
-    source = dialogues if sample_first is None else sample_rows(dialogues, sample_first, seed, identity)
+    source = _sampled(dialogues, sample_first, seed, identity)
     valid = role_tagged_dialogues if tagged_by == "role" else language_tagged_dialogues
     kept = valid(source, **speakers)
     extra = {} if counter is None else {"counter": counter}
     kept = within_token_limit(kept, ["text_0", "text_1"], token_limit, **extra)
-    length = None if tagged_by == "role" else KEY_LENGTH
-    kept = dedup_first_messages(kept, identity, identity, length=length)
-    return sample_rows(kept, size, seed, identity).select(
+    kept = dedup_first_messages(kept, identity, identity, length=key_length)
+    return _sampled(kept, size, seed, identity).select(
         identity, F.col("text_0").alias("instruction"), F.col("text_1").alias("response")
     )
 
 
+def _sampled(rows: DataFrame, n: int | None, seed: int, identity: str) -> DataFrame:
+    return rows if n is None else rows.join(sample_rows(rows.select(identity), n, seed, identity), identity, "left_semi")
+
+
 def answers_by_side(battles: DataFrame, position: str = "battle_id") -> DataFrame:
     """One row per battle and side, with a number that grows in reading order (side a before b)."""
     sides = F.array(
@@ -97,12 +97,13 @@ def answers_by_side(battles: DataFrame, position: str = "battle_id") -> DataFram
 
 
 def last_answers(battles: DataFrame, position: str = "battle_id") -> DataFrame:
-    """The last answer of each model to each question."""
-    return (
-        answers_by_side(battles, position)
-        .groupBy("question", "model")
-        .agg(F.max_by("answer", "read_order").alias("answer"))
-    )
+    """The last answer of each model to each question.
+
+    Chosen by digest and reading order; the texts join in once.
+    """
+    sides = answers_by_side(battles, position)
+    last = sides.groupBy(F.sha2("question", 256).alias("_key"), "model").agg(F.max("read_order").alias("read_order"))
+    return sides.join(last.select("read_order"), "read_order", "left_semi").select("question", "model", "answer")
 
 
 def model_ranks(spark: SparkSession, models: Sequence[str] = tuple(MODEL_PREFERENCE)) -> DataFrame:
@@ -110,9 +111,13 @@ def model_ranks(spark: SparkSession, models: Sequence[str] = tuple(MODEL_PREFERE
 
 
 def preferred_answers(answers: DataFrame, models: Sequence[str] = tuple(MODEL_PREFERENCE)) -> DataFrame:
-    """Per question the answer of the first listed model that gave one."""
-    ranks = F.broadcast(model_ranks(answers.sparkSession, models))
-    return answers.join(ranks, "model").groupBy("question").agg(F.min_by("answer", "rank").alias("response"))
+    """Per question the answer of the first listed model that gave one.
+
+    `answers` has one row per question and model. The best rank is found by digest; the texts join in once.
+    """
+    ranked = answers.join(F.broadcast(model_ranks(answers.sparkSession, models)), "model").withColumn("_key", F.sha2("question", 256))
+    best = ranked.groupBy("_key").agg(F.min("rank").alias("rank"))
+    return ranked.join(best, ["_key", "rank"], "left_semi").select("question", F.col("answer").alias("response"))
 
 
 def arena_corpus(

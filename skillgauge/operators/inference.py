@@ -239,14 +239,16 @@ def shrink_round(
 
 
 def shrink_capabilities(
-    capabilities: DataFrame, template: str, provider: Provider, wanted: int = 20, factor: int = 4, rounds: int = 10
+    capabilities: DataFrame, template: str, provider: Provider, wanted: int = 20, factor: int = 4
 ) -> DataFrame:
-    """Rounds until at most `wanted` capabilities are left."""
+    """Rounds until at most `wanted` capabilities are left; a round that leaves as many as before is an error."""
     current = cut_lineage(capabilities.select("index", "capability"))
-    for _ in range(rounds):
-        if current.count() <= wanted:
-            break
+    left = current.count()
+    while left > wanted:
         current = cut_lineage(shrink_round(current, template, provider, wanted, factor))
+        before, left = left, current.count()
+        if left >= before:
+            raise RuntimeError(f"a round left {left} of {before} capabilities; {wanted} are wanted")
     return current
 
 
@@ -263,16 +265,17 @@ def example_prompts(
 
     `members` has `capability`, `instance_id`, `input`; `cached` one row per input generated so far.
     Draw d of a capability takes the next `per_prompt` of its instances in seeded order, starting over
-    at the end, so it never needs more than `wanted * per_prompt` of them.
+    at the end, so it never needs more than `wanted * per_prompt` of them. Draws are numbered after
+    the inputs there are, so that a top-up does not repeat the prompts already answered.
     """
     have = cached.groupBy("capability").agg(F.count("*").alias("_have"))
     pool = sample_per_group(members, wanted * per_prompt, seed, ["capability"], "instance_id")
     sizes = pool.groupBy("capability").agg(F.count("*").alias("_pool"))
     draws = (
         sizes.join(have, "capability", "left")
-        .withColumn("_deficit", F.lit(wanted) - F.coalesce("_have", F.lit(0)))
-        .filter("_deficit > 0")
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_deficit").cast("int"))))
+        .withColumn("_next", (F.coalesce("_have", F.lit(0)) + 1).cast("int"))
+        .filter(F.col("_next") <= wanted)
+        .withColumn("draw", F.explode(F.sequence(F.col("_next"), F.lit(wanted))))
         .withColumn("_slot", F.explode(F.sequence(F.lit(0), F.least(F.lit(per_prompt), "_pool").cast("int") - 1)))
         .withColumn("sample_rank", ((F.col("draw") - 1) * per_prompt + F.col("_slot")) % F.col("_pool") + 1)
         .select("capability", "draw", F.col("sample_rank").cast("int").alias("sample_rank"))

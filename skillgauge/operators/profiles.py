@@ -88,6 +88,7 @@ def balanced_assignment(
     rounds: int = 60,
     jitter: float = 0.5,
     seed: int = 0,
+    strict: bool = True,
 ) -> DataFrame:
     """Give every instance its `picks` best capabilities while loads stay near their prior share.
 
@@ -100,7 +101,8 @@ def balanced_assignment(
     driver. The jitter splits instances with equal scores.
 
     This approximates the exact capacitated assignment: see `assignment_report`. When no round meets
-    the tolerance, the closest one counts.
+    the tolerance, that is an error, as an infeasible problem is for an exact solver; with
+    `strict=False` the closest round counts. Without any score there are no shares to meet.
     """
     jittered = F.transform(
         "scores", lambda score, i: score.cast("double") + F.lit(jitter) * seeded_uniform(seed, F.col("instance_id"), i)
@@ -140,13 +142,16 @@ def balanced_assignment(
             ],
         ).first()
         target = [s * sums["n"] for s in share]
-        violation = max(abs(found[f"load{i}"] - t) / t for i, t in enumerate(target) if t > 0)
+        violation = max((abs(found[f"load{i}"] - t) / t for i, t in enumerate(target) if t > 0), default=0.0)
         if violation < least:
             best_prices, least = list(prices), violation
         if violation <= tolerance:
             break
         pace = 0.5 / (1.0 + 0.05 * turn)
         prices = [p + pace * (found[f"price{i}"] - p) for i, p in enumerate(prices)]
+    else:
+        if strict and tolerance < least < float("inf"):
+            raise ValueError(f"no assignment within {tolerance:.0%} of the shares after {rounds} rounds; the closest is off by {least:.0%}")
     return priced(best_prices).select("instance_id", "scores", "assignment")
 
 

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window as W
 
+from skillgauge.functions.answers import choice_position
 from skillgauge.functions.metrics import round3
 from skillgauge.operators.filters import unbiased_order
 
@@ -28,8 +29,10 @@ def question_robustness(log: DataFrame, keys: Sequence[str] = ("sample_index",))
     """D1 without the text: total, count and rounded mean score per question.
 
     Only fixed-width values are aggregated, so the hash aggregate and its map-side step apply.
-    `first_evaluation` names the first row that has a question text.
+    `first_evaluation` names the first row that has a question text: a log without its texts says so in
+    `has_text`, one with them needs nothing more.
     """
+    has_text = F.col("has_text") if "has_text" in log.columns else F.col("raw_input").isNotNull()
     return (
         log.dropna(subset=list(keys))
         .groupBy(*keys)
@@ -37,7 +40,7 @@ def question_robustness(log: DataFrame, keys: Sequence[str] = ("sample_index",))
             F.sum("score").alias("total_score"),
             F.count("score").alias("instance_count"),
             round3(F.avg("score")).alias("average_score"),
-            F.min(F.when(F.col("has_text"), F.col("evaluation_id"))).alias("first_evaluation"),
+            F.min(F.when(has_text, F.col("evaluation_id"))).alias("first_evaluation"),
         )
     )
 
@@ -89,8 +92,12 @@ def keep_low_rows(log: DataFrame, low: DataFrame, keys: Sequence[str] = ("sample
 
 
 def examples_for_rows(log: DataFrame, examples: DataFrame, keys: Sequence[str] = ("dataset", "sample_index")) -> DataFrame:
-    """Attach each row's benchmark example; rows without one are dropped."""
-    return log.join(examples, list(keys), "inner")
+    """Attach each row's benchmark example and the position of its answer among the choices.
+
+    Rows without an example, and rows whose answer is none of the choices, are dropped.
+    """
+    found = log.join(examples, list(keys), "inner").withColumn("chosen_position", choice_position(F.col("closest_answer"), F.col("choices")))
+    return found.dropna(subset=["chosen_position"])
 
 
 def configurations(

@@ -6,10 +6,12 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Key-like rows of at most a few hundred bytes: under 100 MB in every executor.
 BROADCAST_ROWS = 250_000
+# The same for tables whose rows vary in size.
+BROADCAST_BYTES = 64 * 2**20
 
 
 def build_session(app_name: str = "skillgauge", master: str | None = None, **conf: str) -> SparkSession:
@@ -70,6 +72,12 @@ def broadcast_if_few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: Column | int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a materialised `df` for broadcast when its summed row sizes stay below the limit."""
+    size = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes).alias("n")).first()["n"] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 _SPLITS: dict[tuple[str, int], bool] = {}
 
 

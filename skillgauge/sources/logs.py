@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -69,22 +70,46 @@ def _read_or_empty(spark: SparkSession, schema: T.StructType, paths: Sequence[st
         return spark.createDataFrame([], schema)
 
 
+# Fixed value: folders of the log layout.
+_LAYOUT = r"([^/]+)/([^/]+)/([0-9]+)_shot/([^/]+?)(?:\.parquet)?(?:/[^/]*)?$"
+
+
+def _alternatives(values: str | int | Iterable | None, suffix: str = "") -> str:
+    """A path component for any of the values, or for all names."""
+    if values is None:
+        return f"*{suffix}"
+    listed = [values] if isinstance(values, (str, int)) else list(values)
+    escaped = [re.sub(r"([{}\[\]*?,\\])", r"\\\1", str(value)) for value in listed]
+    return "{" + ",".join(escaped) + "}" + suffix
+
+
 def scan_layout(
     spark: SparkSession,
     base: str,
-    model: str,
-    language: str,
-    shots: int,
-    benchmarks: Iterable[str] | None = None,
+    models: str | Iterable[str] | None = None,
+    languages: str | Iterable[str] | None = None,
+    shots: int | Iterable[int] | None = None,
+    benchmarks: str | Iterable[str] | None = None,
     schema: T.StructType = LOG_SCHEMA,
 ) -> DataFrame:
-    """A1: one slice of a log laid out as `{model}/{language}/{shots}_shot/{benchmark}.parquet`.
+    """A1: a log laid out as `{model}/{language}/{shots}_shot/{benchmark}.parquet`, any number of slices in one scan.
 
-    A slice that is not there gives an empty result.
+    Only the asked-for files are listed; those that are not there are skipped, and none at all gives
+    an empty result. Model folder, language and shot count come from the path, which wins over columns
+    of the file, and so does the benchmark.
     """
-    folder = f"{base.rstrip('/')}/{model.rsplit('/', 1)[-1]}/{language}/{shots}_shot"
-    paths = [folder] if benchmarks is None else [f"{folder}/{name.removesuffix('.parquet')}.parquet" for name in benchmarks]
-    return normalise_columns(_read_or_empty(spark, schema, paths, None))
+    folders = None if models is None else [m.rsplit("/", 1)[-1] for m in ([models] if isinstance(models, str) else models)]
+    names = None if benchmarks is None else [n.removesuffix(".parquet") for n in ([benchmarks] if isinstance(benchmarks, str) else benchmarks)]
+    path = "/".join(
+        [base.rstrip("/"), _alternatives(folders), _alternatives(languages), _alternatives(shots, "_shot"), _alternatives(names, ".parquet")]
+    )
+    log, place = _read_or_empty(spark, schema, [path], None), F.col("_metadata.file_path")
+    if log.isEmpty():
+        log, place = spark.createDataFrame([], schema), F.lit("")
+    part = lambda n: F.regexp_extract(F.url_decode(F.regexp_replace(place, r"\+", "%2B")), _LAYOUT, n)
+    own = normalise_columns(log.withColumns({"_folder": part(1), "_language": part(2), "_shots": part(3), "_benchmark": part(4)}))
+    found = {"model_folder": "_folder", "language": "_language", "shots": "_shots", "benchmark": "_benchmark"}
+    return own.drop(*found).withColumnsRenamed({b: a for a, b in found.items()}).withColumn("shots", F.col("shots").cast("int"))
 
 
 def scan_partitions(
@@ -153,8 +178,8 @@ def benchmark_catalogue(spark: SparkSession) -> DataFrame:
     )
 
 
-def with_benchmark_source(examples: DataFrame, order: str, dataset: str = "dataset") -> DataFrame:
-    """Attach source, subset and split to each example and apply the row cap of its source.
+def with_benchmark_source(examples: DataFrame, order: str, dataset: str = "dataset", capped: bool = False) -> DataFrame:
+    """Attach source, subset and split to each example, and with `capped` keep the first rows up to the cap of its source.
 
     A name matches a catalogue entry when equal to it or continued by a dot. Examples of unknown
     benchmarks are dropped.
@@ -172,6 +197,8 @@ def with_benchmark_source(examples: DataFrame, order: str, dataset: str = "datas
         .withColumn("subset", F.coalesce("subset", F.substring(name, F.instr(name, ".") + 1, F.length(name))))
         .drop("name")
     )
+    if not capped:
+        return examples.join(known, dataset)
     ranked = examples.join(known, dataset).withColumn(
         "_row", F.row_number().over(W.partitionBy(dataset).orderBy(order))
     )

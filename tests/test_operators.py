@@ -96,6 +96,8 @@ def test_missing_layout_is_empty(spark, tmp_path):
     spark.createDataFrame([("e", "org/m")], "evaluation_id string, model string").write.parquet(str(folder))
     found = logs.scan_layout(spark, str(tmp_path), "org/m", "en", 0, ["x.parquet"])
     assert found.count() == 1 and "choices_order" in found.columns
+    some = logs.scan_layout(spark, str(tmp_path), ["org/m", "org/absent"], benchmarks=["x", "gone"]).collect()
+    assert [(r["language"], r["shots"], r["model_folder"], r["benchmark"]) for r in some] == [("en", 0, "m", "x")]
 
 
 # ---- trees -------------------------------------------------------------------------------------
@@ -355,10 +357,10 @@ def test_silhouette_matches_definition(spark):
     assert got == pytest.approx(silhouette(points.astype(np.float32).astype(float), labels), abs=1e-9)
 
 
-@pytest.mark.parametrize("task_rows", [None, 40])
-def test_clustering_partitions_instances(spark, task_rows):
+@pytest.mark.parametrize("partitions", [3, 17])
+def test_clustering_partitions_instances(spark, partitions):
     points, vectors = blobs(spark)
-    leaves, centroids = clustering.build_tree(vectors, task_rows=task_rows)
+    leaves, centroids = clustering.build_tree(vectors.repartition(partitions))
     placed = leaves.collect()
     assert sorted(r["instance_id"] for r in placed) == list(range(len(points)))
     top = {}
