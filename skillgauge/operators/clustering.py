@@ -16,7 +16,7 @@ from skillgauge.session import BROADCAST_BYTES, broadcast_if_small, cut_lineage
 MAX_CHILDREN = 10
 SEED = 42
 # Most k-means steps of a fit.
-STEPS = 10
+STEPS = 6
 # Decimals that centroids and silhouettes keep.
 CENTROID_DIGITS = 9
 
