@@ -8,10 +8,10 @@ from skillgauge.functions.text import WHITESPACE, strip
 
 # The alphabets that label choices, in rank order.
 ALPHABETS = {
-    "greek": ["α", "β", "γ", "δ", "ε", "ζ", "η", "θ", "ι", "κ"],
-    "keyboard": ["!", "@", "#", "$", "%", "^", "₪", "*", ")", "("],
-    "capitals": ["A", "B", "C", "D", "E", "F", "G", "H", "I", "J"],
-    "lowercase": ["a", "b", "c", "d", "e", "f", "g", "h", "i", "j"],
+    "greek": "αβγδεζηθικ",
+    "keyboard": "!@#$%^₪*)(",
+    "capitals": "ABCDEFGHIJ",
+    "lowercase": "abcdefghij",
     "numbers": ["1", "2", "3", "4", "5", "6", "7", "8", "9", "10"],
     "roman": ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X"],
 }
