@@ -79,3 +79,15 @@ def contained(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
         return np.zeros(len(values), bool)
     at = np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)
     return sorted_set[at] == values
+
+
+def joined(*parts: bytes) -> bytes:
+    """Several byte strings as one, with their lengths before them."""
+    return np.array([len(part) for part in parts], np.uint32).tobytes() + b"".join(parts)
+
+
+def parted(payload: bytes, n: int) -> list[bytes]:
+    """The n byte strings of `joined`."""
+    sizes = np.frombuffer(payload, np.uint32, n)
+    ends = 4 * n + np.cumsum(sizes)
+    return [payload[end - size : end] for size, end in zip(sizes.tolist(), ends.tolist())]

@@ -9,8 +9,13 @@ candidates. A pair of similarity s meets in some table with probability (1 − (
 Equal sets are one node, so exact copies cost one row each and nothing more. Large tables are not
 paired out: every member is first verified against one member of its table; verified links join
 components, and only members of one table in different components are compared further, first against
-two other members, then, where that leaves any, with each other. So no candidate pair whose
-verification could still join two components is left out.
+two other members, then with each other. Before that bounds thin out the members exactly: shingles
+that no open member of another component has cannot be shared with one, so a member whose other
+shingles are too few for any link is closed, which in turn takes shingles from the rest. In the last
+step two members are a pair if they share one of the rarest shingles that a link has to contain, or,
+for a link that rests on common shingles alone, if both have enough of those and share a table. So no
+candidate pair that could still join two components is left out, and a group of edited copies does not
+turn into all its pairs.
 
 Sets are compared by the 64-bit hashes of their shingles.
 
@@ -26,8 +31,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from skillgauge.llm import blocks
 from skillgauge.llm.components import connected_components
 from skillgauge.llm.storage import broadcast_if_small, stored
 from skillgauge.llm.tokens import Words, salted, sequences, slices, windows
@@ -39,6 +45,8 @@ KEYS = 9
 VALUES_PER_KEY = 2
 _NULL_ID = -(2**63)
 _NEXT_CENTRES = 2
+#: Shingles in more open members than this are common.
+_RARE = 32
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -171,7 +179,13 @@ def near_duplicates(
     links = stored(links.unionByName(_verified(pairs, texts, shingle, similarity)), "links")
     components = stored(connected_components(links), "components")
     for step in range(1, _NEXT_CENTRES + 2):
-        pairs = stored(_open_pairs(members, components, step, similarity).join(checked, ["a", "b"], "left_anti"), "pairs")
+        left = _open_members(members, components)
+        if step <= _NEXT_CENTRES:
+            left = _bounded(left, texts, shingle, similarity)
+            wanted = _pairs_of(_centres(left), left, similarity)
+        else:
+            wanted = _all_pairs(left, texts, shingle, similarity)
+        pairs = stored(wanted.join(checked, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
         checked = stored(checked.unionByName(pairs), "checked")
@@ -193,21 +207,173 @@ def _texts_of(docs: DataFrame, needed: DataFrame, id_column: str, text: str) ->
     return stored(wanted, "texts")
 
 
-def _open_pairs(members: DataFrame, components: DataFrame, step: int, similarity: int) -> DataFrame:
-    """Pairs of one table in different components: with another centre, or all of them in the last step."""
+def _open_members(members: DataFrame, components: DataFrame) -> DataFrame:
+    """key, node, n_shingles, component of the tables whose members are in several components."""
     labelled = members.join(components, "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-    split = labelled.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other").select("key")
-    left = labelled.join(split, "key").select("key", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("of_b"))
-    left = stored(left, "open")
-    if step <= _NEXT_CENTRES:
-        order = F.col("b") if step == 1 else F.xxhash64("b")
-        centre = F.max(F.struct(order.alias("order"), F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("of_b").alias("of_a")))
-        centres = left.groupBy("key").agg(centre.alias("c")).select("key", "c.a", "c.n_a", "c.of_a")
-        pairs = left.join(centres, "key").filter(F.col("of_a") != F.col("of_b"))
-    else:
-        other = left.select("key", F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("of_b").alias("of_a"))
-        pairs = left.join(other, "key").filter((F.col("of_a") != F.col("of_b")) & (F.col("a") < F.col("b")))
-    return _ordered(pairs.filter(100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")))
+    return stored(_split_tables(labelled), "open")
+
+
+def _split_tables(labelled: DataFrame) -> DataFrame:
+    split = labelled.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one < other")
+    return labelled.join(split.select("key"), "key", "left_semi")
+
+
+def _bounded(left: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """`left` with `foreign`, without members that cannot have a link to another component."""
+    counted = _foreign_shingles(left.select("node", "component").distinct(), texts, shingle, similarity)
+    able = left.join(counted, "node").filter(100 * F.col("foreign") >= similarity * F.col("n_shingles"))
+    return stored(_split_tables(able), "open")
+
+
+def _pairs_of(one: DataFrame, other: DataFrame, similarity: int, on: str = "key") -> DataFrame:
+    """Pairs of different components that agree in `on`, if sizes and foreign shingles allow a link."""
+    left, right = (
+        side.select(on, *[F.col(c).alias(f"{c}_{name}") for c in ("node", "n_shingles", "component")], F.col("foreign").alias(f"shared_{name}"))
+        for side, name in ((one, "a"), (other, "b"))
+    )
+    most = F.least("shared_a", "shared_b")
+    near = 100 * most >= similarity * (F.col("n_shingles_a") + F.col("n_shingles_b") - most)
+    apart = F.col("component_a") != F.col("component_b")
+    return _ordered(left.join(right, on).filter(apart & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+
+
+def _centres(open_members: DataFrame) -> DataFrame:
+    """One member of each table: the one that shares the largest part of its set, the heart of a group of edited copies."""
+    row = F.struct((F.col("foreign") / F.col("n_shingles")).alias("part"), "n_shingles", "node", "component", "foreign")
+    best = open_members.groupBy("key").agg(F.max(row).alias("c"))
+    return best.select("key", "c.node", "c.n_shingles", "c.component", "c.foreign")
+
+
+def _all_pairs(left: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """Every pair that is still possible once no more member can be closed.
+
+    A link holds similarity percent of the larger set, so it contains one of the rarest shingles of
+    either set, as many as the rest leaves. If that one is rare, it is in both `prefix` lists; if all
+    such are common, both sets have that many common ones, and the link rests on these alone.
+    """
+    before = left.count()
+    while True:
+        left = _bounded(left.select("key", "node", "n_shingles", "component"), texts, shingle, similarity)
+        after = left.count()
+        if after == before or not after:
+            break
+        before = after
+    nodes = left.drop("key").distinct()
+    by_shingle = nodes.select("node", "n_shingles", "component", "foreign", F.explode_outer("prefix").alias("shingle"))
+    by_shingle = stored(by_shingle.filter(F.col("shingle").isNotNull()), "prefixes")
+    rare = _pairs_of(by_shingle, by_shingle, similarity, "shingle")
+    rich = stored(left.filter(100 * F.col("core") >= similarity * F.col("n_shingles")).drop("prefix"), "rich")
+    return rare.unionByName(_common_pairs(rich, similarity)).distinct()
+
+
+def _common_pairs(rich: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of one table whose common shingles allow a link.
+
+    One side is never in the table's largest component, and it meets whole groups of members of one
+    component and size first, so that only groups which allow a link are taken apart.
+    """
+    groups = rich.groupBy("key", "component", "n_shingles").agg(F.max("core").alias("core"), F.count("*").alias("n"))
+    largest = groups.groupBy("key", "component").agg(F.sum("n").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"))
+    smaller = rich.join(largest, "key").filter(F.col("component") != F.col("largest.component")).drop("largest")
+
+    def near(core: str) -> Column:
+        most = F.least("core", core)
+        return 100 * most >= similarity * (F.col("n_shingles") + F.col("n_b") - most)
+
+    other = groups.select("key", F.col("component").alias("component_b"), F.col("n_shingles").alias("n_b"), F.col("core").alias("most_b"))
+    met = smaller.join(other, "key").filter((F.col("component") != F.col("component_b")) & near("most_b"))
+    rows = rich.select("key", F.col("component").alias("component_b"), F.col("n_shingles").alias("n_b"), F.col("core").alias("core_b"), F.col("node").alias("b"))
+    pairs = met.join(rows, ["key", "component_b", "n_b"]).filter(near("core_b"))
+    return _ordered(pairs.select(F.col("node").alias("a"), "b"))
+
+
+_ASK = "shard int, block int, payload binary"
+_ANSWER = "block int, shard int, payload binary"
+
+
+def _foreign_shingles(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
+    """node; foreign: how many of its shingles a given node of another component has, too; core: how
+    many of those are common; prefix: the rarest of the others that a link may have to contain.
+
+    Blocks of nodes ask shards of shingles for the smallest and largest component of each shingle, and
+    how many nodes have it.
+    """
+    placed = texts.join(nodes, "node")
+    _, n_blocks = blocks.plan_blocks(placed, "text")
+    dealt = blocks.in_blocks(placed, n_blocks, "node", "text", F.col("component"))
+    bounds = blocks.shard_bounds(n_blocks)
+
+    def spans(table: pa.Table) -> tuple[np.ndarray, ...]:
+        """Sorted distinct shingles of a block with their smallest and largest component and number of nodes."""
+        sets = [s for part in slices(table, "text") for s in shingle_sets(part.column("text").combine_chunks(), shingle)]
+        every = np.concatenate([np.empty(0, np.uint64), *sets])
+        owner = np.repeat(table.column("component").to_numpy(), [len(s) for s in sets])
+        order = np.argsort(every)
+        every, owner = every[order], owner[order]
+        first = np.flatnonzero(np.diff(every, prepend=~every[:1]) != 0)
+        if not len(first):
+            return every, owner, owner, owner
+        return every[first], np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first), np.diff(first, append=len(every))
+
+    def ask(key: tuple, table: pa.Table) -> pa.Table:
+        hashes, *facts = spans(table)
+        block = key[0].as_py()
+        rows = [
+            (number, block, blocks.joined(blocks.pack_sorted(hashes[a:b]), *[blocks.pack(fact[a:b].astype(np.int64).view(np.uint64)) for fact in facts]))
+            for number, a, b in blocks.by_shard(hashes, bounds)
+        ]
+        return _table(rows, ["shard", "block", "payload"])
+
+    def answer(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [blocks.parted(payload.as_py(), 4) for payload in table.column("payload")]
+        keys = [blocks.unpack_sorted(part[0]) for part in parts]
+        every = np.concatenate(keys)
+        low, high, n = (np.concatenate([blocks.unpack(part[k]).view(np.int64) for part in parts]) for k in (1, 2, 3))
+        order = np.argsort(every)
+        first = np.flatnonzero(np.diff(every[order], prepend=~every[order[:1]]) != 0)
+        distinct = every[order][first]
+        several = np.minimum.reduceat(low[order], first) < np.maximum.reduceat(high[order], first)
+        often = np.minimum(np.add.reduceat(n[order], first), _RARE + 1)
+        shard, rows = key[0].as_py(), []
+        for block, own in zip(table.column("block").to_pylist(), keys):
+            at = np.searchsorted(distinct, own)
+            kept = several[at]
+            rows.append((block, shard, blocks.joined(blocks.pack_sorted(own[kept]), blocks.pack(often[at[kept]]))))
+        return _table(rows, ["block", "shard", "payload"])
+
+    def count(table: pa.Table, replies: pa.Table) -> pa.Table:
+        parts = [blocks.parted(payload.as_py(), 2) for payload in replies.column("payload")]
+        shared = np.concatenate([np.empty(0, np.uint64), *[blocks.unpack_sorted(part[0]) for part in parts]])
+        often = np.concatenate([np.empty(0, np.uint64), *[blocks.unpack(part[1]) for part in parts]])
+        order = np.argsort(shared)
+        shared, often = shared[order], often[order]
+        foreign, core, prefix = [], [], []
+        for part in slices(table, "text"):
+            for s in shingle_sets(part.column("text").combine_chunks(), shingle):
+                known = s[blocks.contained(s, shared)]
+                times = often[np.searchsorted(shared, known)]
+                rare = np.flatnonzero(times <= _RARE)
+                # Rarest first, shingles that nobody shares before all others.
+                wanted = len(s) - (-(-similarity * len(s) // 100)) + 1 - (len(s) - len(known))
+                rare = rare[np.lexsort((known[rare], times[rare]))][: max(wanted, 0)]
+                foreign.append(len(known))
+                core.append(int((times > _RARE).sum()))
+                prefix.append(known[rare].view(np.int64))
+        columns = {"node": table.column("doc_id"), "foreign": pa.array(foreign, pa.int64()), "core": pa.array(core, pa.int64())}
+        return pa.table(columns | {"prefix": pa.array(prefix, pa.list_(pa.int64()))})
+
+    asked = dealt.groupBy("block").applyInArrow(ask, _ASK)
+    answered = asked.groupBy("shard").applyInArrow(answer, _ANSWER)
+    counted = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
+        count, "node bigint, foreign bigint, core bigint, prefix array<bigint>"
+    )
+    # Rows of one id may have several texts; the largest counts and all their shingles are the safe ones.
+    return counted.groupBy("node").agg(F.max("foreign").alias("foreign"), F.max("core").alias("core"), F.flatten(F.collect_list("prefix")).alias("prefix"))
+
+
+def _table(rows: list[tuple], names: list[str]) -> pa.Table:
+    kinds = [pa.binary() if name == "payload" else pa.int32() for name in names]
+    return pa.table({name: pa.array([row[k] for row in rows], kind) for k, (name, kind) in enumerate(zip(names, kinds))})
 
 
 def duplicate_report(docs: DataFrame, **options) -> DataFrame:

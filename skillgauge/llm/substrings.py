@@ -107,22 +107,12 @@ def sketch_step(n: int, cells: int, per_shard: int):
                 base = numbers[a] * np.uint64(per_shard)
                 shard.append(int(numbers[a]))
                 owner.append(block)
-                payload.append(_joined(blocks.pack_sorted(filled[a:b] - base), np.packbits(again[a:b]).tobytes()))
+                payload.append(blocks.joined(blocks.pack_sorted(filled[a:b] - base), np.packbits(again[a:b]).tobytes()))
         return _rows(_ASK, [shard, owner, payload])
 
     return step
 
 
-def _joined(*parts: bytes) -> bytes:
-    return np.array([len(part) for part in parts], np.uint32).tobytes() + b"".join(parts)
-
-
-def _parted(payload: bytes, n: int) -> list[bytes]:
-    sizes = np.frombuffer(payload, np.uint32, n)
-    ends = 4 * n + np.cumsum(sizes)
-    return [payload[end - size : end] for size, end in zip(sizes.tolist(), ends.tolist())]
-
-
 def merge_step(per_shard: int):
     """Adds up the cells of all blocks; tells each block which of its cells count two or more."""
 
@@ -131,7 +121,7 @@ def merge_step(per_shard: int):
         counts = np.zeros(per_shard, np.uint8)
         owners, asked = table.column("block").to_pylist(), []
         for payload in table.column("payload"):
-            packed, bits = _parted(payload.as_py(), 2)
+            packed, bits = blocks.parted(payload.as_py(), 2)
             cells = blocks.unpack_sorted(packed).astype(np.int64)
             again = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(cells)).astype(np.uint8)
             counts[cells] = np.minimum(counts[cells] + 1 + again, 2)
@@ -173,7 +163,7 @@ def ask_step(n: int, cells: int, per_shard: int, n_shards: int):
             least = low[a:b].min()
             with np.errstate(over="ignore"):
                 ids = (low[a:b] - least).view(np.uint64)
-            payload.append(_joined(blocks.pack_sorted(hashes[a:b]), blocks.pack(ids), least.tobytes(), blocks.pack(checks[a:b])))
+            payload.append(blocks.joined(blocks.pack_sorted(hashes[a:b]), blocks.pack(ids), least.tobytes(), blocks.pack(checks[a:b])))
         return _rows(_ASK, [shard, owner, payload])
 
     return step
@@ -184,7 +174,7 @@ def least_step(key: tuple, table: pa.Table) -> pa.Table:
     shard = key[0].as_py()
     owners, keys, ids, checks = table.column("block").to_pylist(), [], [], []
     for payload in table.column("payload"):
-        packed, packed_ids, least, packed_checks = _parted(payload.as_py(), 4)
+        packed, packed_ids, least, packed_checks = blocks.parted(payload.as_py(), 4)
         keys.append(blocks.unpack_sorted(packed))
         checks.append(blocks.unpack(packed_checks))
         with np.errstate(over="ignore"):
