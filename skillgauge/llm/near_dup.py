@@ -9,7 +9,7 @@ candidates. A pair of similarity s meets in some table with probability (1 − (
 Equal sets are one node, so exact copies cost one row each and nothing more. Large tables are not
 paired out: every member is first verified against one member of its table; verified links join
 components, and only members of one table in different components are compared further, first against
-two other members, then with each other. Before that bounds thin out the members exactly: shingles
+the member that shares most of its set, then with each other. Before that bounds thin out the members exactly: shingles
 that no open member of another component has cannot be shared with one, so a member whose other
 shingles are too few for any link is closed, which in turn takes shingles from the rest. In the last
 step two members are a pair if they share one of the rarest shingles that a link has to contain, or,
@@ -44,7 +44,6 @@ SHINGLE_WORDS = 5
 KEYS = 9
 VALUES_PER_KEY = 2
 _NULL_ID = -(2**63)
-_NEXT_CENTRES = 2
 #: Shingles in more open members than this are common.
 _RARE = 32
 
@@ -178,19 +177,18 @@ def near_duplicates(
     checked = pairs
     links = stored(links.unionByName(_verified(pairs, texts, shingle, similarity)), "links")
     components = stored(connected_components(links), "components")
-    for step in range(1, _NEXT_CENTRES + 2):
-        left = _open_members(members, components)
-        if step <= _NEXT_CENTRES:
-            left = _bounded(left, texts, shingle, similarity)
-            wanted = _pairs_of(_centres(left), left, similarity)
-        else:
-            wanted = _all_pairs(left, texts, shingle, similarity)
+    left = None
+    for last in (False, True):
+        left = _bounded(_open_members(members, components), texts, shingle, similarity) if left is None else left
+        wanted = _all_pairs(left, texts, shingle, similarity) if last else _pairs_of(_centres(left), left, similarity)
         pairs = stored(wanted.join(checked, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
+        verified = stored(_verified(pairs, texts, shingle, similarity), "verified")
+        if verified.isEmpty():
             continue
         checked = stored(checked.unionByName(pairs), "checked")
-        links = stored(links.unionByName(_verified(pairs, texts, shingle, similarity)), "links")
+        links = stored(links.unionByName(verified), "links")
         components = stored(connected_components(links), "components")
+        left = None
 
     named = placed.join(components.withColumnRenamed("component", "root"), "node", "left")
     roots = named.groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component"))
@@ -245,7 +243,7 @@ def _centres(open_members: DataFrame) -> DataFrame:
 
 
 def _all_pairs(left: DataFrame, texts: DataFrame, shingle: int, similarity: int) -> DataFrame:
-    """Every pair that is still possible once no more member can be closed.
+    """Every pair that is still possible once few more members can be closed.
 
     A link holds similarity percent of the larger set, so it contains one of the rarest shingles of
     either set, as many as the rest leaves. If that one is rare, it is in both `prefix` lists; if all
@@ -255,7 +253,7 @@ def _all_pairs(left: DataFrame, texts: DataFrame, shingle: int, similarity: int)
     while True:
         left = _bounded(left.select("key", "node", "n_shingles", "component"), texts, shingle, similarity)
         after = left.count()
-        if after == before or not after:
+        if 10 * after >= 9 * before:
             break
         before = after
     nodes = left.drop("key").distinct()
