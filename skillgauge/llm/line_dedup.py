@@ -100,7 +100,7 @@ def double(ranks: DataFrame, step: int, suffixes: int) -> DataFrame:
 
 def repeated_windows(docs: DataFrame, min_lines: int = MIN_LINES, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, at, source, source_at: windows of `min_lines` lines that are later copies, and their original."""
-    lines = line_sequences(docs, id_column, text)
+    lines = stored(line_sequences(docs, id_column, text), "lines")
     ranks = first_ranks(lines)
     shared = ranks.filter(F.col("group") > 1).select(F.col("doc").alias("__doc")).distinct()
     # Only documents with a line that stands elsewhere too; ranks stay those of the whole suffix array.
