@@ -241,7 +241,7 @@ def learn_weights(histogram: Sequence[Row], n_training: int, n_types: int) -> In
     for _ in range(EM_STEPS):
         shares = weights[bucket] * parts
         shares *= (n / shares.sum(1))[:, None]
-        sums = np.stack([np.bincount(bucket, shares[:, k], BUCKETS) for k in range(3)], 1)
+        sums = np.stack([np.bincount(bucket, shares[:, k], BUCKETS) for k in range(3)], 1).astype(float)
         # One token's worth of the start values keeps every weight above zero.
         sums += [0.5, 0.4, 0.1]
         weights = sums / sums.sum(1, keepdims=True)
