@@ -16,8 +16,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of runs of lines; those that are nothing else go."""
-    return line_dedup.dedup_lines(docs)
+    """Documents without later copies of runs of lines, or of fewer lines with many words; those that are nothing else go."""
+    return line_dedup.dedup_lines(docs, min_words=line_dedup.MIN_WORDS)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

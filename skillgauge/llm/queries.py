@@ -23,6 +23,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_documents(spark, sf_dir))
 
 
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_documents(spark, sf_dir), min_words=line_dedup.MIN_WORDS)
+
+
 def op2_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.linked_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -149,6 +153,31 @@ SELECT n.doc_id, len(w)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_
 FROM n LEFT JOIN r USING (doc_id)
 """
 
+_SQL_PASSAGES = rf"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+),
+n AS (
+  SELECT doc_id, l, list_filter(generate_series(1, len(l)), lambda i: regexp_matches(l[i], '{_SPACE}')) AS w FROM d
+),
+g AS (
+  SELECT doc_id, p, k, list_transform(w[p:p + k - 1], lambda i: l[i]) AS passage, w[p:p + k - 1] AS spot
+  FROM (SELECT doc_id, l, w, k, unnest(generate_series(1, len(w) - k + 1)) AS p FROM n, (VALUES (1), (2), (3)) ks(k) WHERE len(w) >= k)
+),
+q AS (
+  SELECT * FROM g WHERE k = 3 OR list_sum(list_transform(passage, lambda x: len(regexp_extract_all(x, '{_SPACE}')))) >= 50
+),
+f AS (
+  SELECT doc_id, spot, row_number() OVER (PARTITION BY passage ORDER BY doc_id, p) AS nth FROM q
+),
+r AS (
+  SELECT doc_id, list_distinct(flatten(list(spot))) AS gone, count(*) AS copied FROM f WHERE nth > 1 GROUP BY doc_id
+)
+SELECT n.doc_id, len(w)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed, coalesce(copied, 0)::BIGINT AS n_copied_windows,
+       sha256(array_to_string(list_transform(list_filter(generate_series(1, len(l)), lambda i: NOT list_contains(coalesce(gone, []), i)), lambda i: l[i]), chr(10))) AS kept_sha256
+FROM n LEFT JOIN r USING (doc_id)
+"""
+
 _CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _SQL_CONTAMINATION = rf"""
 WITH d AS (
@@ -221,6 +250,7 @@ FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op1_repeated_passages": op1_repeated_passages,
     "op2_chat_quotations": op2_chat_quotations,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_near_dedup": op4_near_dedup,
@@ -231,7 +261,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
 }
-_ORACLES = {"op4_near_dedup": _SQL_NEAR, "op3_substring_dedup": _SQL_SUBSTRINGS, "op1_line_dedup": _SQL_LINES, "op5_decontamination": _SQL_CONTAMINATION, "op6_quality_rules": _SQL_QUALITY, "op9_mix_sources": _SQL_MIX}
+_ORACLES = {"op4_near_dedup": _SQL_NEAR, "op3_substring_dedup": _SQL_SUBSTRINGS, "op1_line_dedup": _SQL_LINES, "op1_repeated_passages": _SQL_PASSAGES, "op5_decontamination": _SQL_CONTAMINATION, "op6_quality_rules": _SQL_QUALITY, "op9_mix_sources": _SQL_MIX}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

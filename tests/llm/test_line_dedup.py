@@ -77,3 +77,49 @@ def test_repeated_rows_null_ids_and_partitions(spark):
 
 def test_empty_table(spark):
     assert line_dedup.line_report(documents(spark, [])).count() == 0
+
+
+LONG = [" ".join(f"{name}{k}" for k in range(n)) for name, n in (("p", 60), ("q", 30), ("r", 20), ("s", 49), ("t", 50), ("u", 49))]
+PASSAGES = [
+    *TEXTS,
+    *LONG,
+    "\n".join([LONG[1], LONG[2]]),
+    "\n".join(["before", LONG[0], "after"]),
+    "\n".join(["other", LONG[1], "", LONG[2], "end"]),
+    "\n".join(["other", LONG[2], LONG[1], "end"]),
+    "\n".join(["some", LONG[3], "more"]),
+    "\n".join(["some", LONG[4], LONG[4], "x1", LONG[5]]),
+    "\n".join([A, B, C, LONG[0]]),
+]
+
+
+def brute_force_passages(texts, min_lines, min_words):
+    seen, gone = set(), []
+    for text in texts:
+        lines = (text or "").split("\n")
+        worded = [i for i, line in enumerate(lines) if WORD.search(line)]
+        lost, copied = set(), 0
+        for p in range(len(worded)):
+            for n in range(1, min(min_lines, len(worded) - p) + 1):
+                spot = worded[p : p + n]
+                window = tuple(lines[i] for i in spot)
+                if n == min_lines or sum(len([w for w in re.split(r"[\x20\x09-\x0D]+", line) if w]) for line in window) >= min_words:
+                    if window in seen:
+                        lost |= set(spot)
+                        copied += 1
+                    seen.add(window)
+        kept = "\n".join(line for i, line in enumerate(lines) if i not in lost)
+        gone.append((len(worded), len(lost), copied, hashlib.sha256(kept.encode()).hexdigest()))
+    return gone
+
+
+@pytest.mark.parametrize("min_lines", [1, 3, 6])
+def test_short_runs_of_many_words_go(spark, min_lines):
+    found = by_id(line_dedup.line_report(documents(spark, PASSAGES), min_lines, min_words=50))
+    for k, wanted in enumerate(brute_force_passages(PASSAGES, min_lines, 50)):
+        assert tuple(found[k])[1:] == wanted, (k, PASSAGES[k])
+
+
+def test_deduplicated_documents_lose_one_line_passages(spark):
+    rows = by_id(line_dedup.dedup_lines(documents(spark, ["\n".join(["a", LONG[0], "b"]), "\n".join(["c", LONG[0], "d"]), LONG[0]]), min_words=50))
+    assert {k: row["text"] for k, row in rows.items()} == {0: f"a\n{LONG[0]}\nb", 1: "c\nd"}

@@ -45,3 +45,10 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_line_stage_drops_one_line_passages(spark, tmp_path):
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs = documents(spark, [f"first\n{passage}\nend", f"second\n{passage}\nother"])
+    rows = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == {0: f"first\n{passage}\nend", 1: "second\nother"}
