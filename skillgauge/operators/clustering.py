@@ -15,8 +15,10 @@ from skillgauge.session import BROADCAST_BYTES, broadcast_if_small, cut_lineage
 # Most children of a node, seed of every fit.
 MAX_CHILDREN = 10
 SEED = 42
-# Most k-means steps of a fit.
-STEPS = 6
+# Bound of k-means steps, at which a fit that has not settled is an error.
+STEPS = 300
+# A fit has settled when its centroids' squared shifts add up to at most this share of the mean variance.
+TOLERANCE = 1e-4
 # Decimals that centroids and silhouettes keep.
 CENTROID_DIGITS = 9
 
@@ -139,19 +141,39 @@ def best_cluster_count(scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFra
 
 
 def _starts(level: DataFrame, max_children: int, seed: int) -> DataFrame:
-    """First centroids: for every node and count k the k rows with the smallest seeded hash.
+    """First centroids of every node and count k, chosen as k-means++ does, and the node's tolerance.
 
-    Each map task cuts its part of a node to that many rows before the shuffle.
+    The first start is the row with the smallest seeded hash. Each further one is drawn with
+    probability in proportion to the squared distance to the nearest start: the row with the smallest
+    -ln(hash) / distance. Count k takes the first k, so one round per start serves all counts and
+    nodes. A node with fewer different rows than k has that many starts.
     """
-    order = W.partitionBy(*NODE).orderBy(seeded_hash(seed, F.col("instance_id").cast("string")), "instance_id")
-    first = level.withColumn("_row", F.row_number().over(order)).filter(F.col("_row") <= max_children)
-    counts = F.sequence(F.greatest("_row", F.lit(2)), F.least(F.col("size") - 1, F.lit(max_children)).cast("int"))
-    return first.filter((F.col("size") > 2) & (F.col("_row") < F.col("size"))).select(
-        *NODE,
-        F.explode(counts).alias("k"),
-        (F.col("_row") - 1).alias("cluster"),
-        F.col("embedding").cast("array<double>").alias("centroid"),
-    )
+    rows = level.filter("size > 2")
+    most = rows.agg(F.max("size")).first()[0] or 0
+    spread = Summarizer.metrics("variance").summary(array_to_vector(F.col("embedding").cast("array<double>")))
+    mean = F.aggregate(vector_to_array("_spread.variance"), F.lit(0.0), lambda total, x: total + x) / F.size("centroid")
+    order = F.struct(seeded_hash(seed, F.col("instance_id").cast("string")), "instance_id")
+    first = rows.groupBy(*NODE).agg(F.min_by("embedding", order).cast("array<double>").alias("centroid"), F.first("size").alias("size"), spread.alias("_spread"))
+    # Rounded, so that the order in which tasks add up does not show.
+    tolerance = F.round(TOLERANCE * mean * (F.col("size") - 1) / F.col("size"), 12)
+    nodes = cut_lineage(first.select(*NODE, "size", F.lit(0).alias("cluster"), "centroid", tolerance.alias("tolerance")))
+    found = nodes
+    for cluster in range(1, min(max_children, most - 1)):
+        per_node = found.groupBy(*NODE).agg(F.collect_list("centroid").alias("_centroids"), F.first("tolerance").alias("tolerance"))
+        width = 8 * F.size("_centroids") * F.size(F.col("_centroids")[0])
+        joined = rows.filter(F.col("size") > cluster + 1).join(broadcast_if_small(per_node, width), NODE)
+        distance = F.array_min(F.transform("_centroids", lambda c: squared_distance(F.col("embedding"), c)))
+        draw = F.substring(seeded_hash(seed + cluster, F.col("instance_id").cast("string")), 1, 12)
+        share = (F.conv(draw, 16, 10).cast("double") + 0.5) / 2.0**48
+        far = joined.select(*NODE, "size", "tolerance", "instance_id", "embedding", distance.alias("_d"), share.alias("_share")).filter("_d > 0")
+        race = F.struct(-F.ln("_share") / F.col("_d"), "instance_id")
+        drawn = far.groupBy(*NODE, "size", "tolerance").agg(F.min_by("embedding", race).cast("array<double>").alias("centroid"))
+        drawn = cut_lineage(drawn.withColumn("cluster", F.lit(cluster)))
+        if drawn.isEmpty():
+            break
+        found = found.unionByName(drawn)
+    counts = F.sequence(F.greatest(F.col("cluster") + 1, F.lit(2)), F.least(F.col("size") - 1, F.lit(max_children)).cast("int"))
+    return found.select(*NODE, F.explode(counts).alias("k"), "cluster", "centroid", "tolerance")
 
 
 def _labelled(level: DataFrame, centroids: DataFrame, narrow: bool) -> DataFrame:
@@ -170,7 +192,7 @@ def _labelled(level: DataFrame, centroids: DataFrame, narrow: bool) -> DataFrame
 
 
 def _moved(labelled: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Centroids at the mean of their rows, and whether they stayed; one without rows stays where it was.
+    """Centroids at the mean of their rows, and whether their fit is still open; one without rows stays where it was.
 
     Means are rounded, so that the order in which tasks add up does not show.
     """
@@ -178,22 +200,30 @@ def _moved(labelled: DataFrame, centroids: DataFrame) -> DataFrame:
     means = centroids_of(rows, [*NODE, "k", "cluster"]).withColumnRenamed("centroid", "mean")
     rounded = F.coalesce(F.transform("mean", lambda x: F.round(x, CENTROID_DIGITS)), "centroid")
     joined = centroids.join(means, [*NODE, "k", "cluster"], "left").withColumn("mean", rounded)
-    return joined.select(*NODE, "k", "cluster", F.col("mean").alias("centroid"), (F.col("mean") == F.col("centroid")).alias("stayed"))
+    fit = W.partitionBy(*NODE, "k").orderBy("cluster").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    shift = F.sum(squared_distance(F.col("mean"), F.col("centroid"))).over(fit)
+    return joined.select(*NODE, "k", "cluster", F.col("mean").alias("centroid"), "tolerance", (shift > F.col("tolerance")).alias("open"))
 
 
 def fit_level(level: DataFrame, max_children: int = MAX_CHILDREN, seed: int = SEED, steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
-    """k-means of all nodes of a depth for all their counts at once.
+    """k-means of all nodes of a depth for all their counts at once, until every fit has settled.
 
     Returns the rows with their `labels` and the centroids. The number of jobs is that of the steps,
-    whatever the number of nodes; it ends early when no centroid moves.
+    whatever the number of nodes. Settled fits leave the later steps; one that is open after `steps`
+    steps is an error.
     """
-    centroids = cut_lineage(_starts(level, max_children, seed))
-    narrow = (centroids.agg(F.sum(8 * F.size("centroid"))).first()[0] or 0) <= BROADCAST_BYTES
+    current = cut_lineage(_starts(level, max_children, seed))
+    narrow = (current.agg(F.sum(8 * F.size("centroid"))).first()[0] or 0) <= BROADCAST_BYTES
+    settled = [current.limit(0)]
     for _ in range(steps):
-        moved = cut_lineage(_moved(_labelled(level, centroids, narrow), centroids))
-        centroids = moved.drop("stayed")
-        if moved.filter(~F.col("stayed")).isEmpty():
+        if current.isEmpty():
             break
+        moved = cut_lineage(_moved(_labelled(level, current, narrow), current))
+        settled.append(moved.filter("NOT open").drop("open"))
+        current = moved.filter("open").drop("open")
+    if not current.isEmpty():
+        raise RuntimeError(f"{current.select(*NODE, 'k').distinct().count()} k-means fits have not settled after {steps} steps")
+    centroids = cut_lineage(functools.reduce(DataFrame.unionByName, settled).drop("tolerance"))
     return _labelled(level, centroids, narrow), centroids
 
 
@@ -203,7 +233,7 @@ def build_tree(
     """Cluster recursively; returns the leaf table and the centroids of every clustered node.
 
     `vectors` has `instance_id` and `embedding`. All open nodes of a depth are split together, large
-    and small ones alike: k-means with hash-chosen first centroids and `steps` steps for every allowed
+    and small ones alike: k-means with k-means++ starts, until it settles, for every allowed
     count, then the count with the best cosine silhouette. A node stops when it has two rows or fewer,
     when a fit gives a single label, or when no count has a positive silhouette; its rows then hang
     under it as one group.

@@ -369,3 +369,34 @@ def test_clustering_partitions_instances(spark, partitions):
     assert sorted(map(tuple, top.values())) == [(0,), (1,), (2,)]
     located = {r["instance_id"]: list(r["path"]) for r in clustering.locate(vectors, centroids, "tree").collect()}
     assert located == {r["instance_id"]: list(r["path"]) for r in placed}
+
+
+def test_clustering_runs_until_fits_settle(spark):
+    # Evenly spread points on a curve: steps from any starts are many and small.
+    points = np.array([[np.cos(i / 150), np.sin(i / 150), 0.0] for i in range(400)])
+    rows = [("t", [], i, p.tolist(), len(points)) for i, p in enumerate(points)]
+    level = spark.createDataFrame(rows, "tree_id string, path array<int>, instance_id bigint, embedding array<float>, size bigint")
+    labelled, centroids = clustering.fit_level(level, max_children=6)
+    x = points.astype(np.float32).astype(float)
+    tolerance = clustering.TOLERANCE * x.var(axis=0).mean()
+    labels = {r["instance_id"]: {f["k"]: f["cluster"] for f in r["labels"]} for r in labelled.collect()}
+    found = {}
+    for r in centroids.collect():
+        found.setdefault(r["k"], {})[r["cluster"]] = np.array(r["centroid"])
+    assert sorted(found) == [2, 3, 4, 5, 6]
+    for k, centres in found.items():
+        assert len(centres) == k
+        own = np.array([labels[i][k] for i in range(len(x))])
+        shift = sum(((x[own == c].mean(axis=0) - centre) ** 2).sum() for c, centre in centres.items())
+        assert shift <= 2 * tolerance
+    with pytest.raises(RuntimeError, match="not settled"):
+        clustering.fit_level(level, max_children=6, steps=1)
+
+
+def test_clustering_starts_are_different_rows(spark):
+    # All but three rows are equal: starts by hash alone nearly always fall on one point.
+    points = [[1.0, 0.0]] * 97 + [[0.0, 1.0], [-1.0, 0.0], [0.0, -1.0]]
+    rows = [("t", [], i, p, len(points)) for i, p in enumerate(points)]
+    level = spark.createDataFrame(rows, "tree_id string, path array<int>, instance_id bigint, embedding array<float>, size bigint")
+    labelled, _ = clustering.fit_level(level, max_children=4)
+    assert len({next(f["cluster"] for f in r["labels"] if f["k"] == 4) for r in labelled.collect()}) == 4
