@@ -247,8 +247,10 @@ def learn_weights(histogram: Sequence[Row], n_training: int, n_types: int) -> In
         weights = sums / sums.sum(1, keepdims=True)
     unseen = np.bincount(bucket, n, BUCKETS) == 0
     weights[unseen] = [0.5, 0.4, 0.1]
-    # An unseen context says nothing about pairs.
-    weights[0] = [0.0, 0.9, 0.1] if n_training else [0.0, 0.0, 1.0]
+    # An unseen context says nothing about pairs; unigram and floor keep their learned shares.
+    weights[0] = [0.0, 0.9, 0.1] if unseen[0] else [0.0, *(weights[0, 1:] / weights[0, 1:].sum())]
+    if not n_training:
+        weights[0] = [0.0, 0.0, 1.0]
     return Interpolation(weights, n_training, n_types)
 
 

@@ -78,3 +78,17 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(only_held_out, "a b"), (only_held_out, None)], "doc_id bigint, text string")
     rows = lm_scoring.score_documents(docs)[0].collect()
     assert [r["score"] for r in rows] == pytest.approx([0.0, 0.0])
+
+
+def test_unseen_contexts_learn_their_weights():
+    bins, count = [0, 501 + 3 * lm_scoring.BINS_PER_OCTAVE, 501 - lm_scoring.BINS_PER_OCTAVE], [4000, 3000, 2000]
+    seen = [{"code": (2 << 20) | (520 << 10) | 510, "n": 700}]
+    model = lm_scoring.learn_weights([*({"code": low, "n": n} for low, n in zip(bins, count)), *seen], 10000, 500)
+    ratios = [2.0 ** ((b - 500.5) / lm_scoring.BINS_PER_OCTAVE) if b else 0.0 for b in bins]
+    unigram = 0.5
+    for _ in range(2000):
+        unigram = sum(n * unigram * r / (unigram * r + 1 - unigram) for n, r in zip(count, ratios)) / sum(count)
+    assert model.weights[0, 0] == 0 and abs(model.weights[0].sum() - 1) < 1e-12
+    assert abs(model.weights[0, 1] - unigram) < 0.01
+    assert list(lm_scoring.learn_weights(seen, 10000, 500).weights[0]) == [0.0, 0.9, 0.1]
+    assert list(lm_scoring.learn_weights([], 0, 0).weights[0]) == [0.0, 0.0, 1.0]
