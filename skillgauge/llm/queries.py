@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skillgauge.llm import decontaminate, line_dedup, lm_scoring, mixing, near_dup, pii, quality, quotes, secret_scan, substrings
+from skillgauge.llm import decontaminate, line_dedup, lm_scoring, mixing, near_dup, phrases, pii, quality, quotes, secret_scan, spelling, substrings
 
 _SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -65,6 +65,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_documents(spark, sf_dir))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(_documents(spark, sf_dir))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(_documents(spark, sf_dir))
+
+
 _SQL_QUALITY = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACE}') AS w,
@@ -248,6 +256,80 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, c.compo
 FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
 """
 
+# CRC-32 by half bytes, low half first: what a remainder of each half byte adds (fixed values of the checksum).
+_CRC_HALVES = (
+    "[0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, "
+    "3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]"
+)
+_SQL_SPELLING = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run
+  FROM documents
+),
+every AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM every),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(generate_series(1, length(x)), lambda i: instr('0123456789ABCDEF', x[i + 2 * (i % 2) - 1]) - 1)),
+         lambda c, v: xor(c >> 4, ({_CRC_HALVES})[xor(c & 15, v) + 1])), 4294967295) AS h FROM bytes
+),
+cut AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, (h % length(run))::BIGINT) || substring(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed
+),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+holes AS (SELECT word, n, unnest(generate_series(1, length(word))) AS i FROM words),
+keyed AS (SELECT word, n, i, substring(word, 1, i - 1) AS head, substring(word, i + 1) AS rest FROM holes),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM keyed a JOIN keyed b USING (i, head, rest) WHERE a.word <> b.word
+  UNION
+  SELECT k.word, w.word, w.n FROM keyed k JOIN words w ON w.word = k.head || k.rest
+  UNION
+  SELECT w.word, k.word, k.n FROM keyed k JOIN words w ON w.word = k.head || k.rest
+),
+near AS (SELECT word, count(*) AS n_near FROM pairs GROUP BY word),
+best AS (SELECT word, other, other_n FROM pairs QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+formed AS (
+  SELECT words.word, CASE WHEN other_n >= 5 * n THEN other END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN near USING (word) LEFT JOIN best USING (word)
+),
+path AS (
+  SELECT word, form AS spot FROM formed WHERE form IS NOT NULL
+  UNION ALL
+  SELECT path.word, formed.form FROM path JOIN formed ON formed.word = path.spot WHERE formed.form IS NOT NULL
+),
+last AS (SELECT path.word, spot AS root FROM path JOIN formed ON formed.word = path.spot WHERE formed.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed LEFT JOIN last USING (word)
+"""
+
+_SQL_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+spots AS (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM worded, (VALUES (1), (2), (3), (4), (5)) ks(k) WHERE len(w) >= k),
+grams AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM spots GROUP BY ALL HAVING count(*) >= 100),
+listed AS (SELECT *, string_split(phrase, ' ') AS w FROM grams),
+inner_parts AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS f
+  FROM (SELECT lang, w, f, m, unnest(generate_series(1, k - m + 1)) AS i FROM listed, (VALUES (2), (3), (4)) ms(m) WHERE m < k)
+  GROUP BY ALL
+),
+kept AS (SELECT l.* FROM listed l LEFT JOIN inner_parts p ON p.lang = l.lang AND p.phrase = l.phrase WHERE l.k > 1 AND (p.f IS NULL OR 100 * p.f < 100 * l.f)),
+cuts AS (
+  SELECT lang, phrase, f AS a, c, array_to_string(w[1:c], ' ') AS one, array_to_string(w[c + 1:k], ' ') AS two
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS c FROM kept)
+),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, c, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts JOIN grams x ON x.lang = cuts.lang AND x.phrase = one JOIN grams y ON y.lang = cuts.lang AND y.phrase = two JOIN totals t ON t.lang = cuts.lang
+),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op1_repeated_passages": op1_repeated_passages,
@@ -260,8 +342,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_phrases": op13_phrases,
 }
-_ORACLES = {"op4_near_dedup": _SQL_NEAR, "op3_substring_dedup": _SQL_SUBSTRINGS, "op1_line_dedup": _SQL_LINES, "op1_repeated_passages": _SQL_PASSAGES, "op5_decontamination": _SQL_CONTAMINATION, "op6_quality_rules": _SQL_QUALITY, "op9_mix_sources": _SQL_MIX}
+_ORACLES = {"op4_near_dedup": _SQL_NEAR, "op3_substring_dedup": _SQL_SUBSTRINGS, "op1_line_dedup": _SQL_LINES, "op1_repeated_passages": _SQL_PASSAGES, "op5_decontamination": _SQL_CONTAMINATION, "op6_quality_rules": _SQL_QUALITY, "op9_mix_sources": _SQL_MIX, "op12_spelling_variants": _SQL_SPELLING, "op13_phrases": _SQL_PHRASES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -73,9 +73,10 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of several texts: `hashes`, byte range `starts`:`ends`, and `first`, the word at which each text begins."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False) -> None:
+    def __init__(self, texts: pa.Array, lower: bool = False, separator: np.ndarray = _SEPARATOR) -> None:
+        """`separator` says of each byte value whether it stands between words."""
         self.data, self.bounds = bytes_of(texts)
-        inside = ~_SEPARATOR[self.data]
+        inside = ~separator[self.data]
         begins, finishes = inside.copy(), inside.copy()
         if len(inside):
             begins[1:] &= ~inside[:-1]
