@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skillgauge.llm import decontaminate, line_dedup, lm_scoring, mixing, near_dup, phrases, pii, quality, quotes, secret_scan, spelling, substrings
+from skillgauge.llm import decontaminate, line_dedup, lm_scoring, mixing, near_dup, packing, phrases, pii, quality, quotes, secret_scan, spelling, substrings
 
 _SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -65,6 +65,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_documents(spark, sf_dir))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_forms(_documents(spark, sf_dir))
 
@@ -263,7 +267,7 @@ _CRC_HALVES = (
 )
 _SQL_SPELLING = rf"""
 WITH RECURSIVE runs AS (
-  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
   FROM documents
 ),
 every AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY ALL),
@@ -342,6 +346,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mix_sources": op9_mix_sources,
     "op10_secret_scan": op10_secret_scan,
+    "op11_best_fit_packing": op11_best_fit_packing,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_phrases": op13_phrases,
 }
