@@ -30,12 +30,13 @@ def covered(starts: Column, width: Column | int) -> Column:
     return F.aggregate(step, F.lit(0).cast("long"), lambda total, n: total + n)
 
 
-def settled(df: DataFrame, column: str) -> DataFrame:
-    """`df` with `column` behind a barrier, so that a filter on it is not pushed into the expressions it is made of.
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """`df` with `columns` behind a barrier, so that a filter on them is not pushed into the expressions they are made of.
 
     The optimiser would write those expressions into the filter, and what is a column inside a lambda
     would be worked out anew for every element.
     """
-    held = f"{column}__held"
-    others = [F.col(f"`{c}`") for c in df.columns if c != column]
-    return df.select(*others, F.explode(F.array(F.col(f"`{column}`"))).alias(held)).withColumnRenamed(held, column)
+    held = "__held"
+    others = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return df.select(*others, F.explode(F.array(row)).alias(held)).select(*others, *[F.col(held)[c].alias(c) for c in columns])

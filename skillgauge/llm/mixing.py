@@ -110,27 +110,31 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with `epoch` (from 1) and `take_words`, how many of its words that epoch uses.
 
-    Rows with the same id and text are one document here: it stands once in every epoch that takes it
-    and uses the words of its rows together.
+    Rows with the same id, text and source are one document here: it stands once in every epoch that takes it
+    and uses the words of its rows together. Where such rows differ in other columns, the one with the smallest hash
+    of all columns stands for them.
     """
-    id_column, text = options.get("id_column", "doc_id"), options.get("text", "text")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    digest = F.xxhash64(F.col(text))
-    marked = docs.select(row, F.col(id_column).alias("__id"), digest.alias("__digest"))
-    one = W.partitionBy("__id", "__digest").orderBy("__id")
+    id_column, text, source = (options.get(name, usual) for name, usual in (("id_column", "doc_id"), ("text", "text"), ("source", "source")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    digest = F.xxhash64(F.col(f"`{text}`"))
+    marked = docs.select(
+        F.struct(*columns).alias("__row"), F.col(f"`{id_column}`").alias("__id"), F.col(f"`{source}`").alias("__source"), digest.alias("__digest"), F.xxhash64(*columns).alias("__all")
+    )
+    one = W.partitionBy("__id", "__source", "__digest").orderBy("__all")
     single = marked.withColumn("__copy", F.row_number().over(one)).filter(F.col("__copy") == 1)
 
-    plan = mix_sources(docs.select("*", digest.alias("__digest")), carry=["__digest"], **options)
-    wanted = plan.groupBy("doc_id", "__digest").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"))
+    plan = mix_sources(docs.withColumn("__digest", digest), carry=["__digest"], **options)
+    wanted = plan.groupBy("doc_id", "source", "__digest").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     wanted = wanted.filter(F.col("taken") > 0)
     epochs = F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int")))
     copies = wanted.withColumn("epoch", epochs).select(
         F.col("doc_id").alias("__wanted"),
+        F.col("source").alias("__wanted_source"),
         F.col("__digest").alias("__wanted_digest"),
         "epoch",
         F.least(F.col("size"), F.col("taken") - (F.col("epoch") - 1) * F.col("size")).alias("take_words"),
     )
-    same = single["__id"].eqNullSafe(copies["__wanted"]) & (single["__digest"] == copies["__wanted_digest"])
-    joined = single.join(copies, same)
+    same = single["__id"].eqNullSafe(copies["__wanted"]) & single["__source"].eqNullSafe(copies["__wanted_source"])
+    joined = single.join(copies, same & (single["__digest"] == copies["__wanted_digest"]))
     own = [F.col(f"__row.`{c}`") for c in docs.columns if c not in ("epoch", "take_words")]
     return joined.select(*own, "epoch", "take_words")

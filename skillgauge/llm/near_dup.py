@@ -44,6 +44,8 @@ SHINGLE_WORDS = 5
 KEYS = 9
 VALUES_PER_KEY = 2
 _NULL_ID = -(2**63)
+#: Rows of tables that a task makes, about.
+_TABLE_ROWS = 2_000_000
 #: Shingles in more open members than this are common.
 _RARE = 32
 
@@ -158,7 +160,10 @@ def near_duplicates(
     first = filled.join(placed.filter("doc_id = node").select("doc_id", "d1", "node").distinct(), ["doc_id", "d1"])
     nodes = first.select("node", "n_shingles", "left", "right", "d1").dropDuplicates(["node", "d1"])
 
-    rows = _table_rows(nodes)
+    # Spread before the tables multiply the rows, so that no task makes more than its share.
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_tasks = max(usual, -(-owners.count() * keys * keys // _TABLE_ROWS))
+    rows = _table_rows(nodes.repartition(n_tasks, "node"))
     shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
     members = stored(rows.join(shared, "key").select("key", "node", "n_shingles", "low"), "members")
     needed = stored(members.select("node").distinct(), "nodes")
@@ -265,11 +270,13 @@ def _all_pairs(left: DataFrame, texts: DataFrame, shingle: int, similarity: int)
 
 
 def _common_pairs(rich: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of one table whose common shingles allow a link.
+    """Pairs whose common shingles allow a link, each formed in the first table that both are in.
 
     One side is never in the table's largest component, and it meets whole groups of members of one
     component and size first, so that only groups which allow a link are taken apart.
     """
+    tables = rich.groupBy("node", "n_shingles").agg(F.collect_set("key").alias("keys"))
+    rich = stored(rich.join(tables, ["node", "n_shingles"]), "rich")
     groups = rich.groupBy("key", "component", "n_shingles").agg(F.max("core").alias("core"), F.count("*").alias("n"))
     largest = groups.groupBy("key", "component").agg(F.sum("n").alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("largest"))
     smaller = rich.join(largest, "key").filter(F.col("component") != F.col("largest.component")).drop("largest")
@@ -280,8 +287,11 @@ def _common_pairs(rich: DataFrame, similarity: int) -> DataFrame:
 
     other = groups.select("key", F.col("component").alias("component_b"), F.col("n_shingles").alias("n_b"), F.col("core").alias("most_b"))
     met = smaller.join(other, "key").filter((F.col("component") != F.col("component_b")) & near("most_b"))
-    rows = rich.select("key", F.col("component").alias("component_b"), F.col("n_shingles").alias("n_b"), F.col("core").alias("core_b"), F.col("node").alias("b"))
-    pairs = met.join(rows, ["key", "component_b", "n_b"]).filter(near("core_b"))
+    rows = rich.select(
+        "key", F.col("component").alias("component_b"), F.col("n_shingles").alias("n_b"), F.col("core").alias("core_b"), F.col("node").alias("b"), F.col("keys").alias("keys_b")
+    )
+    first = F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key")
+    pairs = met.join(rows, ["key", "component_b", "n_b"]).filter(near("core_b") & first)
     return _ordered(pairs.select(F.col("node").alias("a"), "b"))
 
 

@@ -6,8 +6,9 @@ document that one rule rejects is not looked at by the later ones. The order dec
 document costs: the verdict is the conjunction of all rules, whatever the order.
 
 Defined results: a null or blank text has no words and fails `too_few_words`; ties between rules keep
-the order given; repeated rows are judged one by one; an empty table gives an empty table; input
-columns named like an output column are replaced, all others are kept.
+the order given; repeated rows are judged one by one; an empty table gives an empty table; a column named like
+a count is taken for that count, one named `rejected_by` is replaced, all others are kept, whatever
+their names; texts of any length are read in whole, one at a time.
 """
 
 from __future__ import annotations
@@ -31,8 +32,12 @@ WINDOW = 5
 # Names of the intermediate columns.
 _WORDS, _LINES, _HASHES, _TWICE, _PAIRS, _STARTS = (f"__quality_{n}" for n in ("words", "lines", "hashes", "twice", "pairs", "starts"))
 
+_WORD_COUNTS = {"n_words", "word_chars", "n_repeat_words"}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_exclamations", "n_repeat_words")
 
+#: The counts that a report shows.
+REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -57,19 +62,21 @@ RULES = (
 BASE_RULES = ("too_few_words", "repeated_words")
 
 
-def with_counts(docs: DataFrame, needs: Sequence[str] = COUNTS, text: str = "text", unless: Column | None = None) -> DataFrame:
+def with_counts(docs: DataFrame, needs: Sequence[str] = COUNTS, text: str = "text", unless: Column | None = None, keep_words: bool = False) -> DataFrame:
     """`docs` with the count columns named in `needs`, each over the whole text.
 
-    Where `unless` is true the counts are null and are not worked out. A repeated window is one whose
+    Where `unless` is true the counts are null and are not worked out. With `keep_words` the list of
+    words stays for the next call, which then does not split the text again. A repeated window is one whose
     five words occur twice or more in the text; windows are compared by a 64-bit hash.
     """
     todo = F.lit(True) if unless is None else ~unless
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     only = lambda column: F.when(todo, column)
     out: dict[str, Column] = {}
     df = docs
-    if {"n_words", "word_chars", "n_repeat_words"} & set(needs):
-        df = df.withColumn(_WORDS, only(words(F.col(text))))
+    if _WORD_COUNTS & set(needs):
+        if _WORDS not in df.columns:
+            df = df.withColumn(_WORDS, only(words(F.col(f"`{text}`"))))
         if "n_words" in needs:
             out["n_words"] = F.size(_WORDS).cast("long")
         if "word_chars" in needs:
@@ -86,7 +93,7 @@ def with_counts(docs: DataFrame, needs: Sequence[str] = COUNTS, text: str = "tex
         df = _repeated_windows(df)
         out["n_repeat_words"] = F.when(F.size(_TWICE) == 0, F.lit(0).cast("long")).otherwise(covered(F.col(_STARTS), WINDOW))
     taken = df.withColumns({name: only(out[name]) for name in needs})
-    return taken.drop(_WORDS, _LINES, _HASHES, _TWICE, _PAIRS, _STARTS)
+    return taken.drop(*([] if keep_words else [_WORDS]), _LINES, _HASHES, _TWICE, _PAIRS, _STARTS)
 
 
 def _repeated_windows(df: DataFrame) -> DataFrame:
@@ -117,19 +124,22 @@ class RuleCost:
         return self.rejected / max(self.seconds, 1e-6)
 
 
-def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[RuleCost]:
+def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", rows: int = SAMPLE_ROWS, given: Sequence[str] = ()) -> list[RuleCost]:
     """Time every rule alone on a bounded sample and count what it rejects.
 
     The sample is taken from the first partitions that fill it, so its cost does not grow with the table.
+    Counts named in `given` cost a rule nothing.
     """
-    usual = docs.select(text).filter(F.col(text).isNull() | (F.length(text) <= SAMPLE_CHARACTERS))
+    body = F.col(f"`{text}`")
+    usual = docs.select(body.alias("text")).filter(body.isNull() | (F.length(body) <= SAMPLE_CHARACTERS))
     taken = usual.sample(SAMPLE_SHARE, seed=17).take(rows)
-    sample = docs.sparkSession.createDataFrame(taken, usual.schema).persist()
+    sample = with_counts(docs.sparkSession.createDataFrame(taken, usual.schema), given).persist()
     try:
         n = sample.count()
         costs = []
         for rule in rules:
-            judged = with_counts(sample, rule.needs, text).agg(F.count_if(rule.condition()).alias("n"))
+            missing = [name for name in rule.needs if name not in given]
+            judged = with_counts(sample, missing).agg(F.count_if(rule.condition()).alias("n"))
             seconds = []
             for _ in range(2):  # the first run compiles
                 started = time.perf_counter()
@@ -151,19 +161,23 @@ def quality_cascade(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str =
     """`docs` with `rejected_by`, the first rule of the cascade that rejects the document, or null.
 
     Counts that the documents already carry are used as they are; a missing count is worked out only
-    where no earlier rule has rejected the document.
+    where no earlier rule has rejected the document. What a rule has worked out, its verdict and the
+    words, is held behind a barrier: the optimiser would else write it into every later rule and into filters on the result.
     """
-    order = list(order) if order is not None else cascade_order(estimate(docs, rules, text), rules)
+    given = [name for name in COUNTS if name in docs.columns]
+    order = list(order) if order is not None else cascade_order(estimate(docs, rules, text, given=given), rules)
     verdict = "__quality_verdict"
     df = docs.withColumn(verdict, F.lit(None).cast("string"))
     made: list[str] = []
-    for rule in order:
+    for at, rule in enumerate(order):
         missing = [name for name in rule.needs if name not in df.columns]
+        later = {name for r in order[at + 1 :] for name in r.needs} - set(df.columns) - set(missing)
         if missing:
-            df = with_counts(df, missing, text, unless=F.col(verdict).isNotNull())
+            df = with_counts(df, missing, text, unless=F.col(verdict).isNotNull(), keep_words=bool(later & _WORD_COUNTS))
             made += missing
         df = df.withColumn(verdict, F.coalesce(F.col(verdict), F.when(rule.condition(), F.lit(rule.name))))
-    return df.drop("rejected_by", *made).withColumnRenamed(verdict, "rejected_by")
+        df = settled(df, verdict, *missing, *[c for c in (_WORDS,) if c in df.columns])
+    return df.drop("rejected_by", _WORDS, *made).withColumnRenamed(verdict, "rejected_by")
 
 
 def keep_quality(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
@@ -173,29 +187,22 @@ def keep_quality(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "te
     """
     own = docs.columns
     seen = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    kept = settled(quality_cascade(seen, rules, "__text"), "rejected_by").filter(F.col("rejected_by").isNull())
+    kept = quality_cascade(seen, rules, "__text").filter(F.col("rejected_by").isNull())
     return kept.select("__row.*")
 
 
 def quality_report(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the counts, the base verdict and the verdict of the cascade.
 
-    Every count is wanted for every document here, so the cascade judges ready counts.
+    The five reported counts are wanted for every document; the others are left to the cascade, which works
+    them out for documents that no rule before has rejected.
     """
-    base = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("__text"))
-    order = cascade_order(estimate(base, RULES, "__text"))
-    judged = quality_cascade(with_counts(base, COUNTS, "__text"), RULES, "__text", order)
+    base = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text}`").alias("__text"))
+    counted = settled(with_counts(base, REPORTED, "__text"), *REPORTED)
+    order = cascade_order(estimate(base, RULES, "__text", given=REPORTED))
+    judged = quality_cascade(counted, RULES, "__text", order)
     failed = F.lit(False)
     for rule in RULES:
         if rule.name in BASE_RULES:
             failed = failed | rule.condition()
-    return judged.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        failed.alias("base_failed"),
-        F.col("rejected_by").isNull().alias("kept"),
-    )
+    return judged.select("doc_id", *REPORTED, failed.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))

@@ -68,3 +68,16 @@ def test_empty_and_wordless_tables(spark):
     assert mixing.mix_sources(documents(spark, [])).count() == 0
     rows = mixing.mix_sources(documents(spark, [None, "", " "])).collect()
     assert [row["taken"] for row in rows] == [0, 0, 0]
+
+
+def test_equal_texts_in_two_sources_and_rows_that_differ_elsewhere(spark):
+    schema = "doc_id bigint, text string, source string, n_chars int"
+    rows = [(1, "a b c d e f", "s1", 1), (1, "a b c d e f", "s1", 2), (1, "a b c d e f", "s2", 3), (2, "g h i", "s1", 4), (None, "j k", None, 5)]
+    docs = spark.createDataFrame(rows, schema)
+    plan = {(r["source"], r["target"]): r["n"] for r in mixing.mix_sources(docs).groupBy("source", "target").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "n").collect()}
+    mixed = mixing.mixed_documents(docs).collect()
+    for (source, target), taken in plan.items():
+        assert sum(r["take_words"] for r in mixed if r["source"] == source) == taken == math.floor(target + 1e-9)
+    assert max(r["epoch"] for r in mixed) <= 2
+    again = mixing.mixed_documents(docs.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, mixed))
