@@ -301,12 +301,29 @@ def _(t):
     return t.raw("customer").select("c_custkey", label.alias("label"), is_label(label).alias("valid"))
 
 
-@check("i10_balanced_assignment")
+SCORED = """WITH s AS (SELECT c_custkey AS k, j, CASE WHEN j = c_custkey % 20 + 1 OR j = (c_custkey * 7) % 20 + 1 THEN 5.0 ELSE 1 + (c_custkey * j) % 4 END::DOUBLE AS score
+FROM customer, range(1, 21) r(j))"""
+
+
+@check("i10_balanced_assignment", SCORED + """ SELECT j::INT AS number, round(2.0 * (SELECT count(*) FROM customer) * sum(score) / (SELECT sum(score) FROM s), 6) AS target, TRUE AS balanced, 0::BIGINT AS odd_picks,
+(SELECT sum(score) FROM (SELECT score, row_number() OVER (PARTITION BY k ORDER BY score DESC) AS n FROM s) WHERE n <= 2) AS most FROM s GROUP BY j""")
 def _(t):
+    """Every load within a tenth of its target, two different picks each, and a total that no bound on it undercuts."""
+    scores = balanced_scores(t)
+    assigned = profiles.balanced_assignment(scores, 20)
+    report = profiles.assignment_report(assigned)
+    picked = F.array_distinct("assignment")
+    odd = assigned.agg(F.count_if((F.size("assignment") != 2) | (F.size(picked) != 2) | (F.array_min(picked) < 1) | (F.array_max(picked) > 20)).alias("odd_picks"))
+    most = scores.agg(F.sum(F.aggregate(F.slice(F.sort_array("scores", asc=False), 1, 2), F.lit(0.0), lambda total, x: total + x)).alias("most"))
+    inside = F.col("load").between(0.9 * F.col("target") - 1e-9, 1.1 * F.col("target") + 1e-9)
+    facts = F.broadcast(odd.crossJoin(most))
+    return report.select("number", F.round("target", 6).alias("target"), inside.alias("balanced")).crossJoin(facts)
+
+
+def balanced_scores(t):
     key = F.col("c_custkey")
     wanted = F.transform(
         F.sequence(F.lit(1), F.lit(20)),
         lambda j: F.when((j == key % 20 + 1) | (j == (key * 7) % 20 + 1), 5.0).otherwise((1 + (key * j) % 4).cast("double")),
     )
-    scores = t.raw("customer").select(key.alias("instance_id"), wanted.alias("scores"))
-    return profiles.assignment_report(profiles.balanced_assignment(scores, 20))
+    return t.raw("customer").select(key.alias("instance_id"), wanted.alias("scores"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import check
 from skillgauge.operators import clustering, tree
+from skillgauge.session import cut_lineage
 
 
 def vectors(t):
@@ -79,3 +80,20 @@ def _(t):
 def _(t):
     leaves, _ = clustering.build_tree(vectors(t))
     return leaves.select("instance_id", tree.path_text(F.col("path")).alias("path"))
+
+
+@check("i1_tree_facts", """SELECT count(*) AS instances, count(DISTINCT vec_id) AS placed, 0::BIGINT AS far_from_own, 0::BIGINT AS odd_paths, 0::BIGINT AS off_mean FROM embeddings""")
+def _(t):
+    """What holds for any such tree: every instance has one place, lies in the nearest of its siblings' clusters at
+    every depth, under nodes with two children or more whose centroids are the means of their rows."""
+    leaves, centroids = clustering.build_tree(vectors(t))
+    leaves, centroids = cut_lineage(leaves), cut_lineage(centroids)
+    found = clustering.locate(vectors(t), centroids, "tree").withColumnRenamed("path", "nearest")
+    joined = leaves.join(found, "instance_id", "left")
+    depths = leaves.join(vectors(t), "instance_id").select("*", F.posexplode("path").alias("depth", "cluster"))
+    means = clustering.centroids_of(depths.withColumn("path", F.slice("path", F.lit(1), F.col("depth"))), [*tree.NODE, "cluster"]).withColumnRenamed("centroid", "mean")
+    compared = centroids.join(means, [*tree.NODE, "cluster"], "full")
+    off = F.coalesce(clustering.squared_distance(F.col("mean"), F.col("centroid")), F.lit(9.0)) > 1e-3
+    few = centroids.groupBy(*tree.NODE).agg(F.count("*").alias("n")).filter("n < 2")
+    placed = joined.agg(F.count("*").alias("instances"), F.count_distinct("instance_id").alias("placed"), F.count_if(~F.col("path").eqNullSafe(F.col("nearest"))).alias("far_from_own"))
+    return placed.crossJoin(F.broadcast(few.agg(F.count("*").alias("odd_paths")))).crossJoin(F.broadcast(compared.agg(F.count_if(off).alias("off_mean"))))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F, Window as W
+from pyspark.sql import Column, DataFrame, functions as F
 
 from skillgauge.functions.text import seeded_hash
+from skillgauge.operators import kmeans
 from skillgauge.operators.tree import NODE
 from skillgauge.session import BROADCAST_BYTES, broadcast_if_small, cut_lineage
 
@@ -17,10 +21,9 @@ MAX_CHILDREN = 10
 SEED = 42
 # Bound of k-means steps, at which a fit that has not settled is an error.
 STEPS = 300
-# A fit has settled when its centroids' squared shifts add up to at most this share of the mean variance.
-TOLERANCE = 1e-4
-# Decimals that centroids and silhouettes keep.
-CENTROID_DIGITS = 9
+# Vectors of one block, and of the largest node that one task splits to the end.
+BLOCK_BYTES = 1 << 20
+TASK_BYTES = 4 << 20
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -140,144 +143,326 @@ def best_cluster_count(scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFra
     return scores.groupBy(*keys).agg(best.alias("k"), F.max("silhouette").alias("silhouette")).filter("silhouette > 0")
 
 
-def _starts(level: DataFrame, max_children: int, seed: int) -> DataFrame:
-    """First centroids of every node and count k, chosen as k-means++ does, and the node's tolerance.
+_BLOCK = "tree_id string, path array<int>, n int, ids binary, vectors binary, draws binary"
+Node = tuple[str, tuple[int, ...]]
 
-    The first start is the row with the smallest seeded hash. Each further one is drawn with
-    probability in proportion to the squared distance to the nearest start: the row with the smallest
-    -ln(hash) / distance. Count k takes the first k, so one round per start serves all counts and
-    nodes. A node with fewer different rows than k has that many starts.
-    """
-    rows = level.filter("size > 2")
-    most = rows.agg(F.max("size")).first()[0] or 0
-    spread = Summarizer.metrics("variance").summary(array_to_vector(F.col("embedding").cast("array<double>")))
-    mean = F.aggregate(vector_to_array("_spread.variance"), F.lit(0.0), lambda total, x: total + x) / F.size("centroid")
-    order = F.struct(seeded_hash(seed, F.col("instance_id").cast("string")), "instance_id")
-    first = rows.groupBy(*NODE).agg(F.min_by("embedding", order).cast("array<double>").alias("centroid"), F.first("size").alias("size"), spread.alias("_spread"))
-    # Rounded, so that the order in which tasks add up does not show.
-    tolerance = F.round(TOLERANCE * mean * (F.col("size") - 1) / F.col("size"), 12)
-    nodes = cut_lineage(first.select(*NODE, "size", F.lit(0).alias("cluster"), "centroid", tolerance.alias("tolerance")))
-    found = nodes
-    for cluster in range(1, min(max_children, most - 1)):
-        per_node = found.groupBy(*NODE).agg(F.collect_list("centroid").alias("_centroids"), F.first("tolerance").alias("tolerance"))
-        width = 8 * F.size("_centroids") * F.size(F.col("_centroids")[0])
-        joined = rows.filter(F.col("size") > cluster + 1).join(broadcast_if_small(per_node, width), NODE)
-        distance = F.array_min(F.transform("_centroids", lambda c: squared_distance(F.col("embedding"), c)))
-        draw = F.substring(seeded_hash(seed + cluster, F.col("instance_id").cast("string")), 1, 12)
-        share = (F.conv(draw, 16, 10).cast("double") + 0.5) / 2.0**48
-        far = joined.select(*NODE, "size", "tolerance", "instance_id", "embedding", distance.alias("_d"), share.alias("_share")).filter("_d > 0")
-        race = F.struct(-F.ln("_share") / F.col("_d"), "instance_id")
-        drawn = far.groupBy(*NODE, "size", "tolerance").agg(F.min_by("embedding", race).cast("array<double>").alias("centroid"))
-        drawn = cut_lineage(drawn.withColumn("cluster", F.lit(cluster)))
+
+class _Block:
+    """Some rows of one node: ids, vectors and the draws that choose starts."""
+
+    def __init__(self, row: dict) -> None:
+        n = row["n"]
+        self.node: Node = row["tree_id"], tuple(row["path"])
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.x = np.frombuffer(row["vectors"], np.float32).reshape(n, -1)
+        self.draws = np.frombuffer(row["draws"], np.float64).reshape(n, -1)
+
+
+class _Packed:
+    """Collects rows of nodes and gives them out as blocks of bounded size."""
+
+    def __init__(self, block_bytes: int) -> None:
+        self.block_bytes = block_bytes
+        self.held: dict[Node, list[tuple[np.ndarray, ...]]] = {}
+        self.bytes: dict[Node, int] = {}
+
+    def add(self, node: Node, ids: np.ndarray, x: np.ndarray, draws: np.ndarray) -> Iterator[dict]:
+        for a in range(0, len(ids), step := max(1, self.block_bytes // max(4 * x.shape[1], 1))):
+            part = ids[a : a + step], x[a : a + step], draws[a : a + step]
+            self.held.setdefault(node, []).append(part)
+            self.bytes[node] = self.bytes.get(node, 0) + part[1].nbytes
+            if self.bytes[node] >= self.block_bytes:
+                yield self.block(node)
+        # Many small nodes are not held longer than eight blocks' worth.
+        if sum(self.bytes.values()) > 8 * self.block_bytes:
+            yield from self.rest()
+
+    def block(self, node: Node) -> dict:
+        del self.bytes[node]
+        ids, x, draws = (np.concatenate(parts) for parts in zip(*self.held.pop(node)))
+        return {"tree_id": node[0], "path": list(node[1]), "n": len(ids), "ids": ids.tobytes(), "vectors": x.astype(np.float32).tobytes(), "draws": draws.tobytes()}
+
+    def rest(self) -> Iterator[dict]:
+        for node in list(self.held):
+            yield self.block(node)
+
+
+def _arrow_schema(ddl: str) -> pa.Schema:
+    kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<float>": pa.list_(pa.float32())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (field.split() for field in ddl.split(", "))])
+
+
+def _block_pass(blocks: DataFrame, work: Callable[[Iterator[dict]], Iterator[dict]], ddl: str) -> DataFrame:
+    """Rows that `work` makes of the blocks of a task."""
+    schema = _arrow_schema(ddl)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[dict] = []
+        for row in work(row for batch in batches for k in range(batch.num_rows) for row in batch.slice(k, 1).to_pylist()):
+            made.append(row)
+            if len(made) >= 64:
+                yield pa.RecordBatch.from_pylist(made, schema)
+                made = []
+        yield pa.RecordBatch.from_pylist(made, schema)
+
+    return blocks.mapInArrow(scan, ddl)
+
+
+def _blocks_of(rows: DataFrame, tree_id: str, block_bytes: int) -> DataFrame:
+    """instance_id, embedding, draws -> blocks of the root."""
+    schema = _arrow_schema(_BLOCK)
+
+    def matrix(column: pa.Array, n: int) -> np.ndarray:
+        return column.flatten().to_numpy().reshape(n, -1)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = _Packed(block_bytes)
+        for batch in batches:
+            if batch.num_rows:
+                ids, x, draws = batch.column(0).to_numpy(), *(matrix(batch.column(k), batch.num_rows) for k in (1, 2))
+                for row in packed.add((tree_id, ()), ids, x, draws):
+                    yield pa.RecordBatch.from_pylist([row], schema)
+        yield pa.RecordBatch.from_pylist(list(packed.rest()), schema)
+
+    return rows.mapInArrow(scan, _BLOCK)
+
+
+def _with_fits(blocks: DataFrame, centroids: DataFrame) -> DataFrame:
+    """Blocks with `fits`, the centroids of their node: at most 54 of them, in one row per node."""
+    per_node = cut_lineage(centroids.groupBy(*NODE).agg(F.array_sort(F.collect_list(F.struct("k", "cluster", "centroid"))).alias("fits")))
+    width = 8 * F.size("fits") * F.size(F.col("fits")[0]["centroid"])
+    return blocks.join(broadcast_if_small(per_node, width), NODE)
+
+
+def _fits(row: dict) -> dict[int, np.ndarray]:
+    """The centroids of each count."""
+    found: dict[int, list] = {}
+    for fit in row["fits"]:
+        found.setdefault(fit["k"], []).append(fit["centroid"])
+    return {k: np.array(vectors) for k, vectors in found.items()}
+
+
+def _moments(blocks: DataFrame) -> DataFrame:
+    """Per node the size, the first start and the tolerance of its fits."""
+
+    def work(found: Iterator[dict]) -> Iterator[dict]:
+        for block in map(_Block, found):
+            x, at = block.x.astype(float), kmeans.first_in(block.draws[:, 0], block.ids)
+            yield {"tree_id": block.node[0], "path": list(block.node[1]), "n": len(x), "total": x.sum(0), "squares": (x * x).sum(0), "share": block.draws[at, 0], "id": block.ids[at], "centroid": x[at]}
+
+    each = _block_pass(blocks, work, "tree_id string, path array<int>, n bigint, total array<double>, squares array<double>, share double, id bigint, centroid array<double>")
+    mean = lambda column: F.transform(column, lambda x: x / F.col("size"))
+    variance = F.zip_with(mean(F.col("squares")), mean(F.col("total")), lambda s, m: F.greatest(s - m * m, F.lit(0.0)))
+    summed = each.groupBy(*NODE).agg(
+        F.sum("n").alias("size"), _added("total"), _added("squares"), F.min_by("centroid", F.struct("share", "id")).alias("centroid")
+    )
+    spread = F.aggregate(variance, F.lit(0.0), lambda total, x: total + x) / F.size("total")
+    return summed.select(*NODE, "size", "centroid", F.round(kmeans.TOLERANCE * spread, 12).alias("tolerance"))
+
+
+def _added(column: str) -> Column:
+    return vector_to_array(Summarizer.metrics("sum").summary(array_to_vector(column))["sum"]).alias(column)
+
+
+def _further_start(blocks: DataFrame, found: DataFrame, number: int) -> DataFrame:
+    """One more start per node, drawn in proportion to the distance to the nearest so far."""
+
+    def work(rows: Iterator[dict]) -> Iterator[dict]:
+        for row in rows:
+            block = _Block(row)
+            x = block.x.astype(float)
+            arrival = kmeans.race(block.draws[:, number], kmeans.distances(x, _fits(row)[0]).min(1))
+            at = kmeans.first_in(arrival, block.ids)
+            if np.isfinite(arrival[at]):
+                yield {"tree_id": block.node[0], "path": list(block.node[1]), "arrival": arrival[at], "id": block.ids[at], "centroid": x[at]}
+
+    drawn = _block_pass(_with_fits(blocks, found.withColumn("k", F.lit(0))), work, "tree_id string, path array<int>, arrival double, id bigint, centroid array<double>")
+    return drawn.groupBy(*NODE).agg(F.min_by("centroid", F.struct("arrival", "id")).alias("centroid")).withColumn("cluster", F.lit(number))
+
+
+def _starts(blocks: DataFrame, moments: DataFrame, max_children: int) -> DataFrame:
+    """First centroids of every node and count: count k takes the first k starts, so one round per start serves all."""
+    found = cut_lineage(moments.select(*NODE, F.lit(0).alias("cluster"), "centroid"))
+    for number in range(1, max_children):
+        drawn = cut_lineage(_further_start(blocks, found, number).select(*found.columns))
         if drawn.isEmpty():
             break
         found = found.unionByName(drawn)
+    placed = found.join(moments.select(*NODE, "size", "tolerance"), NODE)
     counts = F.sequence(F.greatest(F.col("cluster") + 1, F.lit(2)), F.least(F.col("size") - 1, F.lit(max_children)).cast("int"))
-    return found.select(*NODE, F.explode(counts).alias("k"), "cluster", "centroid", "tolerance")
+    return placed.select(*NODE, F.explode(counts).alias("k"), "cluster", "centroid", "tolerance")
 
 
-def _labelled(level: DataFrame, centroids: DataFrame, narrow: bool) -> DataFrame:
-    """Rows of `level` with `labels`: for every count of their node the nearest cluster, the smaller on ties."""
-    per_count = centroids.groupBy(*NODE, "k").agg(F.array_sort(F.collect_list(F.struct("cluster", "centroid"))).alias("centroids"))
-    per_node = per_count.groupBy(*NODE).agg(F.collect_list(F.struct("k", "centroids")).alias("_fits"))
+def _cluster_sums(blocks: DataFrame, centroids: DataFrame, unit: bool = False) -> DataFrame:
+    """n and total, the (unit) vectors added up, per node, count and cluster; a task adds up its blocks first."""
 
-    def nearest(fit: Column) -> Column:
-        far = F.transform(
-            fit["centroids"], lambda c: F.struct(squared_distance(F.col("embedding"), c["centroid"]).alias("d"), c["cluster"].alias("cluster"))
-        )
-        return F.struct(fit["k"].alias("k"), F.array_min(far)["cluster"].alias("cluster"))
+    def work(rows: Iterator[dict]) -> Iterator[dict]:
+        held: dict[tuple, list[np.ndarray]] = {}
+        for row in rows:
+            block = _Block(row)
+            x = block.x.astype(float)
+            for k, centres in _fits(row).items():
+                added = kmeans.cluster_sums(kmeans.units(x) if unit else x, kmeans.nearest(x, centres), len(centres))
+                held[block.node, k] = [a + b for a, b in zip(held[block.node, k], added)] if (block.node, k) in held else list(added)
+        for (node, k), (counts, sums) in held.items():
+            for cluster in np.flatnonzero(counts):
+                yield {"tree_id": node[0], "path": list(node[1]), "k": k, "cluster": int(cluster), "n": counts[cluster], "total": sums[cluster]}
 
-    joined = level.join(F.broadcast(per_node) if narrow else per_node, NODE)
-    return joined.withColumn("labels", F.transform("_fits", nearest)).drop("_fits")
+    each = _block_pass(_with_fits(blocks, centroids), work, "tree_id string, path array<int>, k int, cluster int, n bigint, total array<double>")
+    return each.groupBy(*NODE, "k", "cluster").agg(F.sum("n").alias("n"), _added("total"))
 
 
-def _moved(labelled: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Centroids at the mean of their rows, and whether their fit is still open; one without rows stays where it was.
+def _stepped(blocks: DataFrame, current: DataFrame) -> DataFrame:
+    """Centroids at the mean of their rows, and whether their fit is still open; one without rows stays where it was."""
+    joined = current.join(_cluster_sums(blocks, current), [*NODE, "k", "cluster"], "left")
+    mean = F.coalesce(F.transform("total", lambda x: F.round(x / F.col("n"), kmeans.DIGITS)), "centroid")
+    moved = joined.select(*NODE, "k", "cluster", "tolerance", mean.alias("centroid"), squared_distance(mean, F.col("centroid")).alias("shift"))
+    fits = moved.groupBy(*NODE, "k").agg(F.collect_list(F.struct("cluster", "centroid")).alias("rows"), F.sum("shift").alias("shift"), F.first("tolerance").alias("tolerance"))
+    return fits.select(*NODE, "k", F.inline("rows"), "tolerance", (F.col("shift") > F.col("tolerance")).alias("open"))
 
-    Means are rounded, so that the order in which tasks add up does not show.
-    """
-    rows = labelled.select(*NODE, F.explode("labels").alias("label"), "embedding").select(*NODE, "label.k", "label.cluster", "embedding")
-    means = centroids_of(rows, [*NODE, "k", "cluster"]).withColumnRenamed("centroid", "mean")
-    rounded = F.coalesce(F.transform("mean", lambda x: F.round(x, CENTROID_DIGITS)), "centroid")
-    joined = centroids.join(means, [*NODE, "k", "cluster"], "left").withColumn("mean", rounded)
-    fit = W.partitionBy(*NODE, "k").orderBy("cluster").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    shift = F.sum(squared_distance(F.col("mean"), F.col("centroid"))).over(fit)
-    return joined.select(*NODE, "k", "cluster", F.col("mean").alias("centroid"), "tolerance", (shift > F.col("tolerance")).alias("open"))
 
+def fit_nodes(blocks: DataFrame, max_children: int = MAX_CHILDREN, steps: int = STEPS) -> DataFrame:
+    """k-means of all nodes for all their counts at once, until every fit has settled: tree_id, path, k, cluster, centroid.
 
-def fit_level(level: DataFrame, max_children: int = MAX_CHILDREN, seed: int = SEED, steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
-    """k-means of all nodes of a depth for all their counts at once, until every fit has settled.
-
-    Returns the rows with their `labels` and the centroids. The number of jobs is that of the steps,
-    whatever the number of nodes. Settled fits leave the later steps; one that is open after `steps`
-    steps is an error.
+    A step is one pass over the blocks; only sums per cluster leave the tasks. Settled fits leave the
+    later steps; one that is open after `steps` steps is an error.
     """
-    current = cut_lineage(_starts(level, max_children, seed))
-    narrow = (current.agg(F.sum(8 * F.size("centroid"))).first()[0] or 0) <= BROADCAST_BYTES
+    moments = cut_lineage(_moments(blocks))
+    current = cut_lineage(_starts(blocks, moments, max_children))
     settled = [current.limit(0)]
     for _ in range(steps):
         if current.isEmpty():
             break
-        moved = cut_lineage(_moved(_labelled(level, current, narrow), current))
+        moved = cut_lineage(_stepped(blocks, current))
         settled.append(moved.filter("NOT open").drop("open"))
         current = moved.filter("open").drop("open")
     if not current.isEmpty():
         raise RuntimeError(f"{current.select(*NODE, 'k').distinct().count()} k-means fits have not settled after {steps} steps")
-    centroids = cut_lineage(functools.reduce(DataFrame.unionByName, settled).drop("tolerance"))
-    return _labelled(level, centroids, narrow), centroids
+    return cut_lineage(functools.reduce(DataFrame.unionByName, settled).drop("tolerance"))
+
+
+def _chosen_counts(blocks: DataFrame, fitted: DataFrame) -> DataFrame:
+    """F7 per node: its best count, absent for nodes that are not split."""
+    sums = cut_lineage(_cluster_sums(blocks, fitted, unit=True))
+    counts = fitted.groupBy(*NODE, "k").agg(F.max("cluster").alias("most")).join(sums.groupBy(*NODE, "k").agg(F.count("*").alias("filled")), [*NODE, "k"], "left")
+    whole = counts.filter(F.coalesce("filled", F.lit(0)) < 2).select(*NODE).distinct()
+    gathered = sums.groupBy(*NODE).agg(F.collect_list(F.struct("k", "cluster", "n", "total")).alias("sums"))
+    width = 8 * F.size("sums") * (F.size(F.col("sums")[0]["total"]) + 3)
+
+    def work(rows: Iterator[dict]) -> Iterator[dict]:
+        for row in rows:
+            block = _Block(row)
+            x = block.x.astype(float)
+            unit = kmeans.units(x)
+            for k, centres in _fits(row).items():
+                n, total = np.zeros(len(centres)), np.zeros(centres.shape)
+                for s in row["sums"]:
+                    if s["k"] == k:
+                        n[s["cluster"]], total[s["cluster"]] = s["n"], s["total"]
+                scores = kmeans.cosine_scores(unit, kmeans.nearest(x, centres), n, total)
+                yield {"tree_id": block.node[0], "path": list(block.node[1]), "k": k, "score": scores.sum(), "n": len(x)}
+
+    joined = _with_fits(blocks, fitted).join(broadcast_if_small(cut_lineage(gathered), width), NODE)
+    each = _block_pass(joined, work, "tree_id string, path array<int>, k int, score double, n bigint")
+    scores = each.groupBy(*NODE, "k").agg(F.round(F.sum("score") / F.sum("n"), kmeans.DIGITS).alias("silhouette"))
+    return best_cluster_count(scores, tuple(NODE)).join(whole, NODE, "left_anti").select(*NODE, "k")
+
+
+def _children(blocks: DataFrame, chosen: DataFrame, block_bytes: int) -> DataFrame:
+    """The rows of split nodes as blocks of their children."""
+
+    def work(rows: Iterator[dict]) -> Iterator[dict]:
+        packed = _Packed(block_bytes)
+        for row in rows:
+            block = _Block(row)
+            [centres] = _fits(row).values()
+            labels = kmeans.nearest(block.x.astype(float), centres)
+            for cluster in np.unique(labels).tolist():
+                at = labels == cluster
+                yield from packed.add((block.node[0], (*block.node[1], cluster)), block.ids[at], block.x[at], block.draws[at])
+        yield from packed.rest()
+
+    return _block_pass(_with_fits(blocks, chosen), work, _BLOCK)
+
+
+_PART = "tree_id string, path array<int>, instance_id bigint, cluster int, centroid array<double>"
+
+
+def _subtrees(blocks: DataFrame, max_children: int, steps: int) -> DataFrame:
+    """Leaf rows and centroids below nodes that fit a task, each node split to its end where its blocks meet."""
+    schema = _arrow_schema(_PART)
+
+    def grow(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        parts = [_Block(row) for row in table.to_pylist()]
+        ids, x, draws = (np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "x", "draws"))
+        order = np.argsort(ids, kind="stable")
+        tree = parts[0].node[0]
+        for path, leaf, clusters, centroids in kmeans.subtree(x[order].astype(float), ids[order], draws[order], list(parts[0].node[1]), max_children, steps):
+            if leaf is not None:
+                rows = [{"tree_id": tree, "path": path, "instance_id": int(i)} for i in leaf]
+            else:
+                rows = [{"tree_id": tree, "path": path, "cluster": c, "centroid": v} for c, v in zip(clusters, centroids)]
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(grow(table), schema)
+
+    return blocks.groupBy(*NODE).applyInArrow(whole, _PART)
 
 
 def build_tree(
-    vectors: DataFrame, tree_id: str = "tree", max_children: int = MAX_CHILDREN, seed: int = SEED, steps: int = STEPS
+    vectors: DataFrame,
+    tree_id: str = "tree",
+    max_children: int = MAX_CHILDREN,
+    seed: int = SEED,
+    steps: int = STEPS,
+    task_bytes: int = TASK_BYTES,
+    block_bytes: int = BLOCK_BYTES,
 ) -> tuple[DataFrame, DataFrame]:
     """Cluster recursively; returns the leaf table and the centroids of every clustered node.
 
-    `vectors` has `instance_id` and `embedding`. All open nodes of a depth are split together, large
-    and small ones alike: k-means with k-means++ starts, until it settles, for every allowed
-    count, then the count with the best cosine silhouette. A node stops when it has two rows or fewer,
-    when a fit gives a single label, or when no count has a positive silhouette; its rows then hang
+    `vectors` has `instance_id` and `embedding`, all of one length. A node is split by k-means with k-means++ starts,
+    until it settles, for every allowed count; the count with the best cosine silhouette wins. A node stops when it
+    has two rows or fewer, when a fit gives a single label, or when no count has a positive silhouette; its rows then hang
     under it as one group.
+
+    Rows travel in blocks. All nodes of a depth with more than `task_bytes` of vectors are split together, over as
+    many tasks as there are blocks; a smaller node is split to its end in one task. Both take the same steps and
+    give the same tree.
     """
-    rows = vectors.count()
-    level = cut_lineage(
-        vectors.select(
-            F.lit(tree_id).alias("tree_id"),
-            F.array().cast("array<int>").alias("path"),
-            F.col("instance_id").cast("bigint").alias("instance_id"),
-            F.col("embedding").cast("array<float>").alias("embedding"),
-            F.lit(rows).cast("bigint").alias("size"),
-        )
+    share = lambda i: (F.conv(F.substring(seeded_hash(seed + i, F.col("instance_id").cast("string")), 1, 12), 16, 10).cast("double") + 0.5) / 2.0**48
+    rows = vectors.select(
+        F.col("instance_id").cast("bigint").alias("instance_id"),
+        F.col("embedding").cast("array<float>").alias("embedding"),
+        F.array(*[share(i) for i in range(max_children)]).alias("draws"),
     )
-    leaves: list[DataFrame] = []
-    centroids: list[DataFrame] = []
-    while not level.isEmpty():
-        labelled, fitted = fit_level(level, max_children, seed, steps)
-        labelled = cut_lineage(labelled)
-        chosen = cut_lineage(_chosen_counts(labelled))
-        split = labelled.join(broadcast_if_small(chosen, 200), NODE).withColumn(
-            "cluster", F.element_at(F.filter("labels", lambda label: label["k"] == F.col("k")), 1)["cluster"].cast("int")
-        )
-        nodes = cut_lineage(split.groupBy(*NODE, "cluster").agg(F.count("*").alias("size")))
-        centroids.append(fitted.join(chosen, [*NODE, "k"]).join(nodes, [*NODE, "cluster"]).select(*NODE, "cluster", "centroid"))
-        # Rows of nodes without a chosen count stay where they are.
-        leaves.append(level.join(chosen, NODE, "left_anti").select("tree_id", "path", "instance_id"))
-        moved = split.drop("size").join(broadcast_if_small(nodes, 200), [*NODE, "cluster"]).select(
-            "tree_id", F.array_append("path", F.col("cluster")).alias("path"), "instance_id", "embedding", "size"
-        )
-        # A cluster of one is a leaf of its own.
-        leaves.append(moved.filter("size = 1").select("tree_id", "path", "instance_id"))
-        level = cut_lineage(moved.filter("size > 1"))
-    empty = vectors.sparkSession.createDataFrame
-    leaf = functools.reduce(DataFrame.unionByName, leaves, empty([], "tree_id string, path array<int>, instance_id bigint"))
-    centre = functools.reduce(DataFrame.unionByName, centroids, empty([], "tree_id string, path array<int>, cluster int, centroid array<double>"))
-    return leaf.select("tree_id", "instance_id", "path"), centre
-
-
-def _chosen_counts(labelled: DataFrame) -> DataFrame:
-    """F7 per node: its best count, absent for nodes that are not split."""
-    each = labelled.select(*NODE, F.explode("labels").alias("label"), "embedding").select(*NODE, "label.k", F.col("label.cluster").alias("label"), "embedding")
-    several = each.groupBy(*NODE, "k").agg((F.min("label") != F.max("label")).alias("several"))
-    splits = several.groupBy(*NODE).agg(F.min("several").alias("all_split")).filter("all_split").drop("all_split")
-    scores = cosine_silhouette(each, (*NODE, "k"))
-    scores = scores.withColumn("silhouette", F.round("silhouette", CENTROID_DIGITS))
-    return best_cluster_count(scores, tuple(NODE)).join(splits, NODE, "left_semi").select(*NODE, "k")
+    blocks = cut_lineage(_blocks_of(rows, tree_id, block_bytes))
+    empty = vectors.sparkSession.createDataFrame([], _PART)
+    parts: list[DataFrame] = [empty]
+    while not blocks.isEmpty():
+        sizes = cut_lineage(blocks.groupBy(*NODE).agg((F.sum(F.length("vectors")) <= task_bytes).alias("small"), (F.sum("n") <= 2).alias("ends")))
+        known = blocks.join(broadcast_if_small(sizes, 200), NODE)
+        parts.append(cut_lineage(_subtrees(known.filter("small OR ends").select(*blocks.columns), max_children, steps)))
+        large = cut_lineage(known.filter("NOT small AND NOT ends").select(*blocks.columns))
+        if large.isEmpty():
+            break
+        fitted = fit_nodes(large, max_children, steps)
+        chosen = cut_lineage(fitted.join(_chosen_counts(large, fitted), [*NODE, "k"]))
+        stay = large.join(chosen.select(*NODE).distinct(), NODE, "left_anti")
+        parts.append(cut_lineage(_leaf_rows(stay)))
+        blocks = cut_lineage(_children(large, chosen, block_bytes))
+        there = blocks.select("tree_id", F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), F.element_at("path", -1).alias("cluster")).distinct()
+        filled = chosen.join(there, [*NODE, "cluster"])
+        parts.append(filled.select(*NODE, F.lit(None).cast("bigint").alias("instance_id"), "cluster", "centroid"))
+    every = functools.reduce(DataFrame.unionByName, parts)
+    leaves = every.filter("instance_id IS NOT NULL").select("tree_id", "instance_id", "path")
+    return leaves, every.filter("centroid IS NOT NULL").select(*NODE, "cluster", "centroid")
+
+
+def _leaf_rows(blocks: DataFrame) -> DataFrame:
+    def work(rows: Iterator[dict]) -> Iterator[dict]:
+        for block in map(_Block, rows):
+            for i in block.ids.tolist():
+                yield {"tree_id": block.node[0], "path": list(block.node[1]), "instance_id": i}
+
+    return _block_pass(blocks, work, _PART)

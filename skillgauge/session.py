@@ -64,6 +64,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder, read back.
+
+    For tables that a loop makes from their predecessor: a checkpoint carries over what the optimiser had inferred about its columns,
+    which doubles from step to step where new columns are sums of old ones.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_if_few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark `df` for broadcast when a count shows that it is small; otherwise leave the join to Spark.
 

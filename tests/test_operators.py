@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skillgauge.operators import (
-    assess, bridge, clustering, corpora, filters, indexing, inference, profiles, ratings, robustness, sweep, tree,
+    assess, bridge, clustering, corpora, filters, indexing, inference, kmeans, profiles, ratings, robustness, sweep, tree,
 )
 from skillgauge.plans import questions
 from skillgauge.sources import documents as docs, logs
@@ -225,6 +225,28 @@ def test_balanced_assignment(spark):
         assert row["load"] == pytest.approx(row["target"], rel=0.101)
 
 
+def test_balanced_assignment_of_few_instances(spark):
+    rng = np.random.default_rng(6)
+    scores = [(i, rng.integers(1, 6, 8).astype(float).tolist()) for i in range(41)]
+    table = spark.createDataFrame(scores, "instance_id int, scores array<double>")
+    assigned = {r["instance_id"]: r["assignment"] for r in profiles.balanced_assignment(table, 8).collect()}
+    assert set(assigned) == set(range(41)) and all(len(set(a)) == 2 for a in assigned.values())
+    mass = np.array([s for _, s in scores]).sum(0)
+    for number, (least, most) in enumerate(profiles.load_bounds(mass.tolist(), 41), 1):
+        assert least <= sum(number in a for a in assigned.values()) <= most
+    gap = profiles.assignment_gap(table, 8).first()
+    assert gap["value"] == sum(scores[i][1][number - 1] for i, a in assigned.items() for number in a)
+    assert 0 <= gap["gap"] < 0.05
+
+
+def test_loads_that_cannot_be_met_say_why():
+    with pytest.raises(ValueError, match="capability 1"):
+        profiles.load_bounds([1.0, 30.0, 30.0], 5)
+    with pytest.raises(ValueError, match="add up to"):
+        profiles.load_bounds([10.0] * 3, 2, tolerance=0.3)
+    assert profiles.load_bounds([1.0, 1.0], 10) == [(9, 10), (9, 10)]
+
+
 def test_ratings_of_two_to_one_odds(spark):
     battles = [("a", "b", "model_a")] * 2 + [("a", "b", "model_b")] + [("b", "a", "model_a")] + [("b", "a", "model_b")] * 2
     wins = ratings.pairwise_wins(spark.createDataFrame(battles, "model_a string, model_b string, winner string"))
@@ -236,6 +258,54 @@ def test_ratings_of_two_to_one_odds(spark):
     assert anchored["b"] == pytest.approx(1114.0)
 
 
+def fitted_by_hand(weights, n):
+    """Strengths of n models by plain minorise-maximise steps over a matrix of wins."""
+    w = np.zeros((n, n))
+    for (a, b), x in weights.items():
+        w[a, b] += x
+    p = np.ones(n)
+    for _ in range(20_000):
+        p = w.sum(1) / ((w + w.T) / (p[:, None] + p[None, :])).sum(1)
+        p /= np.exp(np.log(p).mean())
+    return 400 * np.log10(p) + 1000
+
+
+def test_ratings_equal_plain_steps(spark):
+    rng = np.random.default_rng(8)
+    weights = {(a, b): int(rng.integers(1, 30)) for a in range(12) for b in range(12) if a != b and (abs(a - b) in (1, 11) or rng.random() < 0.1)}
+    wins = spark.createDataFrame([(f"m{a:02d}", f"m{b:02d}", x) for (a, b), x in weights.items()], "model_a string, model_b string, weight int")
+    wanted = fitted_by_hand(weights, 12).tolist()
+    got = [r["rating"] for r in ratings.bradley_terry(wins).orderBy("model").collect()]
+    assert got == pytest.approx(wanted, abs=0.01)
+    dense = wins.filter("model_a < 'm05' AND model_b < 'm05'").unionByName(spark.createDataFrame([(f"m0{a}", f"m0{b}", 3) for a in range(5) for b in range(5) if a != b], wins.schema))
+    alone, tables = ({r["model"]: r["rating"] for r in ratings.bradley_terry(dense, task_pairs=n).collect()} for n in (100, 0))
+    assert tables == pytest.approx(alone, abs=0.01)
+
+
+def test_unconnected_models_are_rated_apart(spark):
+    pairs = [("a", "b", 2), ("b", "a", 1), ("c", "d", 1), ("d", "c", 4)]
+    wins = spark.createDataFrame(pairs, "model_a string, model_b string, weight int")
+    assert rows(ratings.comparable_groups(wins)) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")]
+    got = {r["model"]: r["rating"] for r in ratings.bradley_terry(wins, ("a", 900.0)).collect()}
+    assert got["a"] == pytest.approx(900) and got["a"] - got["b"] == pytest.approx(120.41, abs=0.01)
+    assert got["c"] + got["d"] == pytest.approx(2000) and got["d"] - got["c"] == pytest.approx(240.82, abs=0.01)
+
+
+def test_a_model_that_never_lost_has_no_rating(spark):
+    wins = spark.createDataFrame([("a", "b", 2), ("b", "c", 1), ("c", "b", 1)], "model_a string, model_b string, weight int")
+    with pytest.raises(ValueError, match="never lost or never won: a"):
+        ratings.bradley_terry(wins)
+
+
+def test_many_models(spark):
+    n = 20_000
+    near = spark.range(n).select(F.col("id").alias("a"), F.explode(F.array(*[F.lit(d) for d in (1, 7, 61, 997, 5003)])).alias("d"))
+    pairs = near.select(F.col("a").cast("string").alias("model_a"), ((F.col("a") + F.col("d")) % n).cast("string").alias("model_b"), (1 + F.pmod(F.xxhash64("a", "d"), F.lit(3))).alias("weight"))
+    wins = pairs.unionByName(pairs.select(F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"), (F.col("weight") % 2 + 2).alias("weight")))
+    rated = ratings.bradley_terry(wins, digits=1)
+    assert rated.count() == n and rated.agg(F.avg("rating")).first()[0] == pytest.approx(1000)
+
+
 def test_pairs_need_every_tally(spark):
     battles = [("a", "b", "model_a"), ("b", "a", "model_b"), ("b", "a", "model_a"), ("a", "b", "model_b"), ("a", "c", "model_a")]
     wins = ratings.pairwise_wins(spark.createDataFrame(battles, "model_a string, model_b string, winner string"))
@@ -357,10 +427,15 @@ def test_silhouette_matches_definition(spark):
     assert got == pytest.approx(silhouette(points.astype(np.float32).astype(float), labels), abs=1e-9)
 
 
-@pytest.mark.parametrize("partitions", [3, 17])
-def test_clustering_partitions_instances(spark, partitions):
+def tree_rows(tree):
+    leaves, centroids = tree
+    return rows(leaves), sorted((tuple(r["path"]), r["cluster"], tuple(round(x, 6) for x in r["centroid"])) for r in centroids.collect())
+
+
+@pytest.mark.parametrize("partitions, options", [(3, {}), (17, {}), (3, {"task_bytes": 1000, "block_bytes": 500})])
+def test_clustering_partitions_instances(spark, partitions, options):
     points, vectors = blobs(spark)
-    leaves, centroids = clustering.build_tree(vectors.repartition(partitions))
+    leaves, centroids = clustering.build_tree(vectors.repartition(partitions), **options)
     placed = leaves.collect()
     assert sorted(r["instance_id"] for r in placed) == list(range(len(points)))
     top = {}
@@ -371,32 +446,52 @@ def test_clustering_partitions_instances(spark, partitions):
     assert located == {r["instance_id"]: list(r["path"]) for r in placed}
 
 
+def test_one_task_and_many_blocks_give_the_same_tree(spark):
+    rng = np.random.default_rng(4)
+    points = rng.normal(0, 1, (70, 5)).round(3).tolist()
+    points += [points[0]] * 4 + [[0.0] * 5] * 3
+    vectors = spark.createDataFrame([(i, p) for i, p in enumerate(points)], "instance_id bigint, embedding array<float>")
+    whole = tree_rows(clustering.build_tree(vectors.repartition(2)))
+    spread = tree_rows(clustering.build_tree(vectors.repartition(7), task_bytes=900, block_bytes=300))
+    assert whole == spread
+
+
 def test_clustering_runs_until_fits_settle(spark):
     # Evenly spread points on a curve: steps from any starts are many and small.
-    points = np.array([[np.cos(i / 150), np.sin(i / 150), 0.0] for i in range(400)])
-    rows = [("t", [], i, p.tolist(), len(points)) for i, p in enumerate(points)]
-    level = spark.createDataFrame(rows, "tree_id string, path array<int>, instance_id bigint, embedding array<float>, size bigint")
-    labelled, centroids = clustering.fit_level(level, max_children=6)
-    x = points.astype(np.float32).astype(float)
-    tolerance = clustering.TOLERANCE * x.var(axis=0).mean()
-    labels = {r["instance_id"]: {f["k"]: f["cluster"] for f in r["labels"]} for r in labelled.collect()}
-    found = {}
-    for r in centroids.collect():
-        found.setdefault(r["k"], {})[r["cluster"]] = np.array(r["centroid"])
-    assert sorted(found) == [2, 3, 4, 5, 6]
-    for k, centres in found.items():
-        assert len(centres) == k
-        own = np.array([labels[i][k] for i in range(len(x))])
-        shift = sum(((x[own == c].mean(axis=0) - centre) ** 2).sum() for c, centre in centres.items())
-        assert shift <= 2 * tolerance
+    points = np.array([[np.cos(i / 150), np.sin(i / 150), 0.0] for i in range(400)]).astype(np.float32).astype(float)
+    draws = np.random.default_rng(1).random((400, 10))
+    first = kmeans.starts(points, np.arange(400), draws, 6)
+    enough = kmeans.tolerance(400, points.sum(0), (points * points).sum(0))
+    assert enough == pytest.approx(kmeans.TOLERANCE * points.var(axis=0).mean())
+    for k in range(2, 7):
+        centres = kmeans.fit(points, points[first[:k]], enough, 300)
+        own = ((points[:, None] - centres) ** 2).sum(2).argmin(1)
+        assert sum(((points[own == c].mean(axis=0) - centres[c]) ** 2).sum() for c in range(k)) <= 2 * enough
     with pytest.raises(RuntimeError, match="not settled"):
-        clustering.fit_level(level, max_children=6, steps=1)
+        kmeans.fit(points, points[first], enough, 1)
+    vectors = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "instance_id bigint, embedding array<float>")
+    with pytest.raises(RuntimeError, match="not settled"):
+        clustering.build_tree(vectors, max_children=6, steps=1, task_bytes=100)
 
 
-def test_clustering_starts_are_different_rows(spark):
+def test_clustering_starts_are_different_rows():
     # All but three rows are equal: starts by hash alone nearly always fall on one point.
-    points = [[1.0, 0.0]] * 97 + [[0.0, 1.0], [-1.0, 0.0], [0.0, -1.0]]
-    rows = [("t", [], i, p, len(points)) for i, p in enumerate(points)]
-    level = spark.createDataFrame(rows, "tree_id string, path array<int>, instance_id bigint, embedding array<float>, size bigint")
-    labelled, _ = clustering.fit_level(level, max_children=4)
-    assert len({next(f["cluster"] for f in r["labels"] if f["k"] == 4) for r in labelled.collect()}) == 4
+    points = np.array([[1.0, 0.0]] * 97 + [[0.0, 1.0], [-1.0, 0.0], [0.0, -1.0]])
+    draws = np.random.default_rng(2).random((100, 10))
+    first = kmeans.starts(points, np.arange(100), draws, 9)
+    assert len({tuple(points[i]) for i in first}) == len(first) == 4
+
+
+def test_cosine_scores_match_definition():
+    rng = np.random.default_rng(5)
+    points = rng.normal(0, 1, (40, 3))
+    labels = np.array([i % 4 if i != 7 else 4 for i in range(40)])
+    unit = kmeans.units(points)
+    scores = kmeans.cosine_scores(unit, labels, *kmeans.cluster_sums(unit, labels, 5))
+    assert scores.mean() == pytest.approx(silhouette(points, labels.tolist()))
+
+
+def test_empty_table_has_an_empty_tree(spark):
+    leaves, centroids = clustering.build_tree(spark.createDataFrame([], "instance_id bigint, embedding array<float>"))
+    assert leaves.count() == centroids.count() == 0
+
