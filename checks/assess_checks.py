@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.registry import check
+from skillgauge.plans import weaknesses
 from skillgauge.functions.metrics import is_label, preference_rate
 from skillgauge.functions.text import ratio_label, score_or_default, scoring_map, json_object_text
 from skillgauge.operators import assess, filters, profiles, tree
@@ -327,3 +328,13 @@ def balanced_scores(t):
         lambda j: F.when((j == key % 20 + 1) | (j == (key * 7) % 20 + 1), 5.0).otherwise((1 + (key * j) % 4).cast("double")),
     )
     return t.raw("customer").select(key.alias("instance_id"), wanted.alias("scores"))
+
+
+@check("l3_assessment_curves", f"""
+SELECT curve, size, round(value, 9) AS value, round(min(value) OVER (PARTITION BY curve ORDER BY size ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * 100, 7) AS best FROM (
+  SELECT 'entries' AS curve, size::BIGINT AS size, value FROM ({VAL1} SELECT size, min(val1) AS value FROM v GROUP BY size)
+  UNION ALL
+  SELECT 'union' AS curve, num::BIGINT AS size, value FROM ({VAL2} SELECT num, min(val2) AS value FROM v GROUP BY num))""")
+def _(t):
+    curves = weaknesses.assessment_curves(t.profile(), t.association(), results(t), MAX_SIZE)
+    return curves.select("curve", "size", F.round("value", 9).alias("value"), F.round("best", 7).alias("best"))

@@ -250,6 +250,26 @@ def _(t):
     return robustness.status_counts(robustness.answer_status(status, questions.low_performing_answers(log)))
 
 
+@check("d6_failed_files", f"""
+WITH grid AS ({GRID}), loaded AS (SELECT model, language, shots, dataset, count(*) AS n FROM clean_log GROUP BY ALL),
+kept AS (SELECT model, language, shots, dataset, count(*) AS n FROM kept_log GROUP BY ALL),
+grouped AS (SELECT model, language, shots, dataset, count(*) AS n, count(*) FILTER (average_score < 0.5) AS low FROM question_scores GROUP BY ALL)
+SELECT model, dataset, shots, coalesce(loaded.n, 0)::BIGINT AS loaded,
+  CASE WHEN model = 'org/model-z' AND shots = 5 AND dataset = 'mmlu.large' THEN 'error' WHEN loaded.n IS NULL THEN 'empty' WHEN kept.n IS NULL THEN 'empty_after_filters'
+       WHEN grouped.n IS NULL THEN 'no_samples_after_grouping' WHEN low = 0 THEN 'no_low_performers' ELSE 'success' END AS status
+FROM grid LEFT JOIN loaded USING (model, language, shots, dataset) LEFT JOIN kept USING (model, language, shots, dataset) LEFT JOIN grouped USING (model, language, shots, dataset)""")
+def _(t):
+    """A broken file among good ones: its configuration says `error`, all others have their results."""
+    base = laid_out(t, ["org/model-a", "org/model-b"], [0, 5])
+    t.spark.range(1).selectExpr("'this is no table'").write.text(f"{base}/model-z/en/5_shot/mmlu.large.parquet")
+    schema = t.eval_log().drop("language").schema
+    log = logs.scan_layout(t.spark, base, schema=schema, skip_broken=True)
+    names = grid(t).select("model", F.regexp_extract("model", "[^/]*$", 0).alias("model_folder")).distinct()
+    failed = logs.broken_files(t.spark, base, schema=schema).join(names, "model_folder").select("model", "language", F.col("benchmark").alias("dataset"), "shots", F.lit("error").alias("status"))
+    found = robustness.dedup_first(log, ["evaluation_id", *CONFIG], COPY_ORDER)
+    return robustness.configuration_status(found, grid(t), 0.5, failed).select("model", "dataset", "shots", "loaded", "status")
+
+
 @check("d7_extract_totals", "SELECT model, raw_rows, processed_rows, unique_rows FROM (SELECT model, count(*) AS raw_rows, count(DISTINCT evaluation_id) AS unique_rows FROM eval_log GROUP BY model) JOIN (SELECT model, count(*) AS processed_rows FROM kept_log GROUP BY model) USING (model)")
 def _(t):
     return robustness.extract_totals(t.eval_log(), kept(t))

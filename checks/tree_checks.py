@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks.registry import check
 from skillgauge.functions.metrics import significant
 from skillgauge.operators import sweep, tree
+from skillgauge.plans import weaknesses
 
 def path():
     return tree.path_text(F.col("path")).alias("path")
@@ -131,10 +132,32 @@ def _(t):
 
 @check("g5_distinct_profiles", "SELECT row_number() OVER (ORDER BY profile) - 1 AS profile_index, profile_size, profile FROM (SELECT DISTINCT profile_size, array_to_string(profile, '[###***###]') AS profile FROM low_profile)")
 def _(t):
-    profiles = sweep.distinct_profiles(sweep.sweep_profiles(ranges(t), t.descriptions()))
+    profiles = sweep.distinct_profiles(ranges(t), t.descriptions())
     return profiles.select(F.col("profile_index").cast("bigint").alias("profile_index"), "profile_size", "profile")
 
 
+@check("g5_profile_identities", "SELECT min(step)::BIGINT AS first_step, max(step)::BIGINT AS last_step, profile_size FROM low_profile GROUP BY profile, profile_size")
+def _(t):
+    found = sweep.profile_identities(sweep.profile_steps(ranges(t), t.descriptions()))
+    return found.select(F.col("step").cast("bigint").alias("first_step"), F.col("last").cast("bigint").alias("last_step"), "profile_size")
+
+
+@check("i6_profile_members", "SELECT step::BIGINT AS step, unnest(profile) AS description FROM (SELECT *, lag(profile) OVER (ORDER BY step) AS before FROM low_profile) WHERE before IS DISTINCT FROM profile")
+def _(t):
+    """The members of every profile of the sweep, a row each."""
+    found = ranges(t)
+    steps = sweep.profile_steps(found, t.descriptions())
+    return sweep.profile_members(found, t.descriptions(), steps).select(F.col("step").cast("bigint").alias("step"), "description")
+
+
+@check("l2_weakness_profiles", "SELECT profile_size, unnest(arg_max(profile, step)) AS capability FROM low_profile WHERE profile_size <= 20 GROUP BY profile_size")
+def _(t):
+    """From placed instances and their results to the profiles of all sizes, in one plan."""
+    measured = t.accuracy().select("instance_id", "wins", "trials")
+    found = weaknesses.weakness_profiles(t.leaves().select("tree_id", "instance_id", "path"), measured, t.descriptions(), 20)
+    return found.select("profile_size", "capability")
+
+
 @check("g6_profile_per_size", "SELECT profile_size, array_to_string(arg_max(profile, step), ';') AS profile FROM low_profile WHERE profile_size <= 20 GROUP BY profile_size")
 def _(t):
     profiles = sweep.profile_per_size(sweep.sweep_profiles(ranges(t), t.descriptions(), 20), 20)

@@ -10,11 +10,50 @@ from skillgauge.functions.text import seeded_hash
 
 # Hash buckets of a global numbering: 16^3 of them, numbered from one small table.
 _BUCKET_DIGITS = 3
+# Rows of a sample, or of its last bucket, that may meet in one task.
+MERGED_ROWS = 100_000
 
 
-def sample_rows(df: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:
-    """n rows in seeded order; each task keeps its own first n, so only those are compared."""
-    return df.orderBy(seeded_hash(seed, *[F.col(k) for k in keys]), *keys).limit(n)
+def sample_rows(df: DataFrame, n: int, seed: int, *keys: str, merge: int = MERGED_ROWS) -> DataFrame:
+    """n rows in seeded order.
+
+    Up to `merge` rows, each task keeps its own first n and these meet in one. A larger sample is cut by a
+    histogram of hash prefixes: whole buckets before the cut are taken as they are, and only the bucket the cut falls into, itself
+    cut down by further digits until it is small, is ranked. Both give the same rows.
+    """
+    order = seeded_hash(seed, *[F.col(k) for k in keys])
+    if n <= merge:
+        return df.orderBy(order, *keys).limit(n)
+    hashed = df.withColumn("_hash", order)
+    prefix, rest = _cut(hashed, n, merge)
+    digits = len(prefix)
+    if not digits:
+        return df.orderBy(order, *keys)
+    bucket = F.substring("_hash", 1, digits)
+    ranked = hashed.filter(bucket == prefix).withColumn("_rank", F.row_number().over(W.partitionBy(F.lit(prefix)).orderBy("_hash", *keys)))
+    taken = hashed.filter(bucket < prefix).unionByName(ranked.filter(F.col("_rank") <= rest).drop("_rank"))
+    return taken.orderBy("_hash", *keys).drop("_hash")
+
+
+def _cut(hashed: DataFrame, n: int, merge: int) -> tuple[str, int]:
+    """The hash prefix that the n-th row falls under, with at most `merge` rows, and how many of these are wanted.
+
+    An empty prefix if there are no more than n rows. A pass counts 16^3 buckets at most.
+    """
+    prefix, rest = "", n
+    while len(prefix) < 32:
+        length = min(len(prefix) + _BUCKET_DIGITS, 32)
+        inside = hashed.filter(F.col("_hash").startswith(prefix)) if prefix else hashed
+        counts = sorted(inside.groupBy(F.substring("_hash", 1, length).alias("p")).agg(F.count("*").alias("n")).collect())
+        if not prefix and sum(count for _, count in counts) <= n:
+            break
+        for prefix, count in counts:
+            if rest <= count:
+                break
+            rest -= count
+        if count <= merge:
+            break
+    return prefix, rest
 
 
 def sample_per_group(df: DataFrame, n: int, seed: int, groups: Sequence[str], *keys: str) -> DataFrame:

@@ -127,10 +127,12 @@ def restrict_to(log: DataFrame, grid: DataFrame, keys: Sequence[str] = tuple(CON
     return log.join(grid.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def configuration_status(clean: DataFrame, grid: DataFrame, threshold: float) -> DataFrame:
+def configuration_status(clean: DataFrame, grid: DataFrame, threshold: float, failed: DataFrame | None = None) -> DataFrame:
     """Outcome of each requested configuration, from one aggregation of the deduplicated log.
 
-    Counts per question first, then per configuration; a question without a key belongs to no group.
+    Counts per question first, then per configuration; a question without a key belongs to no group. A configuration in
+    `failed` (the keys, and a `status` such as `error` or `save_error`) has that status whatever else was read of it: see
+    `broken_files` and `save_status`.
     """
     kept = unbiased_order()
     average = round3(F.avg(F.when(kept, F.col("score"))))
@@ -148,20 +150,32 @@ def configuration_status(clean: DataFrame, grid: DataFrame, threshold: float) ->
         )
     )
     counts = ["loaded", "initial_rows", "grouped_samples", "low_performer_samples"]
+    joined = grid.join(stages, CONFIGURATION, "left").fillna(0, counts)
+    if failed is None:
+        joined = joined.withColumn("_failed", F.lit(None).cast("string"))
+    else:
+        joined = joined.join(failed.groupBy(*CONFIGURATION).agg(F.min("status").alias("_failed")), CONFIGURATION, "left")
     return (
-        grid.join(stages, CONFIGURATION, "left")
-        .fillna(0, counts)
-        .withColumn(
+        joined.withColumn(
             "status",
-            F.when(F.col("loaded") == 0, "empty")
+            F.when(F.col("_failed").isNotNull(), F.col("_failed"))
+            .when(F.col("loaded") == 0, "empty")
             .when(F.col("initial_rows") == 0, "empty_after_filters")
             .when(F.col("grouped_samples") == 0, "no_samples_after_grouping")
             .when(F.col("low_performer_samples") == 0, "no_low_performers")
             .otherwise("success"),
         )
+        .drop("_failed")
     )
 
 
+def save_status(wanted: DataFrame, saved: DataFrame) -> DataFrame:
+    """`save_error` for every configuration of `wanted` with other counts of rows than `saved`, the written table read back."""
+    rows = lambda df, name: df.groupBy(*CONFIGURATION).agg(F.count("*").alias(name))
+    both = rows(wanted, "_wanted").join(rows(saved, "_saved"), CONFIGURATION, "left")
+    return both.filter(~F.col("_wanted").eqNullSafe(F.col("_saved"))).select(*CONFIGURATION, F.lit("save_error").alias("status"))
+
+
 def answer_status(status: DataFrame, low_rows: DataFrame, answers_present: bool = True) -> DataFrame:
     """D6 for the answer analysis: a configuration whose low rows map to no position at all is
     `invalid_mappings`; without an answer column mapping is skipped."""

@@ -108,35 +108,73 @@ def first_empty_stop(steps: DataFrame, count: str, keys: list[str], order: str,
     return marked.filter("_alive = 1").drop("_alive")
 
 
-def sweep_profiles(ranges: DataFrame, descriptions: DataFrame, max_size: int | None = None) -> DataFrame:
-    """Members of the profile at every breakpoint: `tree_id`, `step`, `profile_size`, `profile`.
+def profile_steps(ranges: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """The profile at every breakpoint without its members: tree_id, step, last, profile_size, id_1, id_2.
+
+    It holds from `step` to `last`. The two ids are sums of 64-bit hashes of the members' descriptions: a node adds
+    its hashes where it enters and takes them off where it leaves, so they follow from running sums over the
+    breakpoints, and equal profiles have equal sizes and ids, wherever they occur.
+    """
+    live = ranges.filter("until > after").join(descriptions.select(*NODE, "description"), NODE)
+    hashed = live.select("tree_id", "after", "until", *[F.xxhash64(F.lit(salt), "description").cast("decimal(38,0)").alias(f"h{salt}") for salt in (1, 2)])
+    ends = F.array(F.struct((F.col("after") + 1).alias("step"), F.lit(1).alias("change")), F.struct((F.col("until") + 1).alias("step"), F.lit(-1).alias("change")))
+    events = hashed.select("tree_id", "h1", "h2", F.inline(ends))
+    per_step = events.groupBy("tree_id", "step").agg(F.sum("change").alias("n"), *[F.sum(F.when(F.col("change") > 0, F.col(h)).otherwise(-F.col(h))).alias(h) for h in ("h1", "h2")])
+    by_step = W.partitionBy("tree_id").orderBy("step")
+    running = per_step.select(
+        "tree_id",
+        "step",
+        (F.lead("step").over(by_step) - 1).alias("last"),
+        F.sum("n").over(by_step).alias("profile_size"),
+        *[F.sum(h).over(by_step).cast("decimal(38,0)").alias(name) for h, name in (("h1", "id_1"), ("h2", "id_2"))],
+    )
+    return first_empty_stop(running, "profile_size", ["tree_id"], "step", start=0)
+
+
+def profile_identities(steps: DataFrame) -> DataFrame:
+    """G5 without texts: the first and last step of every distinct profile of a tree."""
+    return steps.groupBy("tree_id", "profile_size", "id_1", "id_2").agg(F.min("step").alias("step"), F.max("last").alias("last"))
+
+
+def profile_members(ranges: DataFrame, descriptions: DataFrame, steps: DataFrame) -> DataFrame:
+    """tree_id, step, description: a row per member of the profiles at some breakpoints (tree_id, step).
 
     A tree has a bounded number of breakpoints, so each node meets an array of them instead of being
-    joined by range. `max_size` leaves out larger profiles before they are collected.
+    joined by range.
     """
-    points = sweep_breakpoints(ranges)
-    if max_size is not None:
-        points = points.filter(F.col("profile_size") <= max_size)
-    step_lists = points.groupBy("tree_id").agg(F.array_sort(F.collect_set("step")).alias("_steps"))
-    members = (
+    step_lists = steps.groupBy("tree_id").agg(F.array_sort(F.collect_set("step")).alias("_steps"))
+    return (
         ranges.filter("until > after")
         .join(descriptions.select(*NODE, "description"), NODE)
         .join(step_lists, "tree_id")
-        .withColumn(
-            "step",
-            F.explode(F.expr("filter(_steps, s -> s > after AND s <= until)")),
-        )
+        .select("tree_id", F.explode(F.expr("filter(_steps, s -> s > after AND s <= until)")).alias("step"), "description")
     )
+
+
+def sweep_profiles(ranges: DataFrame, descriptions: DataFrame, max_size: int | None = None, steps: DataFrame | None = None) -> DataFrame:
+    """Profiles as lists, at every breakpoint or those of `steps`: `tree_id`, `step`, `profile_size`, `profile`.
+
+    A list is one value, so this is for reports; `max_size` leaves out larger profiles before they are
+    collected, and `profile_members` gives profiles of any size as rows.
+    """
+    points = sweep_breakpoints(ranges) if steps is None else steps
+    if max_size is not None:
+        points = points.filter(F.col("profile_size") <= max_size)
+    members = profile_members(ranges, descriptions, points)
     return members.groupBy("tree_id", "step").agg(
         F.count("*").alias("profile_size"), F.array_sort(F.collect_list("description")).alias("profile")
     )
 
 
-def distinct_profiles(profiles: DataFrame) -> DataFrame:
-    """Distinct profiles of each tree, numbered in the order of their joined text."""
+def distinct_profiles(ranges: DataFrame, descriptions: DataFrame, max_size: int | None = None) -> DataFrame:
+    """Distinct profiles of each tree, numbered in the order of their joined text.
+
+    Equal profiles are found by their ids; only the first of each is written out, up to `max_size` members.
+    """
+    firsts = profile_identities(profile_steps(ranges, descriptions))
     return (
-        profiles.select("tree_id", "profile_size", F.array_join("profile", SEPARATOR).alias("profile"))
-        .distinct()
+        sweep_profiles(ranges, descriptions, max_size, firsts)
+        .select("tree_id", "profile_size", F.array_join("profile", SEPARATOR).alias("profile"))
         .withColumn("profile_index", F.row_number().over(W.partitionBy("tree_id").orderBy("profile")) - 1)
     )
 

@@ -58,8 +58,8 @@ def normalise_columns(log: DataFrame) -> DataFrame:
     return log.withColumnsRenamed({old: new for old, new in LOG_COLUMNS.items() if old in log.columns})
 
 
-def _read_or_empty(spark: SparkSession, schema: T.StructType, paths: Sequence[str], base: str | None) -> DataFrame:
-    reader = spark.read.schema(schema)
+def _read_or_empty(spark: SparkSession, schema: T.StructType, paths: Sequence[str], base: str | None, skip_broken: bool = False) -> DataFrame:
+    reader = spark.read.schema(schema).option("ignoreCorruptFiles", str(skip_broken).lower())
     if base is not None:
         reader = reader.option("basePath", base)
     try:
@@ -83,6 +83,63 @@ def _alternatives(values: str | int | Iterable | None, suffix: str = "") -> str:
     return "{" + ",".join(escaped) + "}" + suffix
 
 
+def _layout_path(base: str, models, languages, shots, benchmarks) -> str:
+    folders = None if models is None else [m.rsplit("/", 1)[-1] for m in ([models] if isinstance(models, str) else models)]
+    names = None if benchmarks is None else [n.removesuffix(".parquet") for n in ([benchmarks] if isinstance(benchmarks, str) else benchmarks)]
+    return "/".join(
+        [base.rstrip("/"), _alternatives(folders), _alternatives(languages), _alternatives(shots, "_shot"), _alternatives(names, ".parquet")]
+    )
+
+
+def _place_part(place: Column, n: int) -> Column:
+    """The n-th folder of the layout in a file path."""
+    return F.regexp_extract(F.url_decode(F.regexp_replace(place, r"\+", "%2B")), _LAYOUT, n)
+
+
+def broken_files(
+    spark: SparkSession,
+    base: str,
+    models: str | Iterable[str] | None = None,
+    languages: str | Iterable[str] | None = None,
+    shots: int | Iterable[int] | None = None,
+    benchmarks: str | Iterable[str] | None = None,
+    schema: T.StructType = LOG_SCHEMA,
+) -> DataFrame:
+    """model_folder, language, shots, benchmark, file, reason of the files of a layout that are no readable tables.
+
+    One listing and one pass that reads no column shows which files give rows. Only of the rest, empty and broken ones,
+    are the marks looked at that begin and end a table file; a file without them is `error`.
+    """
+    path = _layout_path(base, models, languages, shots, benchmarks)
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    try:
+        files = listing.load(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "model_folder string, language string, shots int, benchmark string, file string, reason string")
+    read = _read_or_empty(spark, schema, [path], None, skip_broken=True)
+    seen = read.select(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")).alias("seen")).distinct()
+    plain = lambda column: F.regexp_replace(column, "^[a-z]+:/+", "/")
+    silent = files.select("path").join(seen, plain(F.col("path")) == plain(F.col("seen")), "left_anti")
+    # Names of what gave no rows; their contents are read in a second scan of these files alone.
+    names = [row["path"] for row in silent.toLocalIterator()]
+    if not names:
+        suspects = files.limit(0)
+    else:
+        suspects = spark.read.format("binaryFile").load([re.sub(r"([{}\[\]*?,\\])", r"\\\1", name) for name in names])
+    mark = F.lit(b"PAR1")
+    whole = (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark)
+    found = suspects.filter(~whole | (F.col("length") < 12))
+    return found.select(
+        *[_place_part(F.col("path"), n).alias(name) for n, name in ((1, "model_folder"), (2, "language"))],
+        _place_part(F.col("path"), 3).cast("int").alias("shots"),
+        _place_part(F.col("path"), 4).alias("benchmark"),
+        F.col("path").alias("file"),
+        F.lit("no table file").alias("reason"),
+    )
+
+
 def scan_layout(
     spark: SparkSession,
     base: str,
@@ -91,22 +148,21 @@ def scan_layout(
     shots: int | Iterable[int] | None = None,
     benchmarks: str | Iterable[str] | None = None,
     schema: T.StructType = LOG_SCHEMA,
+    skip_broken: bool = False,
 ) -> DataFrame:
     """A1: a log laid out as `{model}/{language}/{shots}_shot/{benchmark}.parquet`, any number of slices in one scan.
 
+    A file that cannot be read fails the job, or with `skip_broken` gives no further rows; `broken_files` names those files.
+
     Only the asked-for files are listed; those that are not there are skipped, and none at all gives
     an empty result. Model folder, language and shot count come from the path, which wins over columns
     of the file, and so does the benchmark.
     """
-    folders = None if models is None else [m.rsplit("/", 1)[-1] for m in ([models] if isinstance(models, str) else models)]
-    names = None if benchmarks is None else [n.removesuffix(".parquet") for n in ([benchmarks] if isinstance(benchmarks, str) else benchmarks)]
-    path = "/".join(
-        [base.rstrip("/"), _alternatives(folders), _alternatives(languages), _alternatives(shots, "_shot"), _alternatives(names, ".parquet")]
-    )
-    log, place = _read_or_empty(spark, schema, [path], None), F.col("_metadata.file_path")
+    path = _layout_path(base, models, languages, shots, benchmarks)
+    log, place = _read_or_empty(spark, schema, [path], None, skip_broken), F.col("_metadata.file_path")
     if log.isEmpty():
         log, place = spark.createDataFrame([], schema), F.lit("")
-    part = lambda n: F.regexp_extract(F.url_decode(F.regexp_replace(place, r"\+", "%2B")), _LAYOUT, n)
+    part = lambda n: _place_part(place, n)
     own = normalise_columns(log.withColumns({"_folder": part(1), "_language": part(2), "_shots": part(3), "_benchmark": part(4)}))
     found = {"model_folder": "_folder", "language": "_language", "shots": "_shots", "benchmark": "_benchmark"}
     return own.drop(*found).withColumnsRenamed({b: a for a, b in found.items()}).withColumn("shots", F.col("shots").cast("int"))

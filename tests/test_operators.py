@@ -164,6 +164,30 @@ def test_sweep_matches_brute_force(spark, seed, direction):
     assert max(got, default=-1) < len(expected)
 
 
+def test_profiles_of_a_million_nodes_are_told_apart_without_lists(spark):
+    n, last = 1_000_000, 1000
+    node = spark.range(n).select(F.lit("t").alias("tree_id"), F.array(F.col("id").cast("int")).alias("path"), "id")
+    after = F.when(F.col("id") == 0, -1).otherwise(F.pmod(F.xxhash64("id"), F.lit(last // 2)).cast("int") * 2 - 1)
+    ranges = node.select("tree_id", "path", after.alias("after"), F.lit(last).alias("until"))
+    descriptions = node.select("tree_id", "path", F.concat(F.lit("d"), (F.col("id") % 1000).cast("string")).alias("description"))
+    steps = sweep.profile_steps(ranges, descriptions)
+    assert steps.count() == sweep.profile_identities(steps).count() == last // 2
+    assert steps.agg(F.max("profile_size"), F.max("last")).first() == (n, last)
+    again = ranges.select("tree_id", "path", F.when(F.col("after") < 501, -1).otherwise(F.col("after")).alias("after"), "until")
+    assert sweep.profile_steps(again, descriptions).filter("step = 1000 - 1").select("id_1", "id_2").collect() == steps.filter("step = 1000 - 1").select("id_1", "id_2").collect()
+
+
+def test_equal_profiles_at_different_steps_have_one_identity(spark):
+    ranges = spark.createDataFrame([("t", [0], -1, 9), ("t", [1], 2, 4), ("t", [2], 6, 7)], "tree_id string, path array<int>, after int, until int")
+    descriptions = spark.createDataFrame([("t", [0], "a"), ("t", [1], "b"), ("t", [2], "b")], "tree_id string, path array<int>, description string")
+    steps = sweep.profile_steps(ranges, descriptions)
+    assert [(r["step"], r["last"], r["profile_size"]) for r in steps.orderBy("step").collect()] == [(0, 2, 1), (3, 4, 2), (5, 6, 1), (7, 7, 2), (8, 9, 1)]
+    found = sweep.profile_identities(steps)
+    assert sorted((r["profile_size"], r["step"], r["last"]) for r in found.collect()) == [(1, 0, 9), (2, 3, 7)]
+    assert rows(sweep.distinct_profiles(ranges, descriptions).select("profile_index", "profile")) == [(0, "a"), (1, "a[###***###]b")]
+    assert rows(sweep.profile_members(ranges, descriptions, found)) == [("t", 0, "a"), ("t", 3, "a"), ("t", 3, "b")]
+
+
 def test_located_node_itself_is_not_tested(spark):
     ranges = spark.createDataFrame([("t", [0, 1], 5)], "tree_id string, path array<int>, qualifies_until int")
     paths = spark.createDataFrame([("t", [0, 1]), ("t", [0, 1, 2])], "tree_id string, path array<int>")
@@ -495,3 +519,32 @@ def test_empty_table_has_an_empty_tree(spark):
     leaves, centroids = clustering.build_tree(spark.createDataFrame([], "instance_id bigint, embedding array<float>"))
     assert leaves.count() == centroids.count() == 0
 
+
+
+def test_broken_files_are_named_and_the_rest_is_read(spark, tmp_path):
+    base, schema = str(tmp_path / "log"), "evaluation_id string, score double"
+    spark.createDataFrame([("e1", 1.0)], schema).write.parquet(f"{base}/m/en/0_shot/good.parquet")
+    spark.createDataFrame([], schema).write.parquet(f"{base}/m/en/0_shot/none.parquet")
+    spark.createDataFrame([("PAR1 but no table",)], "x string").write.text(f"{base}/m/en/5_shot/odd[1].parquet")
+    kind = spark.createDataFrame([], schema).schema
+    found = logs.broken_files(spark, base, schema=kind).drop("file").collect()
+    assert [tuple(r) for r in found] == [("m", "en", 5, "odd[1]", "no table file")]
+    log = logs.scan_layout(spark, base, schema=kind, skip_broken=True)
+    assert rows(log.select("evaluation_id", "benchmark")) == [("e1", "good")]
+    assert logs.broken_files(spark, f"{base}/nowhere", schema=kind).count() == 0
+
+
+def test_rows_that_were_not_saved_are_a_save_error(spark):
+    schema = "model string, language string, dataset string, shots int"
+    wanted = spark.createDataFrame([("m", "en", "d", 0)] * 2 + [("m", "en", "e", 0)], schema)
+    saved = spark.createDataFrame([("m", "en", "d", 0), ("m", "en", "e", 0)], schema)
+    assert rows(robustness.save_status(wanted, saved)) == [("m", "en", "d", 0, "save_error")]
+
+
+@pytest.mark.parametrize("n, merge", [(1, 0), (137, 0), (500, 3), (999, 40), (1000, 0), (1200, 0), (40, 2000)])
+def test_large_samples_are_cut_by_hash_prefixes(spark, n, merge):
+    table = spark.range(1000).select("id", (F.col("id") % 7).alias("x"))
+    wanted = [r["id"] for r in table.orderBy(F.md5(F.concat_ws(":", F.lit("5"), F.col("id").cast("string"))), "id").limit(n).collect()]
+    assert [r["id"] for r in indexing.sample_rows(table, n, 5, "id", merge=merge).collect()] == wanted
+    equal = spark.range(300).select(F.lit(1).alias("k"))
+    assert indexing.sample_rows(equal, min(n, 300), 5, "k", merge=merge).count() == min(n, 300)

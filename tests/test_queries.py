@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -58,3 +60,10 @@ def test_entry(spark):
     result = entry_points.entry(spark)
     assert result.columns == ["model", "language", "dataset", "shots", "sample_index", "average_score", "question"]
     assert result.count() > 0
+
+
+def test_other_queries_are_there_without_an_optional_library():
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); print(len([n for n in q if not n.startswith(('op', 'pipeline'))]), any(n.startswith('op') for n in q))"
+    root = os.path.dirname(os.path.abspath(entry_points.__file__))
+    out = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert out == [str(len([n for n in QUERIES if not n.startswith(("op", "pipeline"))])), "False"]
