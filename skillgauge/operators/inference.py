@@ -7,9 +7,11 @@ dicts of the same length.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from skillgauge.functions.metrics import LABELS
@@ -86,6 +88,82 @@ def complete(
     return _call(prompts, column, provider, fields, attempts, tasks)
 
 
+_LEDGER = "digest string, response string, prompt_tokens bigint, completion_tokens bigint, error string"
+
+
+def _asked(open_prompts: DataFrame, provider: Provider) -> DataFrame:
+    """A ledger row for each open prompt (digest, prompt): its answer, or the error that it met."""
+
+    def answered(texts: list[str]) -> list[tuple[dict | None, str | None]]:
+        try:
+            answers = provider(texts)
+            if len(answers) != len(texts):
+                raise ValueError(f"{len(answers)} answers to {len(texts)} prompts")
+            return [(answer, None) for answer in answers]
+        except Exception as error:  # the provider's errors are its own; they are written down
+            if len(texts) == 1:
+                return [(None, f"{type(error).__name__}: {error}")]
+            # One bad prompt does not cost the others.
+            return [pair for text in texts for pair in answered([text])]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pairs = answered(list(batch["prompt"])) if len(batch) else []
+            out = pd.DataFrame({"digest": batch["digest"]})
+            for name in ("response", "prompt_tokens", "completion_tokens"):
+                out[name] = pd.Series([None if a is None else a.get(name) for a, _ in pairs], index=batch.index, dtype=object)
+            out["error"] = pd.Series([error for _, error in pairs], index=batch.index, dtype=object)
+            yield out
+
+    return open_prompts.mapInPandas(run, _LEDGER)
+
+
+def complete_all(
+    prompts: DataFrame,
+    provider: Provider,
+    ledger: str,
+    column: str = "prompt",
+    rounds: int = 8,
+    wait: float = 1.0,
+    tasks: int | None = None,
+) -> DataFrame:
+    """J1 until every prompt is answered: `response`, `prompt_tokens`, `completion_tokens`, `failed` and `error` for each row.
+
+    `ledger` is a folder that all executors reach. A round asks about the distinct prompts without an answer there and writes
+    down what it gets, answers and errors; the next one, after a pause that doubles, asks about what is still open. So a prompt is
+    answered once however many rows hold it, a lost executor costs the calls of its unfinished tasks only, and a job
+    that is started again goes on where the ledger ends. After `rounds` rounds the open rows have nulls, `failed` and the
+    last error. Null prompts are not asked about and are not failures.
+    """
+    spark = prompts.sparkSession
+    digest = F.sha2(F.col(f"`{column}`").cast("binary"), 256)
+    distinct = prompts.filter(F.col(f"`{column}`").isNotNull()).select(digest.alias("digest"), F.col(f"`{column}`").alias("prompt")).dropDuplicates(["digest"])
+
+    def entries() -> DataFrame:
+        try:
+            return spark.read.schema(_LEDGER + ", round int").parquet(ledger)
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], _LEDGER + ", round int")
+
+    first = (entries().agg(F.max("round")).first()[0] or 0) + 1
+    for turn in range(rounds):
+        left = distinct.join(entries().filter("error IS NULL").select("digest"), "digest", "left_anti")
+        left = cut_lineage(left.repartition(tasks) if tasks else left)
+        if left.isEmpty():
+            break
+        if turn:
+            time.sleep(wait * 2 ** (turn - 1))
+        _asked(left, provider).write.parquet(f"{ledger}/round={first + turn}")
+    latest = F.struct(F.col("error").isNull().alias("answered"), "round", "response", "prompt_tokens", "completion_tokens", "error")
+    best = entries().groupBy("digest").agg(F.max(latest).alias("_entry"))
+    joined = prompts.withColumn("_digest", digest).join(best, F.col("_digest") == F.col("digest"), "left")
+    answer = [F.col(f"_entry.{name}").alias(name) for name in ("response", "prompt_tokens", "completion_tokens")]
+    failed = F.col("_digest").isNotNull() & ~F.coalesce(F.col("_entry.answered"), F.lit(False))
+    return joined.select(*[F.col(f"`{c}`") for c in prompts.columns], *answer, failed.alias("failed"), F.col("_entry.error").alias("error"))
+
+
 def embed(texts: DataFrame, provider: Provider, column: str = "text", attempts: int = 3, tasks: int | None = None) -> DataFrame:
     """`embedding ARRAY<FLOAT>` and `prompt_tokens` for each text row."""
     fields = [

@@ -548,3 +548,32 @@ def test_large_samples_are_cut_by_hash_prefixes(spark, n, merge):
     assert [r["id"] for r in indexing.sample_rows(table, n, 5, "id", merge=merge).collect()] == wanted
     equal = spark.range(300).select(F.lit(1).alias("k"))
     assert indexing.sample_rows(equal, min(n, 300), 5, "k", merge=merge).count() == min(n, 300)
+
+
+def test_open_prompts_are_asked_again_until_answered(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def fails_twice(texts):
+        if len(texts) > 1:
+            raise RuntimeError("one at a time")
+        [text] = texts
+        seen = len(list(calls.glob(f"{text}-*")))
+        (calls / f"{text}-{seen}").touch()
+        if seen < 2:
+            raise RuntimeError(f"busy {seen}")
+        return [{"response": text.upper(), "prompt_tokens": 1, "completion_tokens": 2}]
+
+    prompts = spark.createDataFrame([(i, None if i == 7 else f"p{i % 5}", "e") for i in range(20)], "i int, prompt string, note string")
+    two = inference.complete_all(prompts, fails_twice, str(tmp_path / "ledger"), rounds=2, wait=0.0)
+    assert {(r["failed"], r["error"]) for r in two.filter("i <> 7").collect()} == {(True, "RuntimeError: busy 1")}
+    done = inference.complete_all(prompts, fails_twice, str(tmp_path / "ledger"), wait=0.0).orderBy("i").collect()
+    assert [r["response"] for r in done] == [None if i == 7 else f"P{i % 5}" for i in range(20)]
+    assert not any(r["failed"] for r in done) and not any(r["error"] for r in done)
+    again = inference.complete_all(prompts, fails_twice, str(tmp_path / "ledger"), wait=0.0)
+    assert again.count() == 20 and len(list(calls.iterdir())) == 15
+
+
+def test_no_prompts(spark, tmp_path):
+    empty = spark.createDataFrame([], "prompt string")
+    assert inference.complete_all(empty, len, str(tmp_path / "none")).count() == 0
