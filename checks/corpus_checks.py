@@ -202,19 +202,23 @@ def _(t):
 CORPUS = f"SELECT conv_id, text_0 AS instruction, text_1 AS response FROM (SELECT * FROM first_turns WHERE {VALID} AND {TOKENS.format('text_0')} + {TOKENS.format('text_1')} <= 4096 QUALIFY conv_id = max(conv_id) OVER (PARTITION BY {KEY}))"
 
 
-@check("i13_role_tagged_corpus", CORPUS + " ORDER BY md5(concat('42:', conv_id)), conv_id LIMIT 50")
+@check("i13_role_tagged_corpus", CORPUS)
 def _(t):
+    return corpora.instruction_corpus(t.first_turns(), "conv_id", **SPEAKERS)
+
+
+@check("i13_sampled_corpus", CORPUS + " ORDER BY md5(concat('42:', conv_id)), conv_id LIMIT 50")
+def _(t):
+    """The sample of the finished corpus that a training set asks for."""
     return corpora.instruction_corpus(t.first_turns(), "conv_id", size=50, **SPEAKERS)
 
 
 @check("i13_language_tagged_corpus", f"""
-WITH s AS (SELECT * FROM first_turns ORDER BY md5(concat('42:', conv_id)), conv_id LIMIT 80),
-v AS (SELECT * FROM s WHERE turns >= 2 AND trim(text_0, '{SPACE}') <> '' AND trim(text_1, '{SPACE}') <> '' AND {TOKENS.format('text_0')} + {TOKENS.format('text_1')} <= 4096
-  QUALIFY conv_id = max(conv_id) OVER (PARTITION BY substr({KEY}, 1, 512)))
-SELECT conv_id, text_0 AS instruction, text_1 AS response FROM v ORDER BY md5(concat('42:', conv_id)), conv_id LIMIT 40""")
+SELECT conv_id, text_0 AS instruction, text_1 AS response FROM first_turns WHERE turns >= 2 AND trim(text_0, '{SPACE}') <> '' AND trim(text_1, '{SPACE}') <> '' AND {TOKENS.format('text_0')} + {TOKENS.format('text_1')} <= 4096
+QUALIFY conv_id = max(conv_id) OVER (PARTITION BY substr({KEY}, 1, 512))""")
 def _(t):
     tagged = t.first_turns().withColumns({"language_0": F.lit("English"), "language_1": F.lit("English")})
-    return corpora.instruction_corpus(tagged, "conv_id", "language", size=40, sample_first=80, key_length=512)
+    return corpora.instruction_corpus(tagged, "conv_id", "language", key_length=512)
 
 
 @check("f4_shuffle_and_take", "SELECT doc_id FROM documents ORDER BY md5(concat('42:', doc_id)), doc_id LIMIT 100")

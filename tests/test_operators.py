@@ -577,3 +577,11 @@ def test_open_prompts_are_asked_again_until_answered(spark, tmp_path):
 def test_no_prompts(spark, tmp_path):
     empty = spark.createDataFrame([], "prompt string")
     assert inference.complete_all(empty, len, str(tmp_path / "none")).count() == 0
+
+
+def test_a_corpus_can_be_sampled_before_and_after(spark):
+    turns = [(i, 2, "user", "assistant", f"question {i % 40}", "answer", "English", "English") for i in range(60)]
+    table = spark.createDataFrame(turns, "conv_id int, turns int, role_0 string, role_1 string, text_0 string, text_1 string, language_0 string, language_1 string")
+    first = {r["conv_id"] for r in indexing.sample_rows(table.select("conv_id"), 30, 42, "conv_id").collect()}
+    got = {r["conv_id"] for r in corpora.instruction_corpus(table, "conv_id", "language", size=10, sample_first=30).collect()}
+    assert len(got) == 10 and got <= {max(i for i in first if i % 40 == k % 40) for k in first}
