@@ -465,18 +465,41 @@ def octal_leaves(t):
     return t.raw("customer").select(F.lit("t").alias("tree_id"), path.alias("path"), key.alias("instance_id"), F.col("c_name").alias("text"))
 
 
-@check("i8_node_descriptions")
+OCTAL_PROMPT = "concat(len(l), ' skills:', chr(10), array_to_string(list_transform(l, lambda x, i: concat('### Skill #', i, chr(10), x, chr(10))), chr(10)))"
+
+
+@check("i8_node_descriptions", f"""
+WITH RECURSIVE top AS (SELECT length(format('{{:o}}', max(c_custkey))) AS d FROM customer),
+nodes AS (
+  SELECT d - 1 AS depth, c_custkey // 8 AS m, list(c_name ORDER BY md5(concat('42:', c_custkey)), c_custkey::VARCHAR) AS l FROM customer, top GROUP BY ALL
+  UNION ALL
+  SELECT depth - 1 AS depth, m // 8 AS m, list(md5({OCTAL_PROMPT}) ORDER BY md5(concat('42:node ', m % 8)), m) AS l FROM nodes WHERE depth > 0 GROUP BY depth - 1, m // 8
+)
+SELECT CASE WHEN depth = 0 THEN '' ELSE array_to_string(string_split(lpad(format('{{:o}}', m), depth::INTEGER, '0'), ''), '/') END AS path, len(l) AS members, md5({OCTAL_PROMPT}) AS description FROM nodes""")
 def _(t):
     described = inference.describe_nodes(octal_leaves(t), "{group_number} skills:\n{skill_descriptions}", digest_provider())
     return described.select(tree.path_text(F.col("path")).alias("path"), "members", "description")
 
 
-@check("i9_shrunk_capabilities")
+@check("i9_shrunk_capabilities", f"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, unnest(generate_series(1, len(l))) AS pos, unnest(l) AS capability
+  FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x, '{SPACE}')) AS l FROM documents)
+),
+rounds AS (
+  SELECT row_number() OVER (ORDER BY doc_id, pos) - 1 AS i, capability, count(*) OVER () AS n FROM found WHERE capability <> ''
+  UNION ALL
+  SELECT (i // 80) * 20 + i % 80 AS i, capability, (n // 80) * 20 + least(20, n % 80) AS n FROM rounds WHERE n > 20 AND i % 80 < 20
+)
+SELECT i AS index, capability FROM rounds WHERE n <= 20""")
 def _(t):
-    """Every line of every document as a capability; the model stand-in keeps the first lines it is shown."""
+    """Every line of every document as a capability; the model stand-in answers with the first twenty it is shown."""
 
     def provider(texts):
-        return [{"response": "\n".join(sorted(line for line in x.split("\n") if line.startswith("("))[:20])} for x in texts]
+        import re
+
+        shown = [[re.sub(r"^\(\d+\) ", "", line) for line in x.split("\n") if re.match(r"\(\d+\) ", line)] for x in texts]
+        return [{"response": "\n".join(listed[:20])} for listed in shown]
 
     rows = t.raw("documents").select("doc_id", F.posexplode(tx.lines(F.col("text"))).alias("line", "capability"))
     indexed = indexing.dense_index(rows, F.floor(F.col("doc_id") / 1000), "doc_id", "line")
