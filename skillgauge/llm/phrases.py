@@ -2,8 +2,8 @@
 
 A text falls into pieces at punctuation and line ends, a piece into words. Every word of a piece starts one
 edge: the longest gram, of up to `longest` words, that begins there and stays in the piece. Edges are
-aggregated once. A shorter phrase is a node, and its count is its flow: the edges that leave it, plus the
-shorter grams that begin at it and stop at the end of a piece. So the text is never counted once per length.
+aggregated, within tasks and then by their first two words. A shorter phrase is a node, and its count is its flow: the
+edges that leave it, plus the shorter grams that begin at it and stop at the end of a piece.
 
 A sieve keeps the graph small without a loss. A phrase cannot be frequent if one of its words, pairs or triples
 is not, so before the edges are built, words, then pairs of kept words, then triples of kept pairs are
@@ -44,8 +44,11 @@ LEAST = 100
 TOP = 2000
 #: A sieve has at most two to this power bits: 16 MB.
 _MOST_BITS = 27
-#: Text worked on at a time.
-_SLICE = 16 << 20
+#: Text worked on at a time, and rows that a task adds up before it passes them on.
+_SLICE = 6 << 20
+_HELD = 1 << 20
+#: Words of the corpus for each shard of the graph.
+_SHARD_WORDS = 20_000_000
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -66,7 +69,7 @@ class _Pieces:
         of_lang = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs.to_pylist()], np.uint64)
         with np.errstate(over="ignore"):
             self.hashes = salted(self.words.hashes + of_lang[self.lang], 13)
-        self.piece = np.cumsum(_BREAK[self.words.data], dtype=np.int64)[self.words.starts] + owner
+        self.piece = np.cumsum(_BREAK[self.words.data], dtype=np.int32)[self.words.starts] + owner
 
     def text_of(self, at: np.ndarray) -> pa.Array:
         raw = self.words.data.tobytes().translate(_ASCII_LOWER)
@@ -106,44 +109,70 @@ def _whole(passed: np.ndarray, piece: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _scanned(texts: DataFrame, work: Callable[[_Pieces], pa.RecordBatch], schema: str) -> DataFrame:
+_Counts = tuple[np.ndarray, np.ndarray, list[pa.Array]]
+
+
+def _scanned(texts: DataFrame, work: Callable[[_Pieces], _Counts], shown: Callable[[_Counts], list[pa.Array]], schema: str) -> DataFrame:
+    """Columns that `shown` makes of the results of `work`: sorted distinct keys of a stretch of text, their counts and more
+    columns. A task adds up the stretches it sees, as long as that makes them fewer, before anything is shuffled."""
+    names = [field.split()[0] for field in schema.split(", ")]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[_Counts] = []
         for batch in batches:
             for part in slices(batch, "text", _SLICE):
-                yield work(_Pieces(part))
+                held.append(work(_Pieces(part)))
+                if sum(len(keys) for keys, _, _ in held) > _HELD:
+                    held = [_added(held)]
+                    if len(held[0][0]) > _HELD // 2:
+                        yield pa.RecordBatch.from_arrays(shown(held.pop()), names=names)
+        if held:
+            yield pa.RecordBatch.from_arrays(shown(_added(held)), names=names)
 
     return texts.mapInArrow(scan, schema)
 
 
-def _counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct hash stands first, and how often it stands there."""
-    _, at, n = np.unique(hashes, return_index=True, return_counts=True)
-    return at, n
+def _as_rows(counts: _Counts) -> list[pa.Array]:
+    keys, n, more = counts
+    return [pa.array(keys.view(np.int64)), *more, pa.array(n)]
+
+
+def _added(parts: list[_Counts]) -> _Counts:
+    """Several such results as one."""
+    if len(parts) == 1:
+        return parts[0]
+    keys, at, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+    n = np.zeros(len(keys), np.int64)
+    np.add.at(n, back, np.concatenate([p[1] for p in parts]))
+    return keys, n, [pa.concat_arrays(columns).take(pa.array(at)) for columns in zip(*(p[2] for p in parts))]
+
+
+def _counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, where each stands first, and how often it stands there."""
+    return np.unique(hashes, return_index=True, return_counts=True)
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
     """hash, lang, word, n of every word."""
 
-    def work(pieces: _Pieces) -> pa.RecordBatch:
-        at, n = _counted(pieces.hashes)
-        langs = pieces.langs.take(pa.array(pieces.lang[at], pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array(pieces.hashes[at].view(np.int64)), langs, pieces.text_of(at), pa.array(n)], names=["hash", "lang", "word", "n"])
+    def work(pieces: _Pieces) -> _Counts:
+        keys, at, n = _counted(pieces.hashes)
+        return keys, n, [pieces.langs.take(pa.array(pieces.lang[at], pa.int32())), pieces.text_of(at)]
 
-    found = _scanned(texts, work, "hash bigint, lang string, word string, n bigint")
+    found = _scanned(texts, work, _as_rows, "hash bigint, lang string, word string, n bigint")
     return found.groupBy("hash").agg(F.min("lang").alias("lang"), F.min("word").alias("word"), F.sum("n").alias("n"))
 
 
 def _gram_counts(texts: DataFrame, held, k: int) -> DataFrame:
     """hash, n of the grams of k words whose shorter grams passed the sieves so far."""
 
-    def work(pieces: _Pieces) -> pa.RecordBatch:
+    def work(pieces: _Pieces) -> _Counts:
         passed = _runs(pieces, held.value) == k - 1
         hashes = sequences(pieces.hashes, k)
-        kept = hashes[_whole(passed, pieces.piece, k)[: len(hashes)]]
-        at, n = _counted(kept)
-        return pa.RecordBatch.from_arrays([pa.array(kept[at].view(np.int64)), pa.array(n)], names=["hash", "n"])
+        keys, _, n = _counted(hashes[_whole(passed, pieces.piece, k)[: len(hashes)]])
+        return keys, n, []
 
-    return _scanned(texts, work, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
+    return _scanned(texts, work, _as_rows, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
 def _sieve(frequent: DataFrame) -> np.ndarray:
@@ -157,38 +186,69 @@ def _sieve(frequent: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _edges(texts: DataFrame, held, longest: int) -> DataFrame:
-    """words (hashes), n: the longest gram that begins at each word, aggregated."""
-
-    def work(pieces: _Pieces) -> pa.RecordBatch:
-        sieves = held.value
-        width = _runs(pieces, sieves)
-        most = len(sieves)
-        # A gram is as long as the longest sieved grams overlap without a gap.
-        full = width == most
-        length = width.copy()
-        for k in range(most + 1, longest + 1):
-            full = _whole(full, pieces.piece, k)
-            length[full] = k
-        keys = pieces.hashes.copy()
+def _edges(texts: DataFrame, held, longest: int, n_shards: int) -> DataFrame:
+    """shard, payload: the longest gram of two words or more that begins at each word, aggregated per task.
+
+    All grams that begin with the same two words go to one shard, many of them in one packed row.
+    """
+
+    def packed(counts: _Counts) -> list[pa.Array]:
+        _, n, [grams] = counts
+        length = np.diff(grams.offsets.to_numpy())
+        words = np.zeros((len(grams), longest), np.uint64)
+        words[np.arange(longest) < length[:, None]] = grams.flatten().to_numpy().view(np.uint64)
+        shard = sequences(words[:, :2].ravel(), 2)[::2] % np.uint64(n_shards)
+        order = np.argsort(shard, kind="stable")
+        found, first = np.unique(shard[order], return_index=True)
+        rows = np.split(order, first[1:]) if len(found) else []
+        return [pa.array(found.astype(np.int32)), pa.array([words[k].tobytes() + n[k].tobytes() for k in rows], pa.binary())]
+
+    return _scanned(texts, lambda pieces: _longest_grams(pieces, held.value, longest), packed, "shard int, payload binary")
+
+
+def _longest_grams(pieces: _Pieces, sieves: list[np.ndarray], longest: int) -> _Counts:
+    width = _runs(pieces, sieves)
+    most = len(sieves)
+    # A gram is as long as the longest sieved grams overlap without a gap.
+    full = width == most
+    length = width.copy()
+    for k in range(most + 1, longest + 1):
+        full = _whole(full, pieces.piece, k)
+        length[full] = k
+    keys = pieces.hashes.copy()
+    for k in range(2, longest + 1):
+        at = np.flatnonzero(length == k)
+        keys[at] = sequences(pieces.hashes, k)[at]
+    begins = np.flatnonzero(length > 1)
+    distinct, at, n = _counted(keys[begins])
+    at = begins[at]
+    ends = np.cumsum(length[at])
+    spots = np.repeat(at - ends + length[at], length[at]) + np.arange(ends[-1] if len(ends) else 0)
+    grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(pieces.hashes[spots].view(np.int64)))
+    return distinct, n, [grams]
+
+
+def _node_flows(edges: DataFrame, longest: int, least: int) -> DataFrame:
+    """words, n of the frequent phrases of two words or more: every edge and every piece end flows through the phrases
+    it begins with."""
+
+    def flow(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(payload.as_py(), np.uint64).reshape(longest + 1, -1) for payload in table.column("payload")]
+        words = np.concatenate([p[:longest].reshape(-1, longest) for p in parts])
+        n = np.concatenate([p[longest] for p in parts]).view(np.int64)
+        found, counts = [], []
         for k in range(2, longest + 1):
-            at = np.flatnonzero(length == k)
-            keys[at] = sequences(pieces.hashes, k)[at]
-        begins = np.flatnonzero(length)
-        at, n = _counted(keys[begins])
-        at = begins[at]
-        ends = np.cumsum(length[at])
-        spots = np.repeat(at - ends + length[at], length[at]) + np.arange(ends[-1] if len(ends) else 0)
-        grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(pieces.hashes[spots].view(np.int64)))
-        return pa.RecordBatch.from_arrays([grams, pa.array(n)], names=["words", "n"])
-
-    return _scanned(texts, work, "words array<bigint>, n bigint").groupBy("words").agg(F.sum("n").alias("n"))
-
+            there = np.flatnonzero(words[:, k - 1] != 0)
+            hashes = sequences(words[there, :k].ravel(), k)[::k] if len(there) else np.empty(0, np.uint64)
+            _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+            total = np.zeros(len(first), np.int64)
+            np.add.at(total, back, n[there])
+            often = np.flatnonzero(total >= least)
+            found.extend(words[there[first[often]], :k].view(np.int64))
+            counts.append(total[often])
+        return pa.table({"words": pa.array(found, pa.list_(pa.int64())), "n": pa.array(np.concatenate(counts), pa.int64())})
 
-def _node_flows(edges: DataFrame, least: int) -> DataFrame:
-    """words, n of the frequent phrases: every edge and piece end flows through the phrases it begins with."""
-    through = edges.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.size("words")), lambda k: F.slice("words", 1, k))).alias("words"))
-    return through.groupBy("words").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return edges.groupBy("shard").applyInArrow(flow, "words array<bigint>, n bigint")
 
 
 def _compacted(flows: DataFrame) -> DataFrame:
@@ -234,9 +294,11 @@ def mine_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, te
         held = session.sparkContext.broadcast(sieves)
         frequent = stored(_gram_counts(texts, held, k).filter(F.col("n") >= least).select("hash"), "grams")
         sieves = [*sieves, _sieve(frequent)]
-    edges = _edges(texts, session.sparkContext.broadcast(sieves), longest)
-    flows = stored(_node_flows(edges, least), "flows")
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    n_shards = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-(totals.agg(F.sum("n")).first()[0] or 0) // _SHARD_WORDS))
+    edges = _edges(texts, session.sparkContext.broadcast(sieves), longest, n_shards)
+    singles = vocabulary.select(F.array("hash").alias("words"), "n")
+    flows = stored(_node_flows(edges, longest, least).unionByName(singles), "flows")
     named = _named(_compacted(flows).withColumnRenamed("n", "a"), vocabulary)
     candidates = stored(named.join(broadcast_if_small(totals, 64), "lang"), "candidates")
     return _scored(candidates, flows)
