@@ -353,6 +353,7 @@ def _(t):
     )
 
 
+# Fixed value: the task suffix, written out so that the SQL does not depend on the library.
 @check("h18_training_messages", "SELECT conv_id, concat('<|im_start|>user', chr(10), text_0, chr(10), 'Please reason step by step, and put your final answer within \\boxed{}.<|im_end|>', chr(10), '<|im_start|>assistant', chr(10), text_1, '<|im_end|>') AS rendered FROM first_turns WHERE turns >= 2")
 def _(t):
     both = t.first_turns().filter("turns >= 2")

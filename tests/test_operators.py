@@ -215,6 +215,7 @@ def test_tree_documents(spark):
 
 
 def test_stored_overlap_report(spark):
+    # Counts of a published report and the averages it gives.
     recall = [(4, 119), (21, 275), (79, 93), (0, 274), (6, 91), (61, 94), (42, 127), (40, 154), (220, 372), (10, 96)]
     precision = [(305, 851), (89, 143)]
     table = [(1, "recall", a / b) for a, b in recall] + [(1, "precision", a / b) for a, b in precision]
@@ -225,6 +226,7 @@ def test_stored_overlap_report(spark):
 
 
 def test_published_means_and_errors(spark):
+    # Published results of repeated runs, their mean and error.
     runs = [("sampled", v) for v in (51.4, 50.2, 52.1, 51.4, 53.3)] + [("single", 48.7)]
     got = {r["method"]: r for r in assess.mean_and_error(spark.createDataFrame(runs, "method string, value double"), ["method"]).collect()}
     assert (round(got["sampled"]["mean"], 2), round(got["sampled"]["stderr"], 2)) == (51.68, 0.45)
