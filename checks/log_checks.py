@@ -37,8 +37,11 @@ def written_log(t):
 
 def laid_out(t, models, shots, datasets=(None,)):
     """The log as `{model}/{language}/{shots}_shot/{benchmark}.parquet`; without datasets one file holds them all."""
-    base = scratch_path(t.spark, "layout")
+    base, staged = scratch_path(t.spark, "layout"), scratch_path(t.spark, "staged")
+    # The log is joined once; each file is a narrow copy of its rows.
     log = t.eval_log().drop("language")
+    log.filter(F.col("model").isin(list(models)) & F.col("shots").isin(list(shots))).write.parquet(staged)
+    log = t.spark.read.schema(log.schema).parquet(staged)
     for model in models:
         for n in shots:
             for dataset in datasets:
