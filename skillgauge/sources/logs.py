@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T, Window as W
 
 from skillgauge.functions.text import file_stem, short_model_name
+from skillgauge.session import broadcast_if_few, cut_lineage
 
 # Column names of both log generations and the name used here.
 LOG_COLUMNS = {
@@ -119,7 +120,8 @@ def broken_files(
             raise
         return spark.createDataFrame([], "model_folder string, language string, shots int, benchmark string, file string, reason string")
     read = _read_or_empty(spark, schema, [path], None, skip_broken=True)
-    seen = read.select(F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B")).alias("seen")).distinct()
+    seen = read.select(F.col("_metadata.file_path").alias("seen")).distinct()
+    seen = seen.select(F.url_decode(F.regexp_replace("seen", r"\+", "%2B")).alias("seen"))
     plain = lambda column: F.regexp_replace(column, "^[a-z]+:/+", "/")
     silent = files.select("path").join(seen, plain(F.col("path")) == plain(F.col("seen")), "left_anti")
     # Names of what gave no rows; their contents are read in a second scan of these files alone.
@@ -159,11 +161,13 @@ def scan_layout(
     of the file, and so does the benchmark.
     """
     path = _layout_path(base, models, languages, shots, benchmarks)
-    log, place = _read_or_empty(spark, schema, [path], None, skip_broken), F.col("_metadata.file_path")
-    if log.isEmpty():
-        log, place = spark.createDataFrame([], schema), F.lit("")
-    part = lambda n: _place_part(place, n)
-    own = normalise_columns(log.withColumns({"_folder": part(1), "_language": part(2), "_shots": part(3), "_benchmark": part(4)}))
+    log = _read_or_empty(spark, schema, [path], None, skip_broken)
+    log = spark.createDataFrame([], schema).withColumn("_file", F.lit("")) if log.isEmpty() else log.withColumn("_file", F.col("_metadata.file_path"))
+    # A path is taken apart once per file, not once per row; the pass that lists them reads no column.
+    files = cut_lineage(log.select("_file").distinct())
+    part = lambda n: _place_part(F.col("_file"), n)
+    places = files.select("_file", part(1).alias("_folder"), part(2).alias("_language"), part(3).alias("_shots"), part(4).alias("_benchmark"))
+    own = normalise_columns(log.join(broadcast_if_few(cut_lineage(places)), "_file").drop("_file"))
     found = {"model_folder": "_folder", "language": "_language", "shots": "_shots", "benchmark": "_benchmark"}
     return own.drop(*found).withColumnsRenamed({b: a for a, b in found.items()}).withColumn("shots", F.col("shots").cast("int"))
 

@@ -30,3 +30,9 @@ def test_a_log_is_made_once_however_many_files_it_is_laid_out_in(spark):
     assert sorted(r["id"] for r in back.collect()) == list(range(40))
 
 
+def test_a_path_is_taken_apart_once_per_file(spark, tmp_path):
+    log = small_log(spark).drop("language")
+    log.write.parquet(f"{tmp_path}/a+b/en/5_shot/d.parquet")
+    back = logs.scan_layout(spark, str(tmp_path), schema=log.schema)
+    assert "regexp" not in back._jdf.queryExecution().executedPlan().toString().lower()
+    assert {tuple(r) for r in back.select("model_folder", "language", "shots", "benchmark").collect()} == {("a+b", "en", 5, "d")}
