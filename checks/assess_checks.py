@@ -159,13 +159,12 @@ def _(t):
 
 @check("g2_set_union", "SELECT DISTINCT profile_id, instance_id FROM profile JOIN association USING (capability)")
 def _(t):
-    sets = t.association().join(t.profile(), "capability")
-    return assess.union_members(sets, ["profile_id"])
+    return assess.profile_members(t.profile(), t.association())
 
 
 @check("g3_intersection_ratio", f"WITH a AS (SELECT DISTINCT profile_id, instance_id FROM profile JOIN association USING (capability)) SELECT profile_id, count(s.instance_id) AS part, count(*) AS whole, round(count(s.instance_id) / count(*), 9) AS ratio FROM a LEFT JOIN {SPLIT} s USING (instance_id) GROUP BY profile_id")
 def _(t):
-    sets = assess.union_members(t.association().join(t.profile(), "capability"), ["profile_id"])
+    sets = assess.profile_members(t.profile(), t.association())
     return assess.intersection_ratio(sets, split(t), ["profile_id"]).withColumn("ratio", F.round("ratio", 9))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from skillgauge.functions.metrics import attacked_probability, draw, success_ratio
 from skillgauge.functions.text import ratio_label
 from skillgauge.operators.indexing import shuffled_index
-from skillgauge.session import cut_lineage
+from skillgauge.session import broadcast_if_few, broadcast_if_small, cut_lineage
 
 
 def associated(association: DataFrame) -> DataFrame:
@@ -42,8 +42,24 @@ def profile_means(profiles: DataFrame, performance: DataFrame, max_size: int | N
 
 
 def _numbered(profiles: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Profiles with a number each, from 1."""
-    return shuffled_index(profiles.select(*keys).distinct(), 0, *keys).withColumn("_number", (F.col("index") + 1).cast("int")).drop("index")
+    """Profiles with a number each, from 1, and their keys as one text, which no null key lacks."""
+    named = profiles.select(*keys).distinct().withColumn("_key", F.to_json(F.struct(*keys)))
+    return cut_lineage(shuffled_index(named, 0, "_key").withColumn("_number", (F.col("index") + 1).cast("int")).drop("index"))
+
+
+def _listed(profiles: DataFrame, numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per capability the numbers of the profiles it belongs to."""
+    named = profiles.select(F.to_json(F.struct(*keys)).alias("_key"), "capability").distinct()
+    return named.join(broadcast_if_few(numbered.select("_key", "_number")), "_key").groupBy("capability").agg(F.collect_list("_number").alias("_numbers"))
+
+
+def _looked_up(pairs: DataFrame, listed: DataFrame) -> DataFrame:
+    """Pairs with the list of their capability, dealt by instance.
+
+    The pairs are dealt out before they meet the lists, so that no list is shuffled and no frequent capability meets in one task.
+    """
+    listed = cut_lineage(listed)
+    return pairs.repartition("instance_id").join(broadcast_if_small(listed, 4 * F.size("_numbers") + 100), "capability")
 
 
 def _profiles_of_instances(pairs: DataFrame, profiles: DataFrame, numbered: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -52,18 +68,16 @@ def _profiles_of_instances(pairs: DataFrame, profiles: DataFrame, numbered: Data
     Profiles are listed per capability first, so a pair meets one list instead of one row per profile,
     and an instance ends with at most one entry per profile.
     """
-    listed = (
-        profiles.select(*keys, "capability")
-        .distinct()
-        .join(numbered, list(keys))
-        .groupBy("capability")
-        .agg(F.collect_list("_number").alias("_numbers"))
-    )
-    return (
-        pairs.join(listed, "capability")
-        .groupBy("instance_id")
-        .agg(F.array_distinct(F.flatten(F.collect_list("_numbers"))).alias("_numbers"))
-    )
+    listed = _listed(profiles, numbered, keys)
+    return _looked_up(pairs, listed).groupBy("instance_id").agg(F.array_distinct(F.flatten(F.collect_list("_numbers"))).alias("_numbers"))
+
+
+def profile_members(profiles: DataFrame, association: DataFrame, keys: Sequence[str] = ("profile_id",)) -> DataFrame:
+    """The distinct instances of all entries of each profile, a row each."""
+    keys = list(keys)
+    numbered = _numbered(profiles, keys)
+    members = _profiles_of_instances(associated(association), profiles, numbered, keys).select("instance_id", F.explode("_numbers").alias("_number"))
+    return members.join(broadcast_if_few(numbered), "_number").select(*keys, "instance_id")
 
 
 def union_performance(profiles: DataFrame, association: DataFrame, results: DataFrame) -> DataFrame:
@@ -111,36 +125,24 @@ def overlap(truth: DataFrame, predicted: DataFrame, association: DataFrame, keys
     keys = list(keys)
     truth, predicted = truth.select("capability").distinct(), predicted.select(*keys, "capability").distinct()
     numbered = _numbered(predicted, keys)
-    listed = (
-        predicted.join(numbered, keys).groupBy("capability").agg(F.collect_list("_number").alias("_numbers"))
-    )
-    roles = listed.join(truth.withColumn("_true", F.lit(True)), "capability", "full")
+    listed = _listed(predicted, numbered, keys)
     none = F.array().cast("array<int>")
-    per_instance = (
-        associated(association)
-        .join(roles, "capability")
-        .groupBy("instance_id")
-        .agg(
-            F.collect_list("capability").alias("_all"),
-            F.collect_list(F.when(F.col("_true"), F.col("capability"))).alias("_true"),
-            F.array_distinct(F.flatten(F.collect_list(F.coalesce("_numbers", none)))).alias("_numbers"),
-        )
+    roles = listed.join(truth.withColumn("_true", F.lit(True)), "capability", "full").select(
+        "capability", F.coalesce("_true", F.lit(False)).alias("_true"), F.coalesce("_numbers", none).alias("_numbers")
     )
-
-    def event(number, capability, planted):
-        return F.struct(number.alias("_number"), capability.alias("capability"), planted.alias("_planted"))
-
-    # Number 0 counts a capability's instances and those of them that the truth covers.
-    planted = (F.size("_true") > 0).cast("int")
-    own = F.transform("_all", lambda capability: event(F.lit(0), capability, planted))
-    covered = F.flatten(
-        F.transform("_true", lambda capability: F.transform("_numbers", lambda n: event(n, capability, F.lit(0))))
+    roles = cut_lineage(shuffled_index(roles, 0, "capability").withColumn("_capability", F.col("index").cast("int")).drop("index"))
+    per_instance = _looked_up(associated(association), roles).groupBy("instance_id").agg(
+        F.collect_list(F.struct("_capability", "_true")).alias("_all"),
+        F.max(F.col("_true").cast("int")).alias("_planted"),
+        F.array_distinct(F.flatten(F.collect_list("_numbers"))).alias("_numbers"),
     )
-    counts = cut_lineage(
-        per_instance.select(F.inline(F.concat(own, covered)))
-        .groupBy("_number", "capability")
-        .agg(F.count("*").alias("n"), F.sum("_planted").alias("planted"))
+    # Number 0 counts a capability's instances and those of them that the truth covers.
+    own = F.array(F.lit(0))
+    events = per_instance.select(F.inline("_all"), "_planted", "_numbers").select(
+        "_capability", "_planted", F.explode(F.when(F.col("_true"), F.concat(own, "_numbers")).otherwise(own)).alias("_number")
     )
+    counted = cut_lineage(events.groupBy("_number", "_capability").agg(F.count("*").alias("n"), F.sum("_planted").alias("planted")))
+    counts = counted.join(broadcast_if_few(roles.select("_capability", "capability")), "_capability").drop("_capability")
     totals = counts.filter("_number = 0").select("capability", F.col("n").alias("whole"), "planted")
     # Every profile answers for every true capability: two short lists, profiles and planted weaknesses.
     all_true = truth.agg(F.collect_list("capability")).scalar()

@@ -5,6 +5,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from checks import log_checks
+from skillgauge.operators import assess
 from skillgauge.sources import logs
 
 
@@ -36,3 +37,22 @@ def test_a_path_is_taken_apart_once_per_file(spark, tmp_path):
     back = logs.scan_layout(spark, str(tmp_path), schema=log.schema)
     assert "regexp" not in back._jdf.queryExecution().executedPlan().toString().lower()
     assert {tuple(r) for r in back.select("model_folder", "language", "shots", "benchmark").collect()} == {("a+b", "en", 5, "d")}
+
+
+def test_lists_of_profiles_are_not_shuffled(spark):
+    pairs = spark.createDataFrame([("x", 1), ("y", 1), ("x", 2), ("z", 3)], "capability string, instance_id int").withColumn("label", F.lit("YES"))
+    profiles = spark.createDataFrame([(7, "x"), (7, "y"), (8, "y"), (None, "z")], "profile_id int, capability string")
+    numbered = assess._numbered(profiles, ["profile_id"])
+    plan = assess._profiles_of_instances(assess.associated(pairs), profiles, numbered, ["profile_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" in plan and "ENSURE_REQUIREMENTS" not in plan
+    members = assess.profile_members(profiles, pairs)
+    assert {tuple(r) for r in members.collect()} == {(7, 1), (7, 2), (8, 1), (None, 3)} and members.count() == 4
+
+
+def test_overlap_counts_by_number(spark):
+    pairs = spark.createDataFrame([("x", 1), ("y", 1), ("x", 2), ("z", 3)], "capability string, instance_id int").withColumn("label", F.lit("YES"))
+    profiles = spark.createDataFrame([(7, "y"), (8, "z")], "profile_id int, capability string")
+    found = assess.overlap(spark.createDataFrame([("x",)], "capability string"), profiles, pairs)
+    assert {tuple(r) for r in found.select("profile_id", "side", "capability", "part", "whole").collect()} == {
+        (7, "recall", "x", 1, 2), (8, "recall", "x", 0, 2), (7, "precision", "y", 1, 1), (8, "precision", "z", 0, 1)
+    }
