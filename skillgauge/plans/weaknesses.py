@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from skillgauge.operators import assess, sweep, tree
-from skillgauge.session import cut_lineage
+from skillgauge.session import cut_lineage, written
 
 # Fixed value: entries of the largest profile of a size sweep.
 MAX_SIZE = 20
@@ -40,6 +40,8 @@ def assessment_curves(
     entry, by their number; `best` is the least value in percent at that size or any larger one.
     """
     keys = list(keys)
+    # Both curves read the pairs, which are joins of large tables as a rule.
+    association = written(association.filter("label = 'YES'"), "association")
     belongs = profiles.select(*keys, "profile_id").distinct()
     entries = assess.profile_means(profiles, assess.capability_performance(association, results), max_size).select("profile_id", "size", F.col("val1").alias("value"))
     union = assess.union_performance(profiles, association, results).select("profile_id", F.col("num").alias("size"), F.col("val2").alias("value"))
