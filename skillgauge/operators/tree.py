@@ -64,18 +64,22 @@ def roll_up(leaves: DataFrame) -> DataFrame:
 
 
 def roll_up_scores(leaves: DataFrame, score: str = "score") -> DataFrame:
-    """Mean of a score per node over the instances that have one (-1 means none)."""
+    """Mean of a score per node over the instances that have one (-1 means none).
+
+    Scores are added up as decimals, so that a mean does not depend on the order of additions; where one does not fit
+    15 decimals and 23 digits before them, as doubles.
+    """
     own = (
         leaves.filter(F.col(score) != -1)
+        .withColumn("_exact", F.col(score).try_cast("decimal(38,15)"))
         .groupBy(*NODE)
-        .agg(F.count("*").alias("size"), F.sum(score).alias("total"))
+        .agg(F.count("*").alias("size"), F.sum(score).alias("total"), F.try_sum("_exact").alias("_exact"), F.bool_and(F.col("_exact").isNotNull()).alias("_fits"))
     )
-    return (
-        own.withColumn("path", F.explode(prefixes(F.col("path"))))
-        .groupBy(*NODE)
-        .agg(F.sum("size").alias("size"), F.sum("total").alias("total"))
-        .select(*NODE, "size", (F.col("total") / F.col("size")).alias("mean_score"))
+    summed = own.withColumn("path", F.explode(prefixes(F.col("path")))).groupBy(*NODE).agg(
+        F.sum("size").alias("size"), F.sum("total").alias("total"), F.try_sum("_exact").alias("_exact"), F.bool_and("_fits").alias("_fits")
     )
+    total = F.when(F.col("_fits"), F.coalesce(F.col("_exact").cast("double"), F.col("total"))).otherwise(F.col("total"))
+    return summed.select(*NODE, "size", (total / F.col("size")).alias("mean_score"))
 
 
 def with_intervals(nodes: DataFrame, alphas: Sequence[float] = ALPHAS, min_size: int = MIN_INTERVAL_SIZE) -> DataFrame:

@@ -5,7 +5,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from checks import log_checks
-from skillgauge.operators import assess
+from skillgauge.operators import assess, tree
 from skillgauge.sources import logs
 
 
@@ -56,3 +56,10 @@ def test_overlap_counts_by_number(spark):
     assert {tuple(r) for r in found.select("profile_id", "side", "capability", "part", "whole").collect()} == {
         (7, "recall", "x", 1, 2), (8, "recall", "x", 0, 2), (7, "precision", "y", 1, 1), (8, "precision", "z", 0, 1)
     }
+
+
+def test_a_mean_score_does_not_depend_on_the_order_of_additions(spark):
+    leaves = spark.range(10).select(F.lit("t").alias("tree_id"), F.array(F.lit(1)).alias("path"), F.lit(0.1).alias("score")).coalesce(1)
+    assert [r["mean_score"] for r in tree.roll_up_scores(leaves).collect()] == [0.1, 0.1]
+    odd = leaves.withColumn("score", F.lit(1e300))
+    assert all(abs(r["mean_score"] / 1e300 - 1) < 1e-9 for r in tree.roll_up_scores(odd).collect())
