@@ -11,14 +11,16 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from skillgauge.functions.metrics import LABELS
 from skillgauge.functions.text import fill_template, lines, seeded_hash, strip
 from skillgauge.operators.indexing import chunks, dense_index, numbered_listing, sample_per_group
 from skillgauge.operators.tree import NODE, parent
-from skillgauge.session import cut_lineage
+from skillgauge.session import broadcast_if_few, cut_lineage, written
 
 Provider = Callable[[list[str]], list[dict]]
 
@@ -34,18 +36,21 @@ PRICES = [
 # Examples per generated input, rows wanted per capability.
 EXAMPLES_PER_INPUT = 5
 ROWS_PER_CAPABILITY = 64
+# Rows that one call of a provider holds at most, in bytes of their batch.
+CALL_BYTES = 4 << 20
 
 
 def _call(
     df: DataFrame, column: str, provider: Provider, fields: Sequence[T.StructField], attempts: int, tasks: int | None
 ) -> DataFrame:
-    """Add the provider's answer fields and `failed` to each row, one Arrow batch at a time.
+    """Add the provider's answer fields and `failed` to each row, a slice of an Arrow batch at a time.
 
-    A batch that keeps failing after `attempts` tries is tried row by row, so one bad row does not
-    cost the others; rows that fail get nulls. Row order inside a partition stays.
+    Slices hold about `CALL_BYTES`, so that besides the batch itself a task holds little. A slice that keeps failing after
+    `attempts` tries is tried row by row, so one bad row does not cost the others; rows that fail get nulls. Row order
+    inside a partition stays.
     """
     schema = T.StructType([*df.schema.fields, *fields, T.StructField("failed", T.BooleanType())])
-    names = [field.name for field in fields]
+    kinds = {field.name: to_arrow_type(field.dataType) for field in fields}
 
     def attempt(texts: list[str]) -> list[dict] | None:
         for _ in range(attempts):
@@ -57,19 +62,24 @@ def _call(
                 continue
         return None
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = list(batch[column])
-            answers = attempt(texts) if texts else []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in _slices(batch)):
+            texts = part.column(column).to_pylist()
+            answers = attempt(texts)
             if answers is None:
                 answers = [(attempt([text]) or [None])[0] for text in texts]
-            for name in names:
-                batch[name] = pd.Series([None if a is None else a.get(name) for a in answers], index=batch.index, dtype=object)
-            batch["failed"] = [a is None for a in answers]
-            yield batch
+            made = [pa.array([None if a is None else a.get(name) for a in answers], kind) for name, kind in kinds.items()]
+            yield pa.RecordBatch.from_arrays([*part.columns, *made, pa.array([a is None for a in answers], pa.bool_())], names=schema.names)
 
     source = df.repartition(tasks) if tasks else df
-    return source.mapInPandas(run, schema)
+    return source.mapInArrow(run, schema)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about `CALL_BYTES`."""
+    step = max(1, batch.num_rows * CALL_BYTES // max(batch.nbytes, 1))
+    for start in range(0, batch.num_rows, step):
+        yield batch.slice(start, step)
 
 
 def complete(
@@ -227,17 +237,20 @@ def annotate(
     `instances` has `instance_id`, `input`, `output`. The result is the next version of the cache;
     write it beside the old one.
     """
+    cache = written(cache.select("capability", "instance_id", "label"), "cache")
     missing = missing_annotations(capabilities, instances, cache)
     prompts = missing.join(instances.select("instance_id", "input", "output"), "instance_id").select(
         "capability",
         "instance_id",
         fill_template(template, {name: F.col(name) for name in ("input", "output", "capability")}).alias("prompt"),
     )
-    answers = cut_lineage(complete(prompts, provider, tasks=tasks)).select(
-        "capability", "instance_id", F.col("response").alias("label")
-    )
-    kept = cache.join(answers.select("capability", "instance_id"), ["capability", "instance_id"], "left_anti")
-    return kept.select("capability", "instance_id", "label").unionByName(answers)
+    answers = written(complete(prompts, provider, tasks=tasks).select("capability", "instance_id", F.col("response").alias("label")), "answers")
+    # A usable label is never asked for again; only the others, few as a rule, are looked up among the answers.
+    usable = F.coalesce(F.col("label").isin(LABELS), F.lit(False))
+    doubtful = cut_lineage(cache.filter(~usable))
+    keys = ["capability", "instance_id"]
+    answered = answers.select(*keys).join(broadcast_if_few(doubtful.select(*keys)), keys, "left_semi")
+    return cache.filter(usable).unionByName(doubtful.join(answered, keys, "left_anti").select(*cache.columns)).unionByName(answers)
 
 
 def describe_nodes(
