@@ -327,9 +327,10 @@ def _(t):
 
 @check("h2_choice_position", "SELECT dataset, sample_index, closest_answer, nullif(list_position(choices, substr(closest_answer, strpos(closest_answer, '. ') + 2)), 0)::INT AS chosen_position, count(*) AS \"rows\" FROM eval_log JOIN choices USING (dataset, sample_index) GROUP BY ALL")
 def _(t):
-    rows = t.eval_log().join(t.choices(), ["dataset", "sample_index"])
+    # Equal answers are counted before their position is looked up.
+    answers = t.eval_log().groupBy("dataset", "sample_index", "closest_answer").agg(F.count("*").alias("rows"))
     position = choice_position(F.col("closest_answer"), F.col("choices")).alias("chosen_position")
-    return rows.groupBy("dataset", "sample_index", "closest_answer", position).agg(F.count("*").alias("rows"))
+    return answers.join(t.choices(), ["dataset", "sample_index"]).groupBy("dataset", "sample_index", "closest_answer", position).agg(F.sum("rows").alias("rows"))
 
 
 @check("h3_choice_array", """

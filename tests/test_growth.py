@@ -2,10 +2,11 @@
 
 from types import SimpleNamespace
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from checks import log_checks
-from skillgauge.operators import assess, tree
+from checks import log_checks, registry
+from skillgauge.operators import assess, inference, tree
 from skillgauge.sources import logs
 
 
@@ -63,3 +64,21 @@ def test_a_mean_score_does_not_depend_on_the_order_of_additions(spark):
     assert [r["mean_score"] for r in tree.roll_up_scores(leaves).collect()] == [0.1, 0.1]
     odd = leaves.withColumn("score", F.lit(1e300))
     assert all(abs(r["mean_score"] / 1e300 - 1) < 1e-9 for r in tree.roll_up_scores(odd).collect())
+
+
+def test_calls_hold_slices_of_bounded_size():
+    batch = pa.RecordBatch.from_pydict({"prompt": ["x" * 1000] * 20_000})
+    sizes = [len(part) for part in inference._slices(batch)]
+    assert sum(sizes) == 20_000 and max(sizes) * 1000 <= inference.CALL_BYTES
+
+
+def test_unusable_labels_are_replaced_where_they_are_asked_for(spark):
+    cache = spark.createDataFrame([("a", 1, "YES"), ("a", 2, "maybe"), ("b", 1, None), ("c", 1, "maybe")], "capability string, instance_id int, label string")
+    instances = spark.createDataFrame([(1, "i", "o"), (2, "i", "o")], "instance_id int, input string, output string")
+    found = inference.annotate(spark.createDataFrame([("a",), ("b",)], "capability string"), instances, cache, "{capability}", lambda texts: [{"response": "NO"} for _ in texts])
+    assert {tuple(r) for r in found.collect()} == {("a", 1, "YES"), ("a", 2, "NO"), ("b", 1, "NO"), ("b", 2, "NO"), ("c", 1, "maybe")}
+
+
+def test_equal_answers_are_counted_before_their_choices_are_joined(spark):
+    plan = registry.queries()["h2_choice_position"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan.split("Join", 1)[1]
