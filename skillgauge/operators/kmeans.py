@@ -89,16 +89,37 @@ def starts(x: np.ndarray, ids: np.ndarray, draws: np.ndarray, most: int) -> list
     return chosen
 
 
-def fit(x: np.ndarray, centroids: np.ndarray, enough: float, steps: int) -> np.ndarray:
-    """Centroids after as many steps as it takes to settle."""
-    for _ in range(steps):
-        centroids, shift = moved(centroids, *cluster_sums(x, nearest(x, centroids), len(centroids)))
-        if shift <= enough:
-            return centroids
-    raise RuntimeError(f"a k-means fit has not settled after {steps} steps")
+class Fit:
+    """Centroids on their way to rest, step by step, over rows that may lie anywhere.
 
+    A fit has settled when a step hardly shifts its centroids, or brings them back to where they were: between rows that
+    are closer than the rounding, steps can go in a circle. Where they were is kept at every power of two.
+    """
 
-def split(x: np.ndarray, ids: np.ndarray, draws: np.ndarray, max_children: int, steps: int) -> tuple[np.ndarray, np.ndarray] | None:
+    def __init__(self, centroids: np.ndarray, enough: float) -> None:
+        self.centroids, self.enough = centroids, enough
+        self.before: np.ndarray | None = None
+        self.steps, self.settled = 0, False
+
+    def step(self, counts: np.ndarray, sums: np.ndarray) -> None:
+        self.centroids, shift = moved(self.centroids, counts, sums)
+        self.settled = shift <= self.enough or (self.before is not None and np.array_equal(self.centroids, self.before))
+        self.steps += 1
+        if self.steps & (self.steps - 1) == 0:
+            self.before = self.centroids
+
+
+def fit(x: np.ndarray, centroids: np.ndarray, enough: float, steps: int | None) -> np.ndarray:
+    """Centroids after as many steps as it takes to settle; more than `steps`, if given, are an error."""
+    found = Fit(centroids, enough)
+    while not found.settled:
+        if found.steps == steps:
+            raise RuntimeError(f"a k-means fit has not settled after {steps} steps")
+        found.step(*cluster_sums(x, nearest(x, found.centroids), len(centroids)))
+    return found.centroids
+
+
+def split(x: np.ndarray, ids: np.ndarray, draws: np.ndarray, max_children: int, steps: int | None) -> tuple[np.ndarray, np.ndarray] | None:
     """Labels and centroids of the count with the best silhouette; none if the node stays whole."""
     if len(x) <= 2:
         return None
@@ -118,7 +139,7 @@ def split(x: np.ndarray, ids: np.ndarray, draws: np.ndarray, max_children: int,
     return best and best[1:]
 
 
-def subtree(x: np.ndarray, ids: np.ndarray, draws: np.ndarray, path: list[int], max_children: int, steps: int) -> Iterator[tuple[list[int], np.ndarray | None, list[int], np.ndarray | None]]:
+def subtree(x: np.ndarray, ids: np.ndarray, draws: np.ndarray, path: list[int], max_children: int, steps: int | None) -> Iterator[tuple[list[int], np.ndarray | None, list[int], np.ndarray | None]]:
     """(path, ids, None, None) of leaves and (path, None, clusters, centroids) of the nodes that are split."""
     todo = [(path, np.arange(len(x)))]
     while todo:

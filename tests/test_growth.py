@@ -1,12 +1,14 @@
 """Steps that must not grow faster than their input."""
 
+import inspect
 from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from checks import log_checks, registry
-from skillgauge.operators import assess, inference, tree
+from skillgauge.operators import assess, clustering, inference, kmeans, tree
 from skillgauge.sources import logs
 
 
@@ -82,3 +84,40 @@ def test_unusable_labels_are_replaced_where_they_are_asked_for(spark):
 def test_equal_answers_are_counted_before_their_choices_are_joined(spark):
     plan = registry.queries()["h2_choice_position"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan.split("Join", 1)[1]
+
+
+def test_slow_fits_go_on_until_they_settle(monkeypatch):
+    # All starts at one end of a line: some counts take more than 300 steps, as random vectors do from 60,000 rows on.
+    line = np.c_[np.arange(2000) / 2000, np.zeros((2000, 63))]
+    taken = []
+    moved = kmeans.moved
+    monkeypatch.setattr(kmeans, "starts", lambda x, ids, draws, most: list(range(most)))
+    monkeypatch.setattr(kmeans, "moved", lambda centroids, *sums: taken.append(len(centroids)) or moved(centroids, *sums))
+    steps = inspect.signature(clustering.build_tree).parameters["steps"].default
+    labels, centroids = kmeans.split(line, np.arange(2000), np.ones((2000, 1)), 24, steps)
+    assert max(map(taken.count, set(taken))) > 300
+    assert (np.bincount(labels) > 0).all() and len(centroids) == labels.max() + 1
+
+
+def test_a_fit_that_goes_in_a_circle_has_settled():
+    fit = kmeans.Fit(np.array([[0.0], [9.0]]), 0.0)
+    there, back = (np.array([1, 1]), np.array([[1.0], [8.0]])), (np.array([1, 1]), np.array([[2.0], [7.0]]))
+    while not fit.settled:
+        fit.step(*(back if fit.steps % 2 else there))
+    assert fit.steps < 10
+
+
+def test_nodes_split_in_waves_give_the_same_tree(spark, monkeypatch):
+    points = np.random.default_rng(6).normal(0, 1, (60, 4)).round(3).tolist()
+    vectors = spark.createDataFrame([(i, p) for i, p in enumerate(points)], "instance_id bigint, embedding array<float>")
+
+    def found(**options):
+        leaves, centroids = clustering.build_tree(vectors, max_children=4, **options)
+        return sorted(map(str, leaves.collect())), sorted(map(str, centroids.drop("centroid").collect()))
+
+    whole = found()
+    monkeypatch.setattr(clustering, "FIT_BYTES", 600)
+    blocks = clustering._blocks_of(vectors.withColumn("draws", F.array(F.lit(0.5))), "tree", 300)
+    halves = blocks.unionByName(blocks.withColumn("path", F.array(F.lit(1)))).unionByName(blocks.withColumn("path", F.array(F.lit(2))))
+    assert [wave.select("path").distinct().count() for wave in clustering._waves(halves, 4)] == [2, 1]
+    assert found(task_bytes=320, block_bytes=160) == whole
