@@ -26,6 +26,8 @@ BLOCK_BYTES = 1 << 20
 TASK_BYTES = 4 << 20
 # Centroids of the nodes that are split at the same time: the driver moves them, every task has them all.
 FIT_BYTES = 16 << 20
+# Levels of a tree that rows go down in one plan.
+PLAN_LEVELS = 8
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -93,15 +95,16 @@ def centroids_of(labelled: DataFrame, keys: list[str], vector: str = "embedding"
     return sums.select(*keys, F.transform("_sum", lambda x: x / F.col("_count")).alias("centroid"))
 
 
-def nearest_clusters(located: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
-    """C11: the nearest centroid of each row's node, the smaller cluster on ties.
+def nearest_clusters(located: DataFrame, centroids: DataFrame, vector: str = "embedding", how: str = "inner") -> DataFrame:
+    """C11: the nearest centroid of each row's node, the smaller cluster on ties. `how` says whether rows of nodes without
+    centroids are kept.
 
     A node's centroids, at most `MAX_CHILDREN`, travel as one row and are compared inside the row, so
     rows are neither multiplied nor grouped.
     """
     per_node = centroids.groupBy(*NODE).agg(F.collect_list(F.struct("cluster", "centroid")).alias("_centroids"))
     width = 8 * F.size("_centroids") * F.size(F.col("_centroids")[0]["centroid"])
-    joined = located.join(broadcast_if_small(per_node, width), NODE)
+    joined = located.join(broadcast_if_small(per_node, width), NODE, how)
     nearest = F.array_min(
         F.transform(
             "_centroids", lambda c: F.struct(squared_distance(F.col(vector), c["centroid"]).alias("d"), c["cluster"].alias("cluster"))
@@ -120,23 +123,19 @@ def squared_distance(a: Column, b: Column) -> Column:
 def locate(vectors: DataFrame, centroids: DataFrame, tree_id: str, vector: str = "embedding") -> DataFrame:
     """The path of each vector down the tree, one level per round, until no row moves.
 
-    While all centroids of the tree fit a broadcast, the levels are one narrow pass over the vectors;
-    otherwise each level shuffles them and is written out.
+    While all centroids of the tree fit a broadcast, the levels are narrow passes over the vectors, `PLAN_LEVELS` of them
+    in a plan; otherwise each level shuffles them and is written out. A row whose node has no centroids stays there.
     """
     centroids = cut_lineage(centroids)
     depths, size = centroids.agg(F.max(F.size("path")), F.sum(8 * F.size("centroid"))).first()
     narrow = (size or 0) <= BROADCAST_BYTES
     current = vectors.withColumns({"tree_id": F.lit(tree_id), "path": F.array().cast("array<int>")})
-    finished: list[DataFrame] = []
     for depth in range(0 if depths is None else depths + 1):
-        level = centroids.filter(F.size("path") == depth)
-        inner = level.select(*NODE).distinct()
-        finished.append(current.join(inner, NODE, "left_anti").select("tree_id", "instance_id", "path"))
-        moved = nearest_clusters(current, level, vector)
-        current = moved.withColumn("path", F.array_append("path", F.col("cluster").cast("int"))).drop("cluster")
-        current = current if narrow else cut_lineage(current)
-    finished.append(current.select("tree_id", "instance_id", "path"))
-    return functools.reduce(DataFrame.unionByName, finished)
+        moved = nearest_clusters(current, centroids.filter(F.size("path") == depth), vector, "left")
+        further = F.when(F.col("cluster").isNull(), F.col("path")).otherwise(F.array_append("path", F.col("cluster").cast("int")))
+        current = moved.withColumn("path", further).drop("cluster")
+        current = current if narrow and (depth + 1) % PLAN_LEVELS else cut_lineage(current)
+    return current.select("tree_id", "instance_id", "path")
 
 
 def best_cluster_count(scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

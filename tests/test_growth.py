@@ -121,3 +121,22 @@ def test_nodes_split_in_waves_give_the_same_tree(spark, monkeypatch):
     halves = blocks.unionByName(blocks.withColumn("path", F.array(F.lit(1)))).unionByName(blocks.withColumn("path", F.array(F.lit(2))))
     assert [wave.select("path").distinct().count() for wave in clustering._waves(halves, 4)] == [2, 1]
     assert found(task_bytes=320, block_bytes=160) == whole
+
+
+def test_a_plan_of_located_rows_grows_with_the_depth_alone(spark):
+    # A chain: at each depth, cluster 1 holds one point and cluster 0 the rest.
+    depth = 11
+    rows = [("tree", [0] * d, c, [float(d) if c else d + 10.0]) for d in range(depth) for c in (0, 1)]
+    centroids = spark.createDataFrame(rows, "tree_id string, path array<int>, cluster int, centroid array<double>")
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(12)], "instance_id bigint, embedding array<double>")
+    found = clustering.locate(vectors, centroids, "tree")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= depth
+    expected = {}
+    for i in range(12):
+        path = []
+        for d in range(depth):
+            path.append(min((0, 1), key=lambda c: (abs(i - rows[2 * d + c][3][0]), c)))
+            if path[-1]:
+                break
+        expected[i] = path
+    assert {r["instance_id"]: list(r["path"]) for r in found.collect()} == expected and len(set(map(len, expected.values()))) > 3
